@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from factloom.llm.bpe_queue import op3_bpe_queue
 from factloom.llm.hmm_scoring import op1_hmm_scoring
+from factloom.llm.secret_crf import op2_secret_crf
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scoring,)}
+QUERIES = {f.__name__: f for f in (op1_hmm_scoring, op2_secret_crf, op3_bpe_queue)}
 
 ORACLE_SQL: dict[str, str] = {}
