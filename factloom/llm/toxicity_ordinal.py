@@ -3,8 +3,8 @@
 Severity grades 0..3: P(grade > k) = sigmoid(w . x - t_k), with one weight vector for all ordered thresholds
 t_0 < t_1 < t_2. Features are words and their prefixes of four and five letters, hashed; those that part toxic from
 clean rows in the training sample are kept, and x is the logarithm of one plus a word's count. The labels say only
-toxic or not, so grade 0 is a row labelled clean, and toxic rows get grade 1, 2 or 3 by thirds of the share of their
-words that the kept features mark.
+toxic or not, so grade 0 is a row labelled clean, and toxic rows get grade 1, 2 or 3 by thirds of how many words the
+kept features mark in them (sum of logarithms of counts).
 
 It learns from a bounded sample of labelled rows: ``sample`` toxic and twice as many clean ones, the smallest by hash
 of id. Scoring is one pass; a word's contribution is a number, remembered by each worker.
@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -47,46 +48,52 @@ class Ordinal:
         return sum(get(f, 0.0) for f in word_features(w))
 
 
-def word_features(w: str) -> list[int]:
+def crc(w: str) -> int:
+    return crc32(w.encode())
+
+
+@lru_cache(200_000)
+def word_features(w: str) -> tuple[int, ...]:
     """Hashed features of a word: itself and its prefixes."""
-    return [crc32(x.encode()) % DIM for x in {f"w{w}", f"p{w[:4]}", f"q{w[:5]}"}]
+    return tuple({crc32(x.encode()) % DIM for x in (f"w{w}", f"p{w[:4]}", f"q{w[:5]}")})
 
 
 def counts(text: str) -> Counter:
     return Counter(LETTERS.findall(text.lower()))
 
 
-def fit(texts: list[str], toxic: np.ndarray, most: int = 4096, steps: int = 400) -> Ordinal:
+def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250) -> Ordinal:
     """Choose features by log odds, grade the toxic rows, and fit by gradient steps (Adam) on the ordinal log likelihood."""
     none = Ordinal({}, np.array([20.0, 21.0, 22.0]))
     if not toxic.any() or toxic.all():
         return none
-    rows = [counts(t) for t in texts]
+    rows, once = [counts(t) for t in texts], {}
+    for i, r in enumerate(rows):  # copies of a document count once: the least words by two hashes tell them
+        once.setdefault((min(map(crc, r), default=0), min((crc(w[::-1]) for w in r), default=0), bool(toxic[i])), i)
+    rows, toxic = [rows[i] for i in once.values()], toxic[list(once.values())]
     hashed = [{f for w in r for f in word_features(w)} for r in rows]
     pos, neg = Counter(), Counter()
     for fs, t in zip(hashed, toxic, strict=True):
         (pos if t else neg).update(fs)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    odds = {f: np.log((n + 0.25) / (n1 + 0.5)) - np.log((neg[f] + 0.25) / (n0 + 0.5)) for f, n in pos.items() if n >= max(3, n1 // 250)}
-    chosen = sorted((f for f, x in odds.items() if x > 2.5), key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:most]
+    odds = {f: np.log((n + 0.25) / (n1 + 0.5)) - np.log((neg[f] + 0.25) / (n0 + 0.5)) for f, n in pos.items() if n >= max(3, n1 // 66)}
+    chosen = sorted((f for f, x in odds.items() if x > 3), key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:most]
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(rows), max(1, len(chosen))), np.float32)
-    share = np.zeros(len(rows))
+    amount = np.zeros(len(rows))
     for i, r in enumerate(rows):
-        marked = 0
         for w, n in r.items():
-            own = [at[f] for f in word_features(w) if f in at]
-            x[i, own] += np.log1p(n)
-            marked += n * bool(own)
-        share[i] = marked / max(1, sum(r.values()))
-    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(share[toxic], [1 / 3, 2 / 3]), share, "left").clip(0, 2), 0)
+            if own := [at[f] for f in word_features(w) if f in at]:
+                x[i, own] += np.log1p(n)
+                amount[i] += np.log1p(n)
+    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(amount[toxic], [1 / 3, 2 / 3]), amount, "left").clip(0, 2), 0)
     w, gaps = np.zeros(x.shape[1]), np.array([1.0, 0.0, 0.0])  # cuts: gaps[0], then plus softplus of the others
     m, v = np.zeros(len(w) + 3), np.zeros(len(w) + 3)
     weight = np.where(toxic, n0 / n1, 1.0) / (2 * n0)
     for step in range(1, steps + 1):
         soft = np.log1p(np.exp(gaps[1:]))
         cuts = np.array([gaps[0], gaps[0] + soft[0], gaps[0] + soft[0] + soft[1]])
-        s = x @ w
+        s = (x @ w.astype(np.float32)).astype(float)
         c = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40)))  # P(grade > k)
         upper = np.concatenate([np.ones((len(s), 1)), c], 1)[np.arange(len(s)), grade]
         lower = np.concatenate([c, np.zeros((len(s), 1))], 1)[np.arange(len(s)), grade]
@@ -97,7 +104,7 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 4096, steps: int = 400)
         np.add.at(dc, np.maximum(grade - 1, 0), -(du * weight) * (grade > 0))
         np.add.at(dc, np.minimum(grade, 2), (dl * weight) * (grade < 3))
         sig = 1 / (1 + np.exp(-gaps[1:]))
-        g = np.concatenate([x.T @ ds - 2e-4 * w, [dc.sum(), (dc[1] + dc[2]) * sig[0], dc[2] * sig[1]]])
+        g = np.concatenate([x.T @ ds.astype(np.float32) - 2e-4 * w, [dc.sum(), (dc[1] + dc[2]) * sig[0], dc[2] * sig[1]]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, gaps = w + move[:-3], gaps + move[-3:]
@@ -145,7 +152,7 @@ def scorer(m: Ordinal):
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.25) -> DataFrame:
     """Grade, expected severity and probability of being toxic for each document."""
     m = learn(docs, labels, id_col, text_col, sample)
 
@@ -159,7 +166,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.25) -> DataFrame:
     """The rows whose probability of being toxic is under the threshold, with all their columns."""
     m = learn(docs, labels, id_col, text_col, sample)
     at = docs.columns.index(text_col)
