@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from factloom.llm.bpe_queue import op3_bpe_queue
 from factloom.llm.hmm_scoring import op1_hmm_scoring
+from factloom.llm.language_segments import op9_language_segments
+from factloom.llm.license_join import op4_license_join
 from factloom.llm.packing import op5_packing
 from factloom.llm.secret_crf import op2_secret_crf
 from factloom.llm.toxicity_ordinal import op6_toxicity_ordinal
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scoring, op2_secret_crf, op3_bpe_queue, op5_packing, op6_toxicity_ordinal)}
+QUERIES = {f.__name__: f for f in (op1_hmm_scoring, op2_secret_crf, op3_bpe_queue, op4_license_join, op5_packing, op6_toxicity_ordinal, op9_language_segments)}
 
 ORACLE_SQL: dict[str, str] = {}
