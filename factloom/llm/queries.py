@@ -7,10 +7,26 @@ from factloom.llm.hmm_scoring import op1_hmm_scoring
 from factloom.llm.hyperminhash import op8_hyperminhash
 from factloom.llm.language_segments import op9_language_segments
 from factloom.llm.license_join import op4_license_join
+from factloom.llm.metric_join import op10_metric_join
+from factloom.llm.multi_index_hashing import op7_multi_index_hashing
 from factloom.llm.packing import op5_packing
 from factloom.llm.secret_crf import op2_secret_crf
 from factloom.llm.toxicity_ordinal import op6_toxicity_ordinal
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scoring, op2_secret_crf, op3_bpe_queue, op4_license_join, op5_packing, op6_toxicity_ordinal, op8_hyperminhash, op9_language_segments)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hmm_scoring,
+        op2_secret_crf,
+        op3_bpe_queue,
+        op4_license_join,
+        op5_packing,
+        op6_toxicity_ordinal,
+        op7_multi_index_hashing,
+        op8_hyperminhash,
+        op9_language_segments,
+        op10_metric_join,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
