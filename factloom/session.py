@@ -63,7 +63,9 @@ class Scratch:
         self.fs.mkdirs(self.path)
         self.fs.deleteOnExit(self.path)
 
-    def keep(self, df: DataFrame, *by: str, compression: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, *by: str, compression: str = "zstd", tasks: int | None = None) -> DataFrame:
+        """Write and reread. ``tasks``: at most so many, for a result that is known to be small beside the shuffle before it."""
+        df = df.coalesce(tasks) if tasks else df
         self.n += 1
         path = f"{self.base}/{self.n}"
         out = df.write.option("compression", compression).mode("overwrite")
