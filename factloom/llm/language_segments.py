@@ -171,7 +171,7 @@ def scorer(langs: list[str], prior: np.ndarray, p: np.ndarray, path: str):
             at.clear()
             logs = np.zeros((0, len(langs)))
             new = list(set().union(*split))
-        if new:
+        if new and langs:
             at.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
             logs = np.concatenate([logs, log_words(new, index, longest, p)])
         out = []

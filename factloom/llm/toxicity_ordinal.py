@@ -68,8 +68,10 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250)
     if not toxic.any() or toxic.all():
         return none
     rows, once = [counts(t) for t in texts], {}
-    for i, r in enumerate(rows):  # copies of a document count once: the least words by two hashes tell them
-        once.setdefault((min(map(crc, r), default=0), min((crc(w[::-1]) for w in r), default=0), bool(toxic[i])), i)
+    for i, t in enumerate(texts):  # copies of a document count once: the least three-word runs by two hashes tell them
+        ws = LETTERS.findall(t.lower())
+        runs = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))]
+        once.setdefault((min(map(crc, runs)), min(crc(r[::-1]) for r in runs), bool(toxic[i])), i)
     rows, toxic = [rows[i] for i in once.values()], toxic[list(once.values())]
     hashed = [{f for w in r for f in word_features(w)} for r in rows]
     pos, neg = Counter(), Counter()
