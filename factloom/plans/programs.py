@@ -96,7 +96,7 @@ def field_accesses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     order's line-1 part; an odd supplier stores."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     base = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("base"))
-    own = li.where("l_linenumber = 2 and l_quantity >= 40").join(base, "l_orderkey").select("base", F.col("l_returnflag").alias("field"), F.col("l_partkey").alias("v"), "l_suppkey")
+    own = li.where("l_linenumber = 2 and l_quantity >= 46").join(base, "l_orderkey").select("base", F.col("l_returnflag").alias("field"), F.col("l_partkey").alias("v"), "l_suppkey")
     return own.where("l_suppkey % 2 = 0").select("base", "field", F.col("v").alias("tgt")).distinct(), own.where("l_suppkey % 2 = 1").select("base", "field", F.col("v").alias("src")).distinct()
 
 
@@ -107,7 +107,7 @@ al AS (SELECT DISTINCT l_partkey AS node, l_suppkey AS obj FROM lineitem WHERE l
 
 FIELD_SQL = COPY_SQL + """,
 acc AS (SELECT DISTINCT a.l_partkey AS base, b.l_returnflag AS field, b.l_partkey AS v, b.l_suppkey % 2 AS st FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND b.l_quantity >= 40)"""
+  WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND b.l_quantity >= 46)"""
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
