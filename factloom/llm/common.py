@@ -30,19 +30,13 @@ def bucket10(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about so many bytes of text, to bound a step's memory."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        col = b.column(b.schema.get_field_index(column))
-        size = np.frombuffer(col.buffers()[1], dtype=np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else None
-        at = 0
-        while at < b.num_rows:
-            to = int(np.searchsorted(size, int(size[at]) + chars, "right")) - 1
-            to = min(max(to, at + 1), b.num_rows)
-            yield b.slice(at, to - at)
-            at = to
+def sampled(df: DataFrame, about: int, *keys: str, n: int | None = None, but: Column | None = None) -> DataFrame:
+    """About so many of the rows (those with ``but``, of which there are n), the same ones for the same rows, by hash of the key columns;
+    twice as many at most. No task sends more than its share."""
+    n = df.count() if n is None else n
+    if n > about:
+        df = df.where(F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(1 << 40)) < F.lit(int(about * (1 << 40) / n)))
+    return (df if but is None else df.where(but)).limit(2 * about)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

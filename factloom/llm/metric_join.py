@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import components, table
+from factloom.llm.common import components, sampled, table
 from factloom.llm.vectors import stacked, usable
 from factloom.session import Scratch, ship
 
@@ -137,7 +137,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     ids = df.select(F.col(id_col).cast("long").alias("vec_id"))
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    some = stacked(classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()["v"])
+    some = stacked(sampled(classes.select("rep", "v"), sample, "rep", n=n).toPandas().sort_values("rep")["v"])
     pivots = choose_pivots(some, min(most, -(-n // CELL)))
     reach = math.sqrt(2 - 2 * cosine) + 1e-6
     cells = classes.mapInPandas(assigned(pivots, reach, None), ASSIGNED).groupBy("cell").agg(F.max("d").alias("d")).collect()

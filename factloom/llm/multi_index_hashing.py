@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import sampled, table
 from factloom.llm.vectors import stacked, usable
 from factloom.session import Scratch, ship
 
@@ -129,7 +129,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     n, asked, norm = rows.agg(F.count("*"), F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    some = sampled(rows, sample, "vec_id", n=n).toPandas().sort_values("vec_id")
     x, most = stacked(some["v"]), float(np.sqrt(norm))
     rot = rotations(lifted(x, most), bits)
     r = radius(x, rot, most, n, k, cover) if len(x) > 1 else bits

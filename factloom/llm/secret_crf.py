@@ -6,8 +6,8 @@ constraints make decoding cheap and exact: B and I need a token of 8+ characters
 neighbour one separator away. All other tokens are O in every admissible path, so only runs of admissible tokens
 are decoded, with O on both sides. Its spans have the kind ``crf``; those inside a base span are not repeated.
 
-It learns from the base spans of a bounded sample of rows (``sample`` rows with a pattern's first characters and as
-many others, the smallest by hash of id), with neighbour features dropped at random so that shape counts too.
+It learns from the base spans of a bounded sample of rows (about ``sample`` rows with a pattern's first characters and as
+many others, chosen by hash of id), with neighbour features dropped at random so that shape counts too.
 
 Defined results: a null text is the empty text; a null id comes back null; repeated rows are scanned each; an empty
 table gives an empty result; offsets are code points; no admissible token gives no crf span; other columns are ignored.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import mapped, table
+from factloom.llm.common import mapped, sampled, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -197,9 +197,15 @@ def all_spans(text: str, w: np.ndarray, move: np.ndarray) -> tuple[list, list]:
 
 def learn(docs: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("at"), text.rlike("AKIA|[0-9a-f]{32}|[sS]ecret|[pP]assw|[tT]oken ?[:=]|[aA][pP][iI]_?[kK]ey").alias("hit")).where("text is not null")
-    some = lambda c: [r.text for r in rows.where(c).orderBy("at", "text").limit(sample).collect()]
-    return train([*some("hit"), *some("not hit and at % 16 = 0")])
+    hit = text.rlike("AKIA|[0-9a-f]{32}|[sS]ecret|[pP]assw|[tT]oken ?[:=]|[aA][pP][iI]_?[kK]ey")
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), text.alias("text")).where("text is not null")
+    n = {r.hit: r.n for r in rows.select(hit.alias("hit")).groupBy("hit").agg(F.count("*").alias("n")).collect()}
+
+    def pick(k: bool) -> list[str]:
+        """The filter by hash stands before the search, so that few texts are searched again."""
+        return sorted(r.text for r in sampled(rows, sample, "i", n=n[k], but=hit == k).collect()) if k in n else []
+
+    return train([*pick(True), *pick(False)])
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:

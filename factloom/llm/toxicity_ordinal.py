@@ -6,8 +6,7 @@ clean rows in the training sample are kept, and x is the logarithm of one plus a
 toxic or not, so grade 0 is a row labelled clean, and toxic rows get grade 1, 2 or 3 by thirds of how many words the
 kept features mark in them (sum of logarithms of counts).
 
-It learns from a bounded sample of labelled rows: ``sample`` toxic and twice as many clean ones, the smallest by hash
-of id. Scoring is one pass; a word's contribution is a number, remembered by each worker.
+It learns from a bounded sample of labelled rows: about ``sample`` toxic and twice as many clean ones, by hash of id. Scoring is one pass; a word's contribution is a number, remembered by each worker.
 
 Defined results: a null text is the empty text, scored by the thresholds alone; a null id comes back null; a document with
 several labels is toxic if one says so; without labels, or with labels of one kind, every document gets grade 0;
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import mapped, table
+from factloom.llm.common import mapped, sampled, table
 
 DIM = 1 << 18
 GRADES = 4
@@ -115,10 +114,9 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> Ordinal:
-    """Fit on the sample. The ids chosen are at most 3 x ``sample``, so they are broadcast."""
+    """Fit on the sample. The ids chosen are at most 6 x ``sample``, so they are broadcast."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").alias("y"))
-    h = F.xxhash64("i")
-    ids = marks.where("y > 0").orderBy(h, "i").limit(sample).union(marks.where("y <= 0").orderBy(h, "i").limit(2 * sample)).collect()
+    ids = sampled(marks.where("y > 0"), sample, "i").union(sampled(marks.where("y <= 0"), 2 * sample, "i")).collect()
     if not ids:
         return fit([], np.zeros(0, bool))
     spark = docs.sparkSession
