@@ -9,7 +9,7 @@ kept features mark in them (sum of logarithms of counts).
 It learns from a bounded sample of labelled rows: about ``sample`` toxic and twice as many clean ones, by hash of id. Scoring is one pass; a word's contribution is a number, remembered by each worker.
 
 Defined results: a null text is the empty text, scored by the thresholds alone; a null id comes back null; a document with
-several labels is toxic if one says so; without labels, or with labels of one kind, every document gets grade 0;
+several labels is toxic if one says so; without labels, with labels of one kind, or without a feature that parts them, every document gets grade 0;
 repeated rows are scored each; an empty table gives an empty result; other columns of either table are ignored.
 """
 
@@ -79,8 +79,10 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     odds = {f: np.log((n + 0.25) / (n1 + 0.5)) - np.log((neg[f] + 0.25) / (n0 + 0.5)) for f, n in pos.items() if n >= max(3, n1 // 66)}
     chosen = sorted((f for f, x in odds.items() if x > 3), key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:most]
+    if not chosen:
+        return none
     at = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(rows), max(1, len(chosen))), np.float32)
+    x = np.zeros((len(rows), len(chosen)), np.float32)
     amount = np.zeros(len(rows))
     for i, r in enumerate(rows):
         for w, n in r.items():
