@@ -57,16 +57,17 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     shuffles with per-node minima; no neighbourhood is gathered. Raises if rounds run out.
     """
     e = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = max(8, -(-e.count() // 100_000))  # no round has more than a few rows for each edge
     last = None
     for _ in range(most):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), tasks=tasks)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.keep(large.where("u != v").distinct())
-        low2 = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = scratch.keep(large.where("u != v").distinct(), tasks=tasks)
+        low2 = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), tasks=tasks)
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        new = scratch.keep(small.where("u != v").distinct())
-        mark = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        new = scratch.keep(small.where("u != v").distinct(), tasks=tasks)
+        mark = new.coalesce(tasks).agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(e, low, large, low2)
         e = new
         if mark == last:
@@ -75,4 +76,4 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return scratch.keep(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots))
+    return scratch.keep(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots), tasks=tasks)

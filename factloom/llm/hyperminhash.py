@@ -9,9 +9,11 @@ number of accidental register collisions taken off; pairs far below the threshol
 verified on the full sets.
 
 No pairs of a group are listed. Documents with equal sets are one class throughout. A bucket of a band gives only pairs
-with its centre; links found join classes, and buckets whose classes aren't yet all joined get a second centre, then
-pairs across what is still apart. Since Jaccard distance is a metric, the distances to a centre that were
-verified rule out most of those. So every pair that shares a band is verified, joined already, or ruled out.
+with its centre, the smallest id. Links found join classes. In a bucket whose classes aren't all joined yet, shingles that only one
+document of all such buckets has can't be shared: a document with too few others is ruled out there, exactly, and the next
+centre is the one with fewest of them, which is the original of a group of edited copies. Of what is still apart after it, pairs
+are compared unless their sizes of intersection with that centre bound their own below the threshold. So every pair that shares a
+band is verified, joined already, or ruled out.
 
 Defined results: a document without words or text has no shingle, is linked with nothing and is its own component; fewer
 than five words are one shingle; a null id takes no part (component null, kept false); repeated rows with one id are
@@ -171,11 +173,28 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), known).tobytes() for t in b.column(1)], pa.binary())], names=["rep", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return mapped(rows.join(ids, "rep", "left_semi"), each, "rep long, set binary")
+    return mapped(rows.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), each, "rep long, set binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
-    """One row per document: size of its set, smallest id reachable by links, whether that is its own."""
+def single_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, u): how many of a set's shingles no other of these sets has."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            for lo in range(0, len(own), 256):
+                some = own[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0)[lo : lo + 256].to_numpy(), [len(x) for x in some])), pa.array(np.concatenate(some))], names=["rep", "t"])
+
+    once = mapped(sets.select("rep", "set"), each, "rep long, t long").groupBy("t").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return once.groupBy("rep").agg(F.count("*").alias("u"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, few: int = 6) -> DataFrame:
+    """One row per document: size of its set, smallest id reachable by links, whether that is its own.
+
+    Buckets with at most ``few`` documents left to compare are compared at once.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     least = round(100 * threshold)
@@ -185,41 +204,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = reps.select("rep", F.explode("bands").alias("key"))
     shared = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("c")).where("size > 1"))
     members = scratch.keep(rows.join(shared, "key").select("key", "rep", "c", "size"))
+    tasks = max(8, -(-members.count() // 50_000))  # of what has at most a row for each member
+    wide = members.where("size > 2").select("key", "rep")  # the only pair of other buckets is with the centre
 
-    def resolve(pairs: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Verified sizes for the pairs that are likely; sets of the documents in them."""
-        some = scratch.keep(likely(pairs, reps, threshold))
-        ids = some.select(F.col("a").alias("rep")).union(some.select(F.col("b").alias("rep"))).distinct()
-        if sets is not None:
-            ids = ids.join(sets.select("rep"), "rep", "left_anti")
-        new = scratch.keep(sets_of(docs, ids, id_col, text_col).dropDuplicates(["rep"]))
-        sets = new if sets is None else sets.union(new)
-        out = scratch.keep(verified(some, sets))
-        scratch.drop(some)
-        return out, sets
-
+    pairs = scratch.keep(members.where("rep != c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), tasks=tasks)
+    some = scratch.keep(likely(pairs, reps, threshold), tasks=tasks)
+    ids = some.select(F.col("a").alias("rep")).union(some.select(F.col("b").alias("rep"))).union(wide.select("rep")).distinct()
+    sets = scratch.keep(sets_of(docs, ids, id_col, text_col))
     link = F.col("both") * 100 >= F.col("union") * least
-    pairs = scratch.keep(members.where("rep != c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct())
-    tested, sets = resolve(pairs, None)
-    edges = tested.where(link).select("a", "b")
+    edges = scratch.keep(verified(some, sets).where(link).select("a", "b"), tasks=4 * tasks)
     labels = components(edges, scratch)
 
-    # Buckets of two are settled: their only pair was tested. In others, what isn't joined may still be linked.
-    wide = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "c", F.coalesce("label", "rep").alias("label"))
-    wide = scratch.keep(wide)
-    open_keys = scratch.keep(wide.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key"))
-    if open_keys.limit(1).count():
-        dist = tested.select(F.col("a").alias("c"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("union")).alias("d"))
-        apart = scratch.keep(wide.join(open_keys, "key").join(dist, ["c", "rep"], "left").select("key", "rep", "label", F.when(F.col("rep") == F.col("c"), 0.0).otherwise(F.col("d")).alias("d")))
-        x, y = apart, apart.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"))
-        cross = x.join(y, "key").where((F.col("label") < F.col("lb")) & F.coalesce(F.abs(F.col("d") - F.col("db")) <= 1 - threshold + 1e-9, F.lit(True))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        cross = scratch.keep(cross.join(pairs, ["a", "b"], "left_anti"))
-        more, sets = resolve(cross, sets)
-        edges = scratch.keep(edges.union(more.where(link).select("a", "b")))
+    def still_apart(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold more than one label."""
+        keys = scratch.keep(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("left")).where("lo != hi").select("key", "left"), tasks=tasks)
+        return rows.join(keys, "key")
+
+    def by_label(labels: DataFrame) -> DataFrame:
+        lab = wide.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+        return scratch.keep(still_apart(scratch.keep(lab, tasks=tasks)).select("key", "rep", "label"), tasks=tasks)
+
+    def possible(apart: DataFrame, info: DataFrame) -> DataFrame:
+        """Rows of the buckets still apart, without documents that can't be linked there.
+
+        A partner x of s has |s & x| >= t / (1 + t) * (|s| + |x|), and |x| >= t |s|; |s & x| <= n - u.
+        """
+        full = scratch.keep(apart.join(info, "rep"), tasks=tasks)
+        low = scratch.keep(full.groupBy("key").agg(F.min("n").alias("low")), tasks=tasks)
+        can = (F.col("n") - F.col("u")) * (100 + least) >= least * (F.col("n") + F.greatest(F.col("low").cast("double"), F.col("n") * threshold)) - 1e-6
+        return scratch.keep(still_apart(scratch.keep(full.join(low, "key").where(can).select("key", "rep", "label", "n", "u"), tasks=tasks)), tasks=tasks)
+
+    def compared(new: DataFrame) -> DataFrame:
+        return scratch.keep(verified(likely(new, reps, threshold), sets), tasks=4 * tasks)
+
+    pair = [F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")]
+    apart = by_label(labels)
+    if not apart.isEmpty():
+        of = scratch.keep(apart.select("rep").distinct(), tasks=tasks)
+        info = scratch.keep(reps.select("rep", "n").join(of, "rep").join(single_shingles(sets.join(of, "rep", "left_semi")), "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")), tasks=tasks)
+        rest = possible(apart, info)
+        centres = scratch.keep(rest.groupBy("key").agg(F.min(F.struct("u", "rep")).alias("x")).select("key", F.col("x.rep").alias("b")), tasks=tasks)
+        small = rest.where(F.col("left") <= few).select("key", F.col("rep").alias("b"))
+        new = rest.join(centres.union(small), "key").where("rep != b").select(*pair)
+        new = scratch.keep(new.distinct(), tasks=tasks)
+        sizes = compared(new)
+        edges = edges.union(sizes.where(link).select("a", "b"))
         labels = components(edges, scratch)
-    of_class = reps.select("n", "k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("c"))
+
+        # What is still apart: documents that share a centre c meet. |s & x| is at most what both may share inside c, plus what both
+        # may share outside: shingles outside c that some other document has (o).
+        rest = possible(by_label(labels), info)
+        if not rest.isEmpty():
+            shared_with = sizes.select(F.col("a").alias("c"), F.col("b").alias("rep"), "both").union(sizes.select("b", "a", "both"))
+            group = rest.join(centres.withColumnRenamed("b", "c"), "key").select("c", "rep", "label", "n", "u").distinct()
+            group = scratch.keep(group.join(shared_with, ["c", "rep"], "left").withColumn("i", F.when(F.col("rep") == F.col("c"), F.col("n")).otherwise(F.col("both"))).select("c", "rep", "label", "n", "u", "i"), tasks=tasks)
+            other = group.select("c", *(F.col(x).alias(f"{x}2") for x in ("rep", "label", "n", "u", "i")))
+            out = lambda n, i, u: F.greatest(F.col(n) - F.col(i) - F.col(u), F.lit(0))
+            bound = F.least(F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")), F.least("i", "i2") + F.least(out("n", "i", "u"), out("n2", "i2", "u2")))
+            bound = F.when(F.col("i").isNull() | F.col("i2").isNull(), F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))).otherwise(bound)
+            last = group.join(other, "c").where((F.col("label") < F.col("label2")) & (bound * (100 + least) >= least * (F.col("n") + F.col("n2"))))
+            last = scratch.keep(last.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), tasks=4 * tasks)
+            edges = edges.union(compared(last.join(new, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")).where(link).select("a", "b"))
+            labels = components(edges, scratch)
+    of_class = reps.select("n", "k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("n_shingles"), "k1", "k2", F.coalesce("label", "rep").alias("c"))
     of_class = scratch.keep(of_class)
-    own = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(of_class.withColumnRenamed("n", "n_shingles"), ["n_shingles", "k1", "k2"], "left")
+    own = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(of_class, ["n_shingles", "k1", "k2"], "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return own.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(False)).alias("kept"))
 
