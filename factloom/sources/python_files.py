@@ -17,8 +17,23 @@ SCHEMA = "rec string, module string, scope string, idx long, kind string, target
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, text) of .py files below the paths; unreadable or missing single paths give no row."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).text(list(paths)).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """(path, text) of .py files below the paths; unreadable or missing single paths give no row.
+
+    Spark's readers pass over names that begin with an underscore (packages' __init__ files); those are listed and read by the driver.
+    """
+    seen = spark.read.option("wholetext", True).option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).text(list(paths)).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    jvm, conf, hidden = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in paths:
+        root = jvm.org.apache.hadoop.fs.Path(p)
+        fs = root.getFileSystem(conf)
+        files = fs.listFiles(root, True)
+        while files.hasNext():
+            at = files.next().getPath()
+            if at.getName().startswith("_") and at.getName().endswith(".py"):
+                stream = fs.open(at)
+                hidden.append((at.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+    return seen.union(spark.createDataFrame(hidden, "path string, text string")) if hidden else seen
 
 
 def module_names(files: DataFrame, root: str) -> DataFrame:
