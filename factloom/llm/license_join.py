@@ -1,13 +1,15 @@
 """License scans by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of the text, as its set of words (A-Z lower-cased). A template holds a block if the block has at least
+A block is a line of the text, as its set of words (A-Z lower-cased), or, for notices that are wrapped, a run of consecutive
+words over any line breaks, half as many again as the template has. A template holds a block if the block has at least
 ``threshold`` of the template's words. Words stand in one global order, rarest in the corpus first. With t the words
 needed of a template of n, a block that qualifies has one of the template's first n - t + 1 words (prefix filter), has t
 or more words (length filter), and a pair that meets at places i and j of both orders can still reach t only if
 1 + min(n - i, |block| - j) >= t (positional filter). Pairs left are verified on the sets. Only words of templates matter to
 an overlap, so blocks carry those alone, and the block's length filter counts them. Templates are a fixed list of bounded
 size, so they are broadcast; blocks are neither shuffled nor collected, only word counts and per-document results of the few
-documents with a candidate line are.
+documents with a candidate block are. Runs are looked for only around the words of prefixes: any run that qualifies has one, so it
+lies within its own length of such a word.
 
 Defined results: a null text is the empty text (no words, no labels, score 0); a null id comes back null; repeated rows are
 scanned each; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -52,6 +54,11 @@ def need(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
+def span(template: str) -> int:
+    """Words of the runs that are held against a template: half as many again as it has, repeated ones counted."""
+    return len(template.split()) * 3 // 2
+
+
 def base_starts(words: Column, lead: Column, phrase: str) -> Column:
     """Places where the phrase's words stand consecutively; ``lead``: 1 if the text began with what parts words."""
     parts = phrase.split()
@@ -77,33 +84,48 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = {w: i + 1 for i, w in enumerate(order)}
 
     sets = [(k, label, sorted({rank[w] for w in t.split()})) for k, (label, t) in enumerate(templates)]
-    prefix = [(r, k, label, i, len(rs), need(len(rs), threshold), rs) for k, label, rs in sets for i, r in enumerate(rs[: len(rs) - need(len(rs), threshold) + 1])]
+    prefix = [(r, k, label, i, len(rs), need(len(rs), threshold), span(templates[k][1]), rs) for k, label, rs in sets for i, r in enumerate(rs[: len(rs) - need(len(rs), threshold) + 1])]
     rare = sorted({order[r - 1] for r, *_ in prefix})
 
     lead = F.when(F.get("ws", F.lit(0)) == "", 1).otherwise(0)
     tail = F.when((F.size("ws") > 1) & (F.get("ws", F.size("ws") - 1) == ""), 1).otherwise(0)
     none = F.array().cast("array<int>")
     starts = {label: F.when(F.col("low").rlike(APART.join(phrase.split())), base_starts(F.col("ws"), lead, phrase)).otherwise(none) for phrase, label in PHRASES.items()}
-    ranks = lambda line: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(line, APART), lambda w: F.array_position(F.array(*map(F.lit, order)), w).cast("int")), lambda r: r > 0)))
+    place = lambda w: F.array_position(F.array(*map(F.lit, order)), w).cast("int")
+    ranks = lambda line: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(line, APART), place), lambda r: r > 0)))
     maybe = f"(?:^|[^0-9a-z])(?:{'|'.join(rare)})"
     lines = F.filter(F.transform(F.filter(F.split("low", "\n"), lambda x: x.rlike(maybe)), ranks), lambda x: F.size(x) > 0)
+    # Around each word of a prefix, as far as the longest run reaches: the word and the words there, 0 for those of no template.
+    far = max(span(t) for _, t in templates)
+    hits = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    about = lambda i: F.slice("ws", F.greatest(i - far + 2, F.lit(1)), F.least(i, F.lit(far - 1)) + far)
+    near = F.transform(F.array_distinct(F.transform(hits, lambda i: F.struct(F.get("ws", i).alias("w"), about(i).alias("around")))), lambda x: F.struct(place(x["w"]).alias("r"), F.transform(x["around"], place).alias("around")))
     scratch = Scratch(spark, "licenses")
     kept = scratch.keep(
-        rows.select("doc_id", F.monotonically_increasing_id().alias("row"), (F.size("ws") - lead - tail).cast("long").alias("n_words"), *(x.alias(f"at_{k}") for k, x in enumerate(starts.values())), F.when(F.col("low").rlike(maybe), lines).alias("blocks"))
+        rows.select("doc_id", F.monotonically_increasing_id().alias("row"), (F.size("ws") - lead - tail).cast("long").alias("n_words"), *(x.alias(f"at_{k}") for k, x in enumerate(starts.values())), F.when(F.col("low").rlike(maybe), lines).alias("blocks"), F.when(F.col("low").rlike(maybe), near).alias("near"))
     )
 
     # The join: tokens of blocks against the templates' prefixes, a table of bounded size.
-    small = spark.createDataFrame(prefix, "r int, template int, label string, i int, n int, t int, ranks array<int>")
+    small = spark.createDataFrame(prefix, "r int, template int, label string, i int, n int, t int, span int, ranks array<int>")
     tokens = kept.where("blocks is not null").select("row", F.posexplode("blocks").alias("line", "block")).select("row", "line", "block", F.posexplode("block").alias("j", "r"))
     size = F.size("block")
     pairs = tokens.join(F.broadcast(small), "r").where((size >= F.col("t")) & (F.col("j") <= size - F.col("t")) & (1 + F.least(F.col("n") - 1 - F.col("i"), size - 1 - F.col("j")) >= F.col("t")))
     both = F.size(F.array_intersect("block", "ranks"))
-    found = pairs.where(both >= F.col("t")).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(both / F.col("n")).alias("score"))
+    held = pairs.where(both >= F.col("t")).select("row", "label", "n", both.alias("both"))
+
+    # Runs: the most of the template's words that any run around a word of its prefix has.
+    around = kept.where("near is not null").select("row", F.explode("near").alias("x")).select("row", "x.*").join(F.broadcast(small), "r")
+    around = around.where(F.size(F.array_intersect("around", "ranks")) >= F.col("t"))
+    starts_at = F.sequence(F.lit(1), F.greatest(F.size("around") - F.col("span") + 1, F.lit(1)))
+    most = F.array_max(F.transform(starts_at, lambda k: F.size(F.array_intersect(F.slice("around", k, F.col("span")), "ranks"))))
+    wrapped = around.select("row", "label", "n", "t", most.alias("both")).where("both >= t").drop("t")
+    both = F.col("both")
+    found = held.unionByName(wrapped).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(both / F.col("n")).alias("score"))
 
     at = [f"at_{k}" for k in range(len(starts))]
     every = F.concat(*at)
     base = F.array_compact(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(at, starts, strict=True))))
-    return kept.drop("blocks").join(found, "row", "left").select(
+    return kept.drop("blocks", "near").join(found, "row", "left").select(
         "doc_id",
         "n_words",
         F.size(every).cast("long").alias("n_base"),

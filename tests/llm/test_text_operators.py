@@ -124,6 +124,44 @@ def test_license_join_equals_brute_force(spark):
         assert math.isclose(got[i], best), i
 
 
+def test_licenses_wrapped_over_lines(spark):
+    docs = [
+        (1, " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following\n * conditions are met:"),
+        (2, "a\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"),
+        (3, "Licensed under the Apache\nLicense, Version\n2.0"),
+        (4, "Licensed under the Apache\n" + "word " * 40 + "\nLicense, Version\n2.0"),
+        (5, "\n".join("licensed under cc by nc 4 0".split())),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in license_join.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("apache", 1.0), 4: ("", 0.0), 5: ("cc-by,cc-by-nc", 1.0)}
+
+
+def test_license_runs_equal_brute_force(spark):
+    g = random.Random(9)
+    words = sorted({w for _, t in license_join.TEMPLATES for w in t.split()})
+    docs = []
+    for i in range(120):
+        own = []
+        for _ in range(g.randint(1, 3)):
+            own += [w for w in g.choice(license_join.TEMPLATES)[1].split() if g.random() > 0.04] + g.choices([*words, "x", "y"], k=g.randint(0, 30))
+        docs.append((i, " ".join(w + g.choice(["", "", "\n", ","]) for w in own)))
+    got = {r.doc_id: (set(r.labels.split(",")) - {""}, r.score) for r in license_join.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wrapped = 0
+    for i, t in docs:
+        lines = [x.replace(",", " ").split() for x in t.split("\n")]
+        ws = sum(lines, [])
+        best, labels = 0.0, {label for p, label in license_join.PHRASES.items() if f" {p} " in f" {' '.join(ws)} "}
+        for label, tpl in license_join.TEMPLATES:
+            s, w = set(tpl.split()), license_join.span(tpl)
+            by_line = max(len(s & set(x)) for x in lines)
+            k = max(by_line, max(len(s & set(ws[j : j + w])) for j in range(len(ws))))
+            if k >= license_join.need(len(s), 0.92):
+                wrapped += by_line < license_join.need(len(s), 0.92)
+                best, labels = max(best, k / len(s)), labels | {label}
+        assert got[i][0] == labels and math.isclose(got[i][1], best), i
+    assert wrapped > 20
+
+
 def test_packing_ids_bounds_and_layout(spark, odd_docs):
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     t.encode_special_tokens = True
