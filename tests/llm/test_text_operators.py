@@ -136,6 +136,25 @@ def test_licenses_wrapped_over_lines(spark):
     assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("apache", 1.0), 4: ("", 0.0), 5: ("cc-by,cc-by-nc", 1.0)}
 
 
+def test_licenses_with_a_word_changed(spark, tmp_path):
+    docs = [
+        (1, "Licensed by the Apache License, Version 2.0", "apache"),
+        (2, "Distributed under the\nMIT license", "mit"),
+        (3, "Licensed under the GNU Lesser General Public License, version 3", "lgpl"),
+        (4, "Licensed under the GNU Affero General Public License, version 2", "agpl"),
+        (5, "Licensed under CC BY-NC 3.0", "cc-by,cc-by-nc"),
+        (6, "Licensed under CC BY-ND 4.0", "cc-by"),
+        (7, "Licensed under CC BY 3.0", "cc-by"),
+        (8, "Licensed under the GNU General Public License, version 3", "gpl"),
+        (9, "Released under the direction of MIT", ""),
+        (10, "This is free, unencumbered software put into the public domain", "unlicense"),
+        (11, "Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"),
+    ]
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels for r in license_join.op4_license_join(spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, _, v in docs}
+
+
 def test_license_runs_equal_brute_force(spark):
     g = random.Random(9)
     words = sorted({w for _, t in license_join.TEMPLATES for w in t.split()})
