@@ -95,8 +95,8 @@ def _solver(meet: str, side: str):
 def solve(problem: Dataflow, side: str = "in", largest: int = LARGEST) -> DataFrame:
     """(scope, node, item, cls): facts before the node (``in``) or after it (``out``), in the direction of the problem.
 
-    Scopes are independent: each is solved by one group with bitmaps. Scopes over ``largest`` rows go to the global fixpoint
-    (``may`` only), so that no group is unbounded.
+    Scopes are independent: each is solved by one group with bitmaps. Scopes over ``largest`` rows go to the global fixpoint,
+    ``must`` problems by their complement, so that no group is unbounded.
     """
     spark = problem.edges.sparkSession
     ship(spark)
@@ -112,18 +112,21 @@ def solve(problem: Dataflow, side: str = "in", largest: int = LARGEST) -> DataFr
     schema = f"scope {kind}, node long, item string, cls string"
     if huge.isEmpty():
         return rows.groupBy("scope").applyInPandas(_solver(problem.meet, side), schema)
-    if problem.meet != "may":
-        raise ValueError("a scope is too large for an intersection problem")
     small = rows.join(huge, "scope", "left_anti").groupBy("scope").applyInPandas(_solver(problem.meet, side), schema)
     own = lambda d: d.join(huge, "scope", "left_semi")
-    return small.unionByName(solve_loop(Dataflow(own(problem.edges), own(problem.gen), own(problem.kill), problem.direction), side))
+    loop = solve_loop if problem.meet == "may" else solve_complement
+    return small.unionByName(loop(Dataflow(own(problem.edges), own(problem.gen), own(problem.kill), problem.direction, problem.meet), side))
+
+
+def _facts(problem: Dataflow) -> tuple[DataFrame, DataFrame]:
+    gen = problem.gen.select("scope", F.col("node").cast("long").alias("node"), F.col("item").cast("string").alias("item"), F.col("cls").cast("string").alias("cls"))
+    return gen, problem.kill.select("scope", F.col("node").cast("long").alias("node"), F.col("cls").cast("string").alias("cls"))
 
 
 def solve_loop(problem: Dataflow, side: str = "in") -> DataFrame:
     """The same facts of a ``may`` problem by the semi-naive fixpoint over all scopes at once."""
     e = problem.turned()
-    gen = problem.gen.select("scope", F.col("node").cast("long").alias("node"), F.col("item").cast("string").alias("item"), F.col("cls").cast("string").alias("cls"))
-    kill = problem.kill.select("scope", F.col("node").cast("long").alias("node"), F.col("cls").cast("string").alias("cls"))
+    gen, kill = _facts(problem)
     hop = e.select("scope", F.col("src").alias("node"), "tgt")
     move = lambda d: d.join(hop, ["scope", "node"]).select("scope", F.col("tgt").alias("node"), "item", "cls")
     into = fixpoint(move(gen), lambda d, _: move(d.join(kill, ["scope", "node", "cls"], "left_anti")))
@@ -132,6 +135,26 @@ def solve_loop(problem: Dataflow, side: str = "in") -> DataFrame:
     return into.join(kill, ["scope", "node", "cls"], "left_anti").select("scope", "node", "item", "cls").union(gen.select("scope", "node", "item", "cls")).distinct()
 
 
+def solve_complement(problem: Dataflow, side: str = "in") -> DataFrame:
+    """The same facts of a ``must`` problem: those that no path lacks. What a path lacks is a ``may`` problem: every item at a node
+    without predecessors, and behind a node that kills it; an item is lacked until a node generates it."""
+    e = problem.turned().distinct()
+    gen, kill = _facts(problem)
+    key = ["scope", "node", "item", "cls"]
+    items = gen.select("scope", "item", "cls").distinct()
+    ends = e.select("scope", F.col("tgt").alias("node"))
+    nodes = e.select("scope", F.col("src").alias("node")).union(ends).union(gen.select("scope", "node")).union(kill.select("scope", "node")).distinct()
+    killed = kill.join(items, ["scope", "cls"]).select(*key)
+    hop = e.select("scope", F.col("src").alias("node"), "tgt")
+    behind = lambda d: d.join(gen, key, "left_anti")
+    move = lambda d: behind(d).join(hop, ["scope", "node"]).select("scope", F.col("tgt").alias("node"), "item", "cls")
+    first = nodes.join(ends, ["scope", "node"], "left_anti").join(items, "scope").select(*key)
+    lacked = fixpoint(first.union(move(killed)), lambda d, _: move(d), max(10_000, nodes.count() + 1))
+    if side != "in":
+        lacked = behind(lacked.union(killed))
+    return nodes.join(items, "scope").select(*key).join(lacked, key, "left_anti")
+
+
 def reaching_definitions(stores: DataFrame, edges: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(scope, var, d, n): the definition of var at d reaches the entry of n. stores: (scope, node, var)."""
     gen = stores.select("scope", "node", F.col("node").alias("item"), F.col("var").alias("cls"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.dataflow import LARGEST
 from factloom.operators.fixpoint import fixpoint
 from factloom.session import Scratch, ship
 
@@ -160,16 +161,35 @@ def _dominators(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["scope", "node", "dom"])
 
 
-def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
+def dominators(edges: DataFrame, entries: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(scope, node, dom): every dominator, itself included, of the nodes reachable from the scope's entries.
 
-    Scopes are independent and small, so each is one group: the set equation over bitmaps in reverse postorder. For post-dominators
-    pass reversed edges and the exits.
+    Scopes are independent, and each is one group: the set equation over bitmaps in reverse postorder. Scopes over ``largest`` edges
+    and entries go to the global fixpoint, so that no group is unbounded. For post-dominators pass reversed edges and the exits.
     """
     ship(edges.sparkSession)
     rows = edges.select("scope", F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt"), F.lit(False).alias("entry")).union(entries.select("scope", F.col("node").cast("long").alias("src"), F.lit(-1).cast("long").alias("tgt"), F.lit(True).alias("entry")))
     kind = dict(edges.dtypes)["scope"]
-    return rows.groupBy("scope").applyInPandas(_dominators, f"scope {kind}, node long, dom long")
+    huge = rows.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("scope")
+    grouped = lambda d: d.groupBy("scope").applyInPandas(_dominators, f"scope {kind}, node long, dom long")
+    if huge.isEmpty():
+        return grouped(rows)
+    own = rows.join(huge, "scope", "left_semi")
+    return grouped(rows.join(huge, "scope", "left_anti")).unionByName(dominators_loop(own.where("not entry").select("scope", "src", "tgt"), own.where("entry").select("scope", F.col("src").alias("node"))))
+
+
+def dominators_loop(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same rows by the semi-naive fixpoint over all scopes at once: a node's dominators are those that no path to it avoids."""
+    hop, entries = edges.select("scope", F.col("src").alias("node"), "tgt").distinct(), entries.distinct()
+    rounds = max(10_000, hop.count() + 1)
+    node = fixpoint(entries, lambda d, _: d.join(hop, ["scope", "node"]).select("scope", F.col("tgt").alias("node")), rounds)
+    dom = node.select("scope", F.col("node").alias("dom"))
+    avoided = fixpoint(
+        entries.join(dom, "scope").where("node != dom").select("scope", "node", "dom"),
+        lambda d, _: d.join(hop, ["scope", "node"]).where("tgt != dom").select("scope", F.col("tgt").alias("node"), "dom"),
+        rounds,
+    )
+    return node.join(dom, "scope").select("scope", "node", "dom").join(avoided, ["scope", "node", "dom"], "left_anti")
 
 
 def immediate_dominators(dom: DataFrame) -> DataFrame:

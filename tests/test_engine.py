@@ -1,5 +1,7 @@
 """The analysis engine's operators on small inputs."""
 
+import random
+
 import pytest
 
 from factloom.functions import context, lattice, points_to_sets
@@ -66,6 +68,20 @@ def test_grouped_and_loop_dataflow_agree(spark):
     assert rows(dataflow.def_use(grouped, loads), "d", "u") == [(1, 2), (3, 2), (4, 6)]
 
 
+def test_large_scopes_have_the_same_must_facts_and_dominators(spark):
+    g = random.Random(6)
+    e = spark.createDataFrame(sorted({(s, g.randint(0, 8), g.randint(1, 8)) for s in "abc" for _ in range(13)}), "scope string, src long, tgt long")
+    gen = spark.createDataFrame([(s, n, v, v[0]) for s in "abc" for n in range(9) for v in ("x1", "x2", "y1") if g.random() < 0.3], "scope string, node long, item string, cls string")
+    kill = spark.createDataFrame([(s, g.randint(0, 8), "x") for s in "abc"], "scope string, node long, cls string")
+    for direction in ("forward", "backward"):
+        problem = dataflow.Dataflow(e, gen, kill, direction, "must")
+        for side in ("in", "out"):
+            want = rows(dataflow.solve(problem, side), "scope", "node", "item", "cls")
+            assert want and want == rows(dataflow.solve(problem, side, 1), "scope", "node", "item", "cls")
+    entries = spark.createDataFrame([("a", 0), ("b", 0), ("b", 3), ("c", 0), ("d", 5)], "scope string, node long")
+    assert rows(graph.dominators(e, entries), "scope", "node", "dom") == rows(graph.dominators(e, entries, 1), "scope", "node", "dom")
+
+
 def test_closure_variables(spark):
     s = spark.createDataFrame([("m", None), ("m.f", "m"), ("m.f.g", "m.f")], "scope string, parent string")
     v = lambda *p: spark.createDataFrame(list(p), "scope string, var string")
