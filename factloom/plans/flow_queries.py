@@ -83,7 +83,9 @@ def definitely_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, stores, _ = _program(spark, sf_dir)
     gen = stores.select("scope", "node", F.col("var").alias("item"), F.col("var").alias("cls"))
     none = gen.select("scope", "node", "cls").limit(0)
-    return dataflow.solve(dataflow.Dataflow(edges, gen, none, meet="must")).select("scope", "node", F.col("cls").alias("var"))
+    # Statement 1 may be jumped to; a node 0 before it holds that nothing is assigned where a scope begins.
+    begin = edges.select("scope", F.lit(0).cast("long").alias("src"), F.lit(1).cast("long").alias("tgt")).distinct()
+    return dataflow.solve(dataflow.Dataflow(edges.unionByName(begin), gen, none, meet="must")).select("scope", "node", F.col("cls").alias("var"))
 
 
 @query(f"""WITH {CODE_SQL} SELECT scope, idx, kind FROM (SELECT *, lead(kind) OVER (PARTITION BY scope ORDER BY idx) AS nk FROM code) x

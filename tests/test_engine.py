@@ -8,6 +8,7 @@ from factloom.functions import context, lattice, points_to_sets
 from factloom.operators import cfg, dataflow, graph, hierarchy
 from factloom.operators.fixpoint import NotConverged, fixpoint
 from factloom.operators.points_to import first_base_wins, points_to
+from factloom.plans import flow_queries
 from pyspark.sql import functions as F
 
 
@@ -82,6 +83,13 @@ def test_large_scopes_have_the_same_must_facts_and_dominators(spark):
     assert rows(graph.dominators(e, entries), "scope", "node", "dom") == rows(graph.dominators(e, entries, 1), "scope", "node", "dom")
 
 
+def test_nothing_is_assigned_where_a_scope_begins(spark, tmp_path):
+    events = [(1, k, k, what, '{"k": 1}') for k, what in enumerate(("signup", "view", "error", "click"), 1)]
+    spark.createDataFrame(events, "user_id long, ts long, event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(flow_queries.definitely_assigned(spark, str(tmp_path)), "node", "var")
+    assert got == [(2, "signup"), (3, "signup"), (3, "view"), (4, "signup"), (4, "view")]
+
+
 def test_closure_variables(spark):
     s = spark.createDataFrame([("m", None), ("m.f", "m"), ("m.f.g", "m.f")], "scope string, parent string")
     v = lambda *p: spark.createDataFrame(list(p), "scope string, var string")
