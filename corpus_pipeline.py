@@ -51,4 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.only(docs)
     return docs

@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[int, str] = {}
 _LOCAL: dict[str, str] = {}
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20)  # setting, Spark's own value, this package's
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per Spark application (``--py-files`` in code)."""
     sc = spark.sparkContext
     app = sc.applicationId
+    name, plain, own = BATCH
+    if spark.conf.get(name).rstrip("b") == str(plain):  # smaller batches to Python workers bound their memory when rows are long
+        spark.conf.set(name, own)
     if _SHIPPED.get(id(sc)) == app:
         return
     root = Path(__file__).resolve().parent
@@ -38,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="factloom-shared-")
@@ -56,7 +62,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.at: dict[int, str] = {}
+        self.at: dict[int, tuple[DataFrame, str]] = {}
         jvm = spark.sparkContext._jvm
         self.path = jvm.org.apache.hadoop.fs.Path(self.base)
         self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -71,11 +77,15 @@ class Scratch:
         out = df.write.option("compression", compression).mode("overwrite")
         (out.partitionBy(*by) if by else out).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
+        self.at[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
-            path = self.at.pop(id(t), None) if t is not None else None
-            if path:
-                self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+            held = self.at.pop(id(t), None) if t is not None else None
+            if held:
+                self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held[1]), True)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        self.drop(*(t for t, _ in list(self.at.values()) if not any(t is x for x in tables)))
