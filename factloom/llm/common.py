@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Remembered(dict):
+    """Values of words, each computed once and remembered up to about ``most`` bytes; then all are forgotten. Long words are never kept."""
+
+    def __init__(self, of: Callable, most: int = 24_000_000, each: int = 200):
+        super().__init__()
+        self.of, self.most, self.each, self.held = of, most, each, 0
+
+    def __missing__(self, word):
+        x = self.of(word)
+        if len(word) < 64:
+            self.held += len(word) + self.each
+            if self.held > self.most:
+                self.clear()
+                self.held = len(word) + self.each
+            self[word] = x
+        return x
+
+
+def tidy() -> None:
+    """Give a worker's freed memory back to the system: workers are reused, and what one operator leaves would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from each(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package shipped to the executors."""
+    """mapInArrow with this package shipped to the executors; a worker gives memory back at the end of each partition."""
     ship(df.sparkSession)
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(tidied(each), schema)
+
+
+def filtered(df: DataFrame, text_col: str, keep: Callable[[Iterator[pa.Array]], Iterator[pa.Array]]) -> DataFrame:
+    """Rows for which ``keep`` says true of the text (null: empty). Only texts go to the Python worker, and only flags come back."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def flags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(keep)(batches)
+
+    return df.where(flags(F.col(text_col).cast("string")))
 
 
 def bucket10(id_col: str, n: int) -> Column:

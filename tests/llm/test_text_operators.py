@@ -7,6 +7,7 @@ from hashlib import sha256
 from itertools import product
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from factloom.llm import bpe_queue, hmm_scoring, hyperminhash, language_segments, license_join, packing, secret_crf, toxicity_ordinal
 
+SF = "/root/testdata/sf0.001"
 EMPTY = "doc_id long, text string, lang string"
 
 
@@ -80,13 +82,96 @@ def test_base_spans():
 
 def test_viterbi_and_marginals_equal_brute_force():
     g = np.random.default_rng(3)
-    unary, moves, out = g.normal(size=(4, 3)), g.normal(size=(4, 3, 3)), g.normal(size=3)
-    score = lambda tags: moves[0, 0, tags[0]] + sum(unary[i, t] for i, t in enumerate(tags)) + sum(moves[i, a, b] for i, (a, b) in enumerate(zip(tags, tags[1:], strict=False), 1)) + out[tags[-1]]
+    unary, move = g.normal(size=(4, 3)), g.normal(size=(3, 3))
+    score = lambda tags: sum(unary[i, t] for i, t in enumerate(tags)) + sum(move[a, b] for a, b in zip((0, *tags), (*tags, 0), strict=True))
     every = list(product(range(3), repeat=4))
-    assert tuple(secret_crf.viterbi(unary, moves, out)) == max(every, key=score)
-    p, _, z = secret_crf.marginals(unary, moves, out)
-    assert math.isclose(z, math.log(sum(math.exp(score(t)) for t in every)), rel_tol=1e-9)
-    assert np.allclose(p.sum(1), 1)
+    assert tuple(secret_crf.viterbi(unary, move)) == max(every, key=score)
+    p, pair, z = secret_crf.marginals(np.stack([unary, unary]), move)
+    share = {t: math.exp(score(t) - z[0]) for t in every}
+    assert math.isclose(sum(share.values()), 1, rel_tol=1e-9)
+    assert np.allclose(p[0], [[sum(x for t, x in share.items() if t[i] == k) for k in range(3)] for i in range(4)])
+    expected = np.zeros((3, 3))
+    for t, x in share.items():
+        np.add.at(expected, ((0, *t), (*t, 0)), x)
+    assert np.allclose(pair, 2 * expected)
+
+
+@pytest.fixture(scope="module")
+def prose():
+    """Texts of the smallest tables, without and with base secrets."""
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    return [t for t in texts if not secret_crf.base_spans(t)], [t for t in texts if secret_crf.base_spans(t)]
+
+
+def test_runs_left_out_of_decoding_are_outside_in_every_best_path(prose):
+    """Decoding only the runs between tokens that are certainly outside gives what Viterbi gives on whole texts."""
+    chain = secret_crf.train([t[:3000] for t in prose[0][:40]], steps=40, made=400)
+    tagger = secret_crf.Tagger(chain)
+    g, found = random.Random(4), 0
+    for k in range(60):
+        value = secret_crf.MAKERS[g.choice(list(secret_crf.MAKERS))](g)
+        t = f"{g.choice(prose[0])[:300]} {g.choice(secret_crf.NAMES)}{g.choice(secret_crf.SIGNS)}{value} and:{value[:7]} {value[::-1]}"
+        spans, _ = secret_crf.tagged(t, [])
+        at = [t[s:e] for s, e in spans]
+        u = []
+        for i, (s, _) in enumerate(spans):
+            name = chain.score(secret_crf.name_features(at[i - 1] if i else ""))
+            parts = [chain.score(secret_crf.own_features(at[i])), tuple(max(-secret_crf.NAME, min(secret_crf.NAME, x)) for x in name), chain.score(secret_crf.gap_features(t[spans[i - 1][1] if i else 0 : s])), chain.score(secret_crf.next_features(at[i + 1] if i + 1 < len(at) else "")), chain.score(secret_crf.file_features(t))]
+            u.append((0.0, sum(p[0] for p in parts) - chain.caution, sum(p[1] for p in parts) - chain.caution))
+        want: list[tuple[int, int]] = []
+        last = 0
+        for tag, (s, e) in zip(secret_crf.viterbi(np.array(u), chain.move), spans, strict=True):
+            if tag == 2 and last:
+                want[-1] = (want[-1][0], e)
+            elif tag:
+                want.append((s, e))
+            last = tag
+        assert tagger.spans(t) == want, k
+        found += len(want)
+    assert found > 30
+
+
+@pytest.mark.parametrize("kind", ["prefixed", "parts", "mixed", "upper", "letters"])
+def test_secrets_of_a_kind_not_learned(prose, kind):
+    """Left out of training, a kind of secret is still found in most texts that it is put into; clean texts get no span."""
+    clean, hit = prose
+    tagger = secret_crf.Tagger(secret_crf.train([t[:3000] for t in [*hit, *clean[:60]]], without=(kind,)))
+    g, caught = random.Random(9), 0
+    for _ in range(100):
+        left, value = g.choice(clean)[:200], secret_crf.MAKERS[kind](g)
+        s = len(left) + len(" api_key = ")
+        caught += any(a <= s and e >= s + len(value) - 1 for a, e in tagger.spans(f"{left} api_key = {value} {left}"))
+    assert caught >= (50 if kind == "letters" else 85)
+    assert sum(bool(tagger.spans(t)) for t in clean) <= len(clean) // 100
+
+
+def test_planted_secrets(prose):
+    tagger = secret_crf.Tagger(secret_crf.train([t[:3000] for t in [*prose[1], *prose[0][:60]]]))
+    for t, secret in (("use ghp_AbCdEfGhIjKlMnOpQrStUvWxYz0123456789 here", "ghp_AbCdEfGhIjKlMnOpQrStUvWxYz0123456789"), ("client_key: 9f8e7d6c5b4a39281706", "9f8e7d6c5b4a39281706"), ("send xoxb-2837465-AbCdEf01234GhIjKl to", "xoxb-2837465-AbCdEf01234GhIjKl"), ("pwd=Tr0ub4dor3xyz99", "Tr0ub4dor3xyz99")):
+        assert [t[s:e] for s, e in tagger.spans(t)] == [secret], t
+    for t in ("The cat sat on the mat.", "order: 123456789", "see www.example.com/path/12", "version = 10.2.3", "commit 3f2a9b1 fixes"):
+        assert not tagger.spans(t), t
+
+
+def test_secret_query_equals_brute_force(spark):
+    """Counts and digest of the base spans over whole texts, from patterns written out anew."""
+    import re
+
+    def spans(t):
+        out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
+        out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        return sorted(out)
+
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    got = {r.doc_id: r for r in secret_crf.op2_secret_crf(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = spans(t or "")
+        listed = ",".join(f"{k}:{s}:{e}" for s, _, k, e in want)
+        assert got[i].base_sha256 == sha256(listed.encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(w[1] == n for w in want) for n in range(3)]
+        assert set(listed.split(",")) - {""} <= set(got[i].spans.split(","))
 
 
 def test_secrets_on_odd_rows(spark, odd_docs):
