@@ -13,7 +13,7 @@ expected counts are vectors of fixed length, summed over partitions by Spark. Wo
 and never reach the driver; the model (states x classes) is bounded and is broadcast in the closures.
 
 Defined results: null text is the empty text (one end token); a null id is hashed as empty text and comes back
-null; repeated rows are scored (and counted) each; an empty table gives an empty result; other columns are
+null; repeated rows are scored (and counted) each; very long texts are scored whole; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
 
@@ -39,7 +39,6 @@ from factloom.session import Scratch, ship
 CLASSES = 4096  # word classes; class CLASSES is the end token
 COARSE = 128  # coarser classes of the matrix that initialises training
 CHUNK = 24_000_000  # bytes of text in a chunk
-TASKS = 1024  # at most so many partial sums of one vector
 SCHEMA = "kind int, chunk string, bucket int, a binary, b binary, c binary, d binary, e binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -73,9 +72,8 @@ def chunked(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         flags = held + 2 * np.array([d is None for d in docs])
         out = [(0, name, -1, packed(every), packed(lens), packed(np.array([d or 0 for d in docs], np.int64)), packed(flags.astype(np.int8)), packed((code % CLASSES).astype(np.uint16)))]
         order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = order[cuts[b] : cuts[b + 1]]
+        there, cuts = np.unique(where[order], return_index=True)
+        for b, own in zip(there.tolist(), np.split(order, cuts[1:]), strict=False):
             if len(own):
                 out.append((1, name, b, zstandard.compress(b" ".join([words[i] for i in own]), 1), packed(n[own].astype(np.int32)), packed(own.astype(np.int32)), None, None))
         return pa.RecordBatch.from_pylist([dict(zip(("kind", "chunk", "bucket", "a", "b", "c", "d", "e"), r, strict=True)) for r in out], schema=pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("bucket", pa.int32()), *((x, pa.binary()) for x in "abcde")]))
@@ -286,10 +284,9 @@ def hmm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ship(spark)
     scratch = Scratch(spark, "hmm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (bucket10(id_col, 10) == 0).alias("held"))
-    buckets = int(min(8192, max(12, 2 * rows.rdd.getNumPartitions())))
+    buckets = max(12, 2 * rows.rdd.getNumPartitions())
     kept = scratch.keep(mapped(rows, chunked(buckets), SCHEMA), "kind")
     chunks = kept.where("kind = 0").select("chunk", "a", "b", "c", "d", "e")
-    chunks = chunks.coalesce(TASKS) if chunks.rdd.getNumPartitions() > TASKS else chunks
     replies = scratch.keep(kept.where("kind = 1").select("chunk", "bucket", "a", "b", "c").groupBy("bucket").applyInPandas(merged, "chunk string, sums array<double>, at binary, counts binary"))
     sums = np.zeros(2 * CLASSES)
     for r in replies.where("sums is not null").select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect():
