@@ -11,8 +11,9 @@ never the pairs; the forests' components are the result's. Products in single pr
 under the threshold, double precision the rest.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, link with nothing (0 links, own
-component, kept); a null id takes no part (component null, kept false); rows of an id that repeat count as rows; an empty table gives an
-empty result; other columns, labels too, are ignored.
+component, kept); so do those of another length than most have; a null id takes no part (component null, kept false); rows of an id that repeat
+count as rows, and come back each, with the most links and the smallest component of the id's vectors; an empty table gives an empty result;
+other columns, labels too, are ignored. ``most`` bounds the pivots that go to all tasks; cells that grow beyond a tile are joined by tiles.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     labels = components(found.where("rep != b").select(F.col("rep").alias("a"), "b"), scratch)
     of_class = classes.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
     of_class = scratch.keep(of_class)
-    linked = good.join(of_class, "v").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
+    linked = good.join(of_class, "v").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    scratch.only(good, of_class)
     out = ids.join(linked, "vec_id", "left")
     c = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), c.alias("component_id"), F.coalesce(c == F.col("vec_id"), F.lit(False)).alias("kept"))

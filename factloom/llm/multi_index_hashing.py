@@ -10,8 +10,8 @@ The radius comes from the sample: it covers ``cover`` of the pairs that are as n
 table. A query that finds fewer than k in a block widens its radius there. Every row is indexed. Blocks of rows and
 blocks of queries have bounded size and meet by their numbers; a query's best of each block are merged.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, and null ids, take no part; repeated rows
-of an id are one; ties go to the smaller vec_id; an empty table, or a query without candidates, gives no rows; other columns
+Defined results: vectors that are null, zero, of another length than most have, or hold null or non-finite components, and null ids, take no part; repeated
+rows of an id are one, its smallest vector in order; ties go to the smaller vec_id; an empty table, or a query without candidates, gives no rows; other columns
 are ignored.
 """
 
@@ -60,12 +60,14 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def radius(x: np.ndarray, r: np.ndarray, most: float, n: int, k: int, cover: float) -> int:
     """The Hamming radius that covers so large a share of the sample's nearest pairs, at the rank that k of n rows are there."""
     c, q = codes(lifted(x, most), r), codes(np.pad(x, ((0, 0), (0, 1))), r)
-    ask = np.arange(len(x))[: max(1, min(len(x), 400))]
-    ip = x[ask] @ x.T
-    ip[np.arange(len(ask)), ask] = -np.inf
-    rank = int(np.clip(round(k * len(x) / max(1, n)), 1, max(1, len(x) - 1)))
-    near = np.argpartition(-ip, min(rank, len(x) - 1), axis=1)[:, :rank]
-    return int(np.quantile(hamming(q[ask][:, None], c[near]), cover))
+    rank, far = int(np.clip(round(k * len(x) / max(1, n)), 1, max(1, len(x) - 1))), []
+    for lo in range(0, len(x), 512):
+        ask = np.arange(lo, min(lo + 512, len(x)))
+        ip = x[ask] @ x.T
+        ip[np.arange(len(ask)), ask] = -np.inf
+        near = np.argpartition(-ip, min(rank, len(x) - 1), axis=1)[:, :rank]
+        far.append(hamming(q[ask][:, None], c[near]).ravel())
+    return int(np.quantile(np.concatenate(far), cover))
 
 
 def budgets(r: int, parts: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "mih")
-    rows = scratch.keep(usable(df, id_col, vec_col).dropDuplicates(["vec_id"]))
+    rows = scratch.keep(usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")))
     asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n, asked, norm = rows.agg(F.count("*"), F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n or not asked:

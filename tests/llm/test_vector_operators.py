@@ -61,6 +61,17 @@ def test_metric_join_equals_brute_force(vectors, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].kept for i in (600, 601, 602, 603, 620))
 
 
+def test_repeated_ids_ties_and_odd_lengths(spark):
+    """An id's smallest vector searches and is found; ties go to the smaller id; each row of a join comes back, with the id's most links."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [-1.0, 5.0]), (3, [2.0, 0.0]), (2, [2.0, 0.0]), (5, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (4, [0.0, 9.0])]
+    df = spark.createDataFrame([(i, v, "x", 0.5) for i, v in rows], "vec_id long, embedding array<double>, score string, rank double")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in multi_index_hashing.nearest(df).collect()}
+    assert [got[0, k] for k in range(1, 5)] == [(2, 2.0), (3, 2.0), (4, 0.0), (20, -1.0)]
+    assert got[20, 1] == (4, 45.0) and len(got) == 8
+    out = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df).collect())
+    assert out == [(-1, 0, None, False), (0, 3, 0, True), (0, 3, 0, True), (2, 3, 0, False), (3, 3, 0, False), (4, 2, 4, True), (5, 0, 5, True), (20, 2, 4, False), (20, 2, 4, False)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert multi_index_hashing.nearest(none).count() == 0 and metric_join.near_vectors(none).count() == 0
