@@ -8,7 +8,7 @@ is missed by all with probability 5e-6. Pairs from bands are estimated from thei
 number of accidental register collisions taken off; pairs far below the threshold end there, and all others are
 verified on the full sets.
 
-No pairs of a group are listed. Documents with equal sets are one class throughout. A bucket of a band gives only pairs
+Documents with equal sets are one class throughout. A bucket of a band gives only pairs
 with its centre, the smallest id. Links found join classes. In a bucket whose classes aren't all joined yet, shingles that only one
 document of all such buckets has can't be shared: a document with too few others is ruled out there, exactly, and the next
 centre is the one with fewest of them, which is the original of a group of edited copies. Of what is still apart after it, pairs
@@ -17,11 +17,13 @@ band is verified, joined already, or ruled out.
 
 Defined results: a document without words or text has no shingle, is linked with nothing and is its own component; fewer
 than five words are one shingle; a null id takes no part (component null, kept false); repeated rows with one id are
-one document and come back each; an empty table gives an empty result; other columns are ignored.
+one document and come back each; texts of any length are taken whole; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,32 +32,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, components, mapped, mix64, table
+from factloom.llm.common import U64, Remembered, components, mapped, mix64, table
 from factloom.session import Scratch
 
 WIDTH = 5
 REGISTERS, ROWS = 128, 4
 MANTISSA = 10
-KEPT = 300_000  # word hashes that a worker remembers
+TILE = 2000  # rows of a group's size class that are compared with one another in a task
 BASE = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WIDTH + 1)], U64)
 ORDER = np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1)
 BOUNDS = np.arange(REGISTERS, dtype=U64) << U64(57)
 SALTS = mix64(np.arange(1, REGISTERS // ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+def hashes() -> Remembered:
+    """64-bit hashes of words."""
+    return Remembered(xxhash.xxh3_64_intdigest, 20_000_000)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 64:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = h
-        return h
 
-
-def shingles(text: str | None, known: Hashes) -> np.ndarray:
+def shingles(text: str | None, known: Remembered) -> np.ndarray:
     """Sorted distinct hashes of the text's five-word shingles; of all its words if they are fewer."""
     words = (text or "").encode().lower().split()
     n = len(words)
@@ -109,7 +104,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, size and fingerprint of each set, its registers and bands."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        known = hashes()
         for b in batches:
             out = []
             for t in b.column(1):
@@ -168,7 +163,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     """(rep, set) of the documents with these ids: the full sets, recomputed from the texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        known = hashes()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), known).tobytes() for t in b.column(1)], pa.binary())], names=["rep", "set"])
 
@@ -190,11 +185,8 @@ def single_shingles(sets: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count("*").alias("u"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, few: int = 6) -> DataFrame:
-    """One row per document: size of its set, smallest id reachable by links, whether that is its own.
-
-    Buckets with at most ``few`` documents left to compare are compared at once.
-    """
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+    """One row per document: size of its set, smallest id reachable by links, whether that is its own."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     least = round(100 * threshold)
@@ -244,8 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         info = scratch.keep(reps.select("rep", "n").join(of, "rep").join(single_shingles(sets.join(of, "rep", "left_semi")), "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")), tasks=tasks)
         rest = possible(apart, info)
         centres = scratch.keep(rest.groupBy("key").agg(F.min(F.struct("u", "rep")).alias("x")).select("key", F.col("x.rep").alias("b")), tasks=tasks)
-        small = rest.where(F.col("left") <= few).select("key", F.col("rep").alias("b"))
-        new = rest.join(centres.union(small), "key").where("rep != b").select(*pair)
+        new = rest.join(centres, "key").where("rep != b").select(*pair)
         new = scratch.keep(new.distinct(), tasks=tasks)
         sizes = compared(new)
         edges = edges.union(sizes.where(link).select("a", "b"))
@@ -258,16 +249,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             shared_with = sizes.select(F.col("a").alias("c"), F.col("b").alias("rep"), "both").union(sizes.select("b", "a", "both"))
             group = rest.join(centres.withColumnRenamed("b", "c"), "key").select("c", "rep", "label", "n", "u").distinct()
             group = scratch.keep(group.join(shared_with, ["c", "rep"], "left").withColumn("i", F.when(F.col("rep") == F.col("c"), F.col("n")).otherwise(F.col("both"))).select("c", "rep", "label", "n", "u", "i"), tasks=tasks)
-            other = group.select("c", *(F.col(x).alias(f"{x}2") for x in ("rep", "label", "n", "u", "i")))
+            # A link needs sizes within a factor of the threshold, so only neighbouring size classes meet; a class over ``TILE`` rows is cut
+            # into tiles, so that no task compares more than TILE x TILE rows.
+            group = group.withColumn("k", F.floor(F.log("n") / -math.log(threshold)))
+            tiles = scratch.keep(group.groupBy("c", "k").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), tasks=tasks)
+            place = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
+            each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+            own_side = group.withColumn("k2", F.explode(F.array(*(F.col("k") + d for d in (-1, 0, 1))))).join(tiles, ["c", "k"])
+            own_side = own_side.join(tiles.select("c", F.col("k").alias("k2"), F.col("tiles").alias("tiles2")), ["c", "k2"])
+            own_side = own_side.withColumn("p", place(F.col("tiles"))).withColumn("q", each(F.col("tiles2")))
+            other = group.withColumnRenamed("k", "k2").join(tiles.select("c", F.col("k").alias("k2"), F.col("tiles").alias("tiles2")), ["c", "k2"])
+            other = other.withColumn("k", F.explode(F.array(*(F.col("k2") + d for d in (-1, 0, 1))))).join(tiles, ["c", "k"])
+            other = other.withColumn("q", place(F.col("tiles2"))).withColumn("p", each(F.col("tiles")))
+            other = other.select("c", "k", "k2", "p", "q", *(F.col(x).alias(f"{x}2") for x in ("rep", "label", "n", "u", "i")))
             out = lambda n, i, u: F.greatest(F.col(n) - F.col(i) - F.col(u), F.lit(0))
             bound = F.least(F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")), F.least("i", "i2") + F.least(out("n", "i", "u"), out("n2", "i2", "u2")))
             bound = F.when(F.col("i").isNull() | F.col("i2").isNull(), F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))).otherwise(bound)
-            last = group.join(other, "c").where((F.col("label") < F.col("label2")) & (bound * (100 + least) >= least * (F.col("n") + F.col("n2"))))
+            last = own_side.join(other, ["c", "k", "k2", "p", "q"]).where((F.col("label") < F.col("label2")) & (bound * (100 + least) >= least * (F.col("n") + F.col("n2"))))
             last = scratch.keep(last.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), tasks=4 * tasks)
             edges = edges.union(compared(last.join(new, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")).where(link).select("a", "b"))
             labels = components(edges, scratch)
     of_class = reps.select("n", "k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("n_shingles"), "k1", "k2", F.coalesce("label", "rep").alias("c"))
     of_class = scratch.keep(of_class)
+    scratch.only(all_docs, of_class)
     own = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(of_class, ["n_shingles", "k1", "k2"], "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return own.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(False)).alias("kept"))
@@ -275,8 +279,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """The rows whose id is the smallest of its group, with all their columns. Rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    gone = near_duplicates(docs, id_col, text_col, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

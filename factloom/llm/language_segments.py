@@ -7,12 +7,12 @@ words' sum is the text's. A character that no piece has counts as one unknown pi
 
 Training (expectation-maximisation of the same sum): for each language, words of a bounded random sample of rows (about
 ``sample`` rows, chosen by hash of id against the language's number of rows), counted; each round's expected uses are
-summed over partitions, and the result is one number per piece and language. Rows whose crc32(id) mod 4 is 2 are held out; lang, source and id are never
-inputs of a prediction. ``limit`` bounds the distinct lang values.
+summed over partitions, and the result is one number per piece and language, so the model grows with the number of languages only. Rows whose
+crc32(id) mod 4 is 2 are held out; lang, source and id are never inputs of a prediction.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if nothing was learned; a null
-id comes back null; ties go to the language first in order; repeated rows are scored each; an empty table gives an empty
-result; other columns are ignored.
+id comes back null; ties go to the language first in order; repeated rows are scored each; very long texts are scored whole, in portions; very
+long words too, with sums scaled; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket10, mapped, table
+from factloom.llm.common import bucket10, filtered, mapped, table
 from factloom.session import Scratch
 
 VOCABULARY = "piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-KEPT = 300_000  # words that a worker remembers
+KEPT = 48_000_000  # bytes, about, of words and their scores that a worker remembers
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (by str.isalpha) of the lower-cased text. The pattern also takes numbers that aren't decimal digits, such as fractions, so runs that hold some are cut there."""
+    out = LETTERS.findall(text.lower()) if text else []
+    if out and not "".join(out).isalpha():
+        out = [p for w in out for p in "".join(c if c.isalpha() else " " for c in w).split()]
+    return out
+
+
 @lru_cache(2)
 def pieces(path: str) -> dict[str, int]:
     """Pieces of letters, with or without the word mark, by id."""
@@ -98,6 +106,28 @@ def log_words(words: list[str], index: dict[str, int], longest: int, p: np.ndarr
     return out
 
 
+def piece_uses(lattice: list[tuple[int, int, int]], n: int, q: list[float]) -> Iterator[tuple[int, float]]:
+    """Expected uses of pieces over all segmentations of a word of n characters, its mark counted; in logs if it is too long for plain sums."""
+    fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
+    fwd[0] = bwd[n] = 1.0
+    if n <= 60:  # no piece is under 1e-5 by much, so nothing underflows
+        for i, j, x in lattice:
+            fwd[j] += fwd[i] * q[x]
+        for i, j, x in reversed(lattice):
+            bwd[i] += bwd[j] * q[x]
+        if fwd[n] > 1e-280:
+            yield from ((x, fwd[i] * q[x] * bwd[j] / fwd[n]) for i, j, x in lattice)
+            return
+    # Scaled by place: a[i] is the sum up to i divided by exp(s[i]).
+    lf, lb, logs = [-np.inf] * (n + 1), [-np.inf] * (n + 1), [(i, j, x, np.log(q[x])) for i, j, x in lattice]
+    lf[0] = lb[n] = 0.0
+    for i, j, _, w in logs:
+        lf[j] = np.logaddexp(lf[j], lf[i] + w)
+    for i, j, _, w in reversed(logs):
+        lb[i] = np.logaddexp(lb[i], lb[j] + w)
+    yield from ((x, float(np.exp(lf[i] + w + lb[j] - lf[n]))) for i, j, x, w in logs)
+
+
 def expected(path: str, langs: list[str], p: np.ndarray):
     """Expected uses of each piece, of a partition's (lang, word, n), by forward and backward sums over segmentations."""
 
@@ -109,29 +139,18 @@ def expected(path: str, langs: list[str], p: np.ndarray):
         for b in batches:
             for lang, word, count in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 k = langs.index(lang)
-                q, uses, lattice, n = own[k], seen[k], spans(MARK + word, index, longest), len(word) + 1
-                fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
-                fwd[0] = bwd[n] = 1.0
-                for i, j, x in lattice:
-                    fwd[j] += fwd[i] * q[x]
-                if fwd[n] <= 0:
-                    continue  # a word too long for these sums; the scores scale them
-                for i, j, x in reversed(lattice):
-                    bwd[i] += bwd[j] * q[x]
-                for i, j, x in lattice:
-                    uses[x] += count * fwd[i] * q[x] * bwd[j] / fwd[n]
+                for x, v in piece_uses(spans(MARK + word, index, longest), len(word) + 1, own[k]):
+                    seen[k][x] += count * v
         rows = [(k, x, v) for k, uses in enumerate(seen) for x, v in uses.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["lang", "piece", "v"])
 
     return each
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str, sample: int, rounds: int, limit: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str, sample: int, rounds: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors, piece probabilities (pieces and the unknown one x languages)."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")).alias("h"), bucket10(id_col, 4).alias("fold")).where("fold != 2 and lang is not null and text is not null")
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(limit + 1).collect()}
-    if len(n) > limit:
-        raise ValueError(f"over {limit} values of {lang_col}")
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(n)
     if not langs:
         return [], np.zeros(0), np.zeros((1, 0))
@@ -142,7 +161,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str,
         for b in batches:
             c: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c[lang].update(LETTERS.findall(text.lower()))
+                c[lang].update(words_of(text))
             for lang, own in c.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -165,9 +184,9 @@ def scorer(langs: list[str], prior: np.ndarray, p: np.ndarray, path: str):
 
     def score(texts: list[str | None]) -> list[tuple[str, float]]:
         nonlocal logs
-        split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(at))
-        if len(at) + len(new) > KEPT:
+        if (len(at) + len(new)) * (180 + 8 * len(langs)) > KEPT:
             at.clear()
             logs = np.zeros((0, len(langs)))
             new = list(set().union(*split))
@@ -188,10 +207,11 @@ def scorer(langs: list[str], prior: np.ndarray, p: np.ndarray, path: str):
     return score
 
 
-def portions(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
+def portions(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
     own: list[str | None] = []
     size = 0
-    for t in texts:
+    for x in texts:
+        t = x.as_py()
         own.append(t)
         size += len(t or "")
         if size >= most:
@@ -201,32 +221,35 @@ def portions(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[st
         yield own
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, sample: int = 400, rounds: int = 3, limit: int = 500) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, sample: int = 400, rounds: int = 3) -> DataFrame:
     """Predicted language of each text, with its posterior probability."""
     path = path or public_tokenizers.path(VOCABULARY)
-    model = learn(docs, id_col, text_col, lang_col, path, sample, rounds, limit)
+    model = learn(docs, id_col, text_col, lang_col, path, sample, rounds)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model, path)
         for b in batches:
-            out = [x for own in portions(b.column(2).to_pylist()) for x in score(own)]
+            out = [x for own in portions(b.column(2)) for x in score(own)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), (bucket10(id_col, 4) == 2).alias("held_out"), F.col(text_col).cast("string").alias("text")), each, SCHEMA)
 
 
-def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, sample: int = 400, rounds: int = 3, limit: int = 500, least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language with at least so much posterior probability; rows without a letter go."""
+def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, sample: int = 400, rounds: int = 3, least: float = 0.5) -> DataFrame:
+    """The rows whose text has a language with at least so much posterior probability; rows without a letter go. If no language could be
+    learned, every row with a letter stays."""
     path = path or public_tokenizers.path(VOCABULARY)
-    model = learn(docs, id_col, text_col, lang_col, path, sample, rounds, limit)
-    at = docs.columns.index(text_col)
+    model = learn(docs, id_col, text_col, lang_col, path, sample, rounds)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = scorer(*model, path)
         for b in batches:
-            yield b.filter(pa.array([lang != "und" and x >= least for own in portions(b.column(at).to_pylist()) for lang, x in score(own)], pa.bool_()))
+            if model[0]:
+                yield pa.array([lang != "und" and x >= least for own in portions(b) for lang, x in score(own)], pa.bool_())
+            else:
+                yield pa.array([bool(words_of(t.as_py())) for t in b], pa.bool_())
 
-    return mapped(docs, each, docs.schema)
+    return filtered(docs, text_col, keep)
 
 
 def op9_language_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from factloom.llm.common import mapped, table
 from factloom.session import Scratch, ship
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 1_200_000  # words that a worker remembers
+KEPT = 32_000_000  # bytes, about, of words and ids that a worker remembers
 GROUP = 20_000  # pieces that are packed together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, room long"
@@ -49,6 +49,7 @@ class Words:
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.tail = {c: self.encode_one(c) for c in ".,;:!?"}
 
     def encode_one(self, text: str) -> bytes:
@@ -57,8 +58,7 @@ class Words:
     def learn(self, words: set[str]) -> None:
         """Remember new words: plain ones by one call, split where a word ends; others one by one."""
         known, plain, rest = self.known, {}, []
-        if len(known) + len(words) > KEPT:
-            known.clear()
+        self.held += sum(map(len, words)) + 180 * len(words)
         for w in words:
             tail = w[-1] if w[-1] in self.tail else ""
             core = w[:-1] if tail else w
@@ -80,6 +80,9 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if not t.isascii() and "\x85" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        if self.held > KEPT:
+            self.known.clear()
+            self.held = 0
         missing = set().union(*(ws for ws in split if ws)).difference(self.known)
         if missing:
             self.learn(missing)

@@ -6,7 +6,8 @@ clean rows in the training sample are kept, and x is the logarithm of one plus a
 toxic or not, so grade 0 is a row labelled clean, and toxic rows get grade 1, 2 or 3 by thirds of how many words the
 kept features mark in them (sum of logarithms of counts).
 
-It learns from a bounded sample of labelled rows: about ``sample`` toxic and twice as many clean ones, by hash of id. Scoring is one pass; a word's contribution is a number, remembered by each worker.
+It learns from a bounded sample of labelled rows: about ``sample`` toxic and twice as many clean ones, by hash of id; ``features`` bounds the
+model to those that part best. Scoring is one pass; a word's contribution is a number, remembered by each worker.
 
 Defined results: a null text is the empty text, scored by the thresholds alone; a null id comes back null; a document with
 several labels is toxic if one says so; without labels, with labels of one kind, or without a feature that parts them, every document gets grade 0;
@@ -19,7 +20,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -27,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import mapped, sampled, table
+from factloom.llm.common import Remembered, filtered, mapped, sampled, table
 
 DIM = 1 << 18
 GRADES = 4
-KEPT = 500_000  # words that a worker remembers
 LETTERS = re.compile(r"[^\W\d_]+")
 NAMES = ("doc_id", "severity", "expected_severity", "p_toxic", "toxic")
 SCHEMA = "doc_id long, severity int, expected_severity double, p_toxic double, toxic boolean"
@@ -51,7 +50,6 @@ def crc(w: str) -> int:
     return crc32(w.encode())
 
 
-@lru_cache(200_000)
 def word_features(w: str) -> tuple[int, ...]:
     """Hashed features of a word: itself and its prefixes."""
     return tuple({crc32(x.encode()) % DIM for x in (f"w{w}", f"p{w[:4]}", f"q{w[:5]}")})
@@ -72,7 +70,8 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250)
         runs = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))]
         once.setdefault((min(map(crc, runs)), min(crc(r[::-1]) for r in runs), bool(toxic[i])), i)
     rows, toxic = [rows[i] for i in once.values()], toxic[list(once.values())]
-    hashed = [{f for w in r for f in word_features(w)} for r in rows]
+    features = Remembered(word_features, each=300)
+    hashed = [{f for w in r for f in features[w]} for r in rows]
     pos, neg = Counter(), Counter()
     for fs, t in zip(hashed, toxic, strict=True):
         (pos if t else neg).update(fs)
@@ -86,7 +85,7 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250)
     amount = np.zeros(len(rows))
     for i, r in enumerate(rows):
         for w, n in r.items():
-            if own := [at[f] for f in word_features(w) if f in at]:
+            if own := [at[f] for f in features[w] if f in at]:
                 x[i, own] += np.log1p(n)
                 amount[i] += np.log1p(n)
     grade = np.where(toxic, 1 + np.searchsorted(np.quantile(amount[toxic], [1 / 3, 2 / 3]), amount, "left").clip(0, 2), 0)
@@ -115,7 +114,7 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = 1024, steps: int = 250)
     return Ordinal({f: float(w[i]) for f, i in at.items() if w[i]}, np.array([gaps[0], gaps[0] + soft[0], gaps[0] + soft[0] + soft[1]]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> Ordinal:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, features: int) -> Ordinal:
     """Fit on the sample. The ids chosen are at most 6 x ``sample``, so they are broadcast."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").alias("y"))
     ids = sampled(marks.where("y > 0"), sample, "i").union(sampled(marks.where("y <= 0"), 2 * sample, "i")).collect()
@@ -125,20 +124,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     chosen = spark.createDataFrame([(r.i, r.y > 0) for r in ids], "i long, y boolean")
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "i").toPandas()
     rows = rows.sort_values(["i", "text"]).drop_duplicates("i")
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(bool))
+    return fit(rows["text"].tolist(), rows["y"].to_numpy(bool), features)
 
 
 def scorer(m: Ordinal):
-    class Known(dict):
-        def __missing__(self, w: str) -> float:
-            x = m.word(w)
-            if len(w) < 64:
-                if len(self) >= KEPT:
-                    self.clear()
-                self[w] = x
-            return x
-
-    known = Known()
+    known = Remembered(m.word)
 
     def margin(text: str) -> float:
         """w . x of a text."""
@@ -154,9 +144,9 @@ def scorer(m: Ordinal):
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.25) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.25, features: int = 1024) -> DataFrame:
     """Grade, expected severity and probability of being toxic for each document."""
-    m = learn(docs, labels, id_col, text_col, sample)
+    m = learn(docs, labels, id_col, text_col, sample, features)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(m)
@@ -168,17 +158,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.25) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, threshold: float = 0.25, features: int = 1024) -> DataFrame:
     """The rows whose probability of being toxic is under the threshold, with all their columns."""
-    m = learn(docs, labels, id_col, text_col, sample)
-    at = docs.columns.index(text_col)
+    m = learn(docs, labels, id_col, text_col, sample, features)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = scorer(m)
         for b in batches:
-            yield b.filter(pa.array([score(t.as_py() or "")[2] < threshold for t in b.column(at)], pa.bool_()))
+            yield pa.array([score(t.as_py() or "")[2] < threshold for t in b], pa.bool_())
 
-    return mapped(docs, each, docs.schema)
+    return filtered(docs, text_col, keep)
 
 
 def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
