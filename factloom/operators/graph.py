@@ -93,8 +93,8 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return both.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def simple_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int = 10, most: int = 1_000_000) -> DataFrame:
-    """(root, node, path): simple paths of up to ``depth`` edges, as node ids joined by '>'. Raises TooManyPaths over ``most``."""
+def simple_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int = 10, most: int | None = None) -> DataFrame:
+    """(root, node, path): simple paths of up to ``depth`` edges, as node ids joined by '>'. With ``most``, raises TooManyPaths over so many."""
     hop = edges.select(F.col("src").cast("string").alias("node"), F.col("tgt").cast("string").alias("nxt")).distinct()
     scratch = Scratch(edges.sparkSession, "paths")
     node = F.col("node").cast("string")
@@ -106,7 +106,7 @@ def simple_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth:
         if not n:
             break
         total += n
-        if total > most:
+        if most is not None and total > most:
             raise TooManyPaths(f"over {most} simple paths")
         parts.append(now)
     out = parts[0]

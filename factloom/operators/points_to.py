@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.fixpoint import fixpoint, union
+from factloom.session import Scratch
 
 
 def subscripts(df: DataFrame, key: str = "key") -> DataFrame:
@@ -35,24 +36,39 @@ def points_to(alloc: DataFrame, copy: DataFrame, load: DataFrame | None = None,
     """
     init = alloc.select("node", F.lit("").alias("field"), "obj")
     move = copy.select(F.col("src").alias("node"), "tgt")
+    scratch = Scratch(alloc.sparkSession, "fields")
+    edges: dict[str, list[DataFrame]] = {"store": [], "load": []}
+
+    def resolved(kind: str, new: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Field edges (o, f, v) that this round's variables give, and those of the rounds before: a base that holds o reads or feeds o's field f."""
+        old = edges[kind]
+        if len(old) > 8:  # no plan reads the parts any more: the round before is written
+            one = scratch.keep(union(old))
+            scratch.drop(*old)
+            old[:] = [one]
+        before = union(old) if old else None
+        new = scratch.keep(new.distinct())
+        old.append(new)
+        return new, before
 
     def step(d: DataFrame, known: DataFrame) -> DataFrame:
+        """New edges meet all that is known, older ones only what is new."""
         dv, kv = d.where("field = ''"), known.where("field = ''")
         out = [dv.join(move, "node").select(F.col("tgt").alias("node"), "field", "obj")]
+        bases = dv.select(F.col("node").alias("base"), F.col("obj").alias("o"))
         if store is not None:
-            # (s, o, f): the store's source and the field node that it feeds
-            feeds = lambda v: v.join(store.withColumnRenamed("base", "node"), "node").select("src", F.col("obj").alias("o"), F.col("field_").alias("f"))
-            into = lambda e, v: e.join(v.select(F.col("node").alias("src"), F.col("obj").alias("x")), "src").select(F.col("o").alias("node"), F.col("f").alias("field"), F.col("x").alias("obj"))
-            out += [into(feeds(dv), kv), into(feeds(kv), dv)]
+            new, old = resolved("store", bases.join(store, "base").select("o", F.col("field").alias("f"), F.col("src").alias("v")))
+            for e, values in ((new, kv), (old, dv)):
+                if e is not None:
+                    out.append(e.join(values.select(F.col("node").alias("v"), F.col("obj").alias("x")), "v").select(F.col("o").alias("node"), F.col("f").alias("field"), F.col("x").alias("obj")))
         if load is not None:
             df, kf = (x.where("field <> ''").select(F.col("node").alias("o"), F.col("field").alias("f"), F.col("obj").alias("x")) for x in (d, known))
-            reads = lambda v: v.join(load.withColumnRenamed("base", "node"), "node").select("tgt", F.col("obj").alias("o"), F.col("field_").alias("f"))
-            from_ = lambda e, v: e.join(v, ["o", "f"]).select(F.col("tgt").alias("node"), F.lit("").alias("field"), F.col("x").alias("obj"))
-            out += [from_(reads(dv), kf), from_(reads(kv), df)]
+            new, old = resolved("load", bases.join(load, "base").select("o", F.col("field").alias("f"), F.col("tgt").alias("v")))
+            for e, values in ((new, kf), (old, df)):
+                if e is not None:
+                    out.append(e.join(values, ["o", "f"]).select(F.col("v").alias("node"), F.lit("").alias("field"), F.col("x").alias("obj")))
         return union(out)
 
-    load = load.withColumnRenamed("field", "field_") if load is not None else None
-    store = store.withColumnRenamed("field", "field_") if store is not None else None
     pts = fixpoint(init, step, max_rounds, log=log)
     if widen is None:
         return pts

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import context, lattice, points_to_sets
 from factloom.operators import graph, hierarchy
 from factloom.operators.points_to import first_base_wins, flow_statistics, points_to
-from factloom.plans.programs import CALL_SQL, COPY_SQL, FIELD_SQL, allocations, calls, copies, field_accesses, read
+from factloom.plans.programs import CALL_SQL, COPY_SQL, FIELD_SQL, allocations, calls, copies, field_accesses, lines, read
 from factloom.session import Scratch
 
 QUERIES: dict = {}
@@ -30,8 +30,9 @@ PTS_SQL = f"WITH RECURSIVE {COPY_SQL}, pts(node, obj) AS (SELECT node, obj FROM
 
 def _pts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "pts")
-    cp = scratch.keep(copies(spark, sf_dir))
-    return cp, points_to(allocations(spark, sf_dir), cp)
+    li = scratch.keep(lines(spark, sf_dir))
+    cp = scratch.keep(copies(spark, sf_dir, li))
+    return cp, points_to(allocations(spark, sf_dir, li), cp)
 
 
 @query(f"{PTS_SQL} SELECT node, obj FROM pts")
@@ -53,8 +54,9 @@ SELECT node, field, obj FROM pts"""
 def points_to_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With loads and stores of fields."""
     scratch = Scratch(spark, "fields")
-    load, store = (scratch.keep(x) for x in field_accesses(spark, sf_dir))
-    return points_to(allocations(spark, sf_dir), scratch.keep(copies(spark, sf_dir)), load, store)
+    li = scratch.keep(lines(spark, sf_dir))
+    load, store = (scratch.keep(x) for x in field_accesses(spark, sf_dir, li))
+    return points_to(allocations(spark, sf_dir, li), scratch.keep(copies(spark, sf_dir, li)), load, store)
 
 
 @query(f"{PTS_SQL} SELECT src AS a, tgt AS b, EXISTS (SELECT 1 FROM pts p JOIN pts q ON p.obj = q.obj WHERE p.node = src AND q.node = tgt) AS may_alias FROM cp")
@@ -64,33 +66,32 @@ def may_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_to_sets.may_alias(pts, cp.select(F.col("src").alias("a"), F.col("tgt").alias("b")))
 
 
-@query(f"""{PTS_SQL}, u AS (SELECT 'union' AS op, node, obj FROM (SELECT node, obj FROM pts UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 3 AND l_quantity >= 45) x
-UNION ALL SELECT 'intersection', node, obj FROM (SELECT node, obj FROM pts INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 1) x
-UNION ALL SELECT 'difference', node, obj FROM (SELECT node, obj FROM pts EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 1) x) SELECT op, node, obj FROM u""")
+@query(f"""{PTS_SQL}, other AS (SELECT v AS node, o AS obj FROM li WHERE flag <> 'N'), u AS (SELECT 'union' AS op, node, obj FROM (SELECT node, obj FROM pts UNION SELECT node, obj FROM other) x
+UNION ALL SELECT 'intersection', node, obj FROM (SELECT node, obj FROM pts INTERSECT SELECT node, obj FROM other) x
+UNION ALL SELECT 'difference', node, obj FROM (SELECT node, obj FROM pts EXCEPT SELECT node, obj FROM other) x) SELECT op, node, obj FROM u""")
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, intersection and difference of points-to sets."""
+    """Union, intersection and difference of points-to sets with a relation of each returned or accepted line to its order."""
     pts = Scratch(spark, "algebra").keep(_pts(spark, sf_dir)[1].select("node", "obj"))
-    li = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("obj"), "l_linenumber", "l_quantity")
-    other = li.where("l_linenumber <> 1")
-    parts = (("union", points_to_sets.union(pts, li.where("l_linenumber = 3 and l_quantity >= 45"))), ("intersection", points_to_sets.intersection(pts, other)), ("difference", points_to_sets.difference(pts, other)))
+    other = lines(spark, sf_dir).where("flag <> 'N'").select(F.col("v").alias("node"), F.col("o").alias("obj"))
+    parts = (("union", points_to_sets.union(pts, other)), ("intersection", points_to_sets.intersection(pts, other)), ("difference", points_to_sets.difference(pts, other)))
     out = [d.select(F.lit(op).alias("op"), "node", "obj") for op, d in parts]
     return out[0].union(out[1]).union(out[2])
 
 
-SIZES_SQL = f"{PTS_SQL}, k AS (SELECT p_partkey AS node, count(obj) AS k FROM part LEFT JOIN pts ON node = p_partkey GROUP BY p_partkey)"
+SIZES_SQL = f"{PTS_SQL}, k AS (SELECT v AS node, count(obj) AS k FROM li LEFT JOIN pts ON node = v GROUP BY v)"
 
 
 @query(f"""{SIZES_SQL} SELECT count(*) AS nodes, avg(k) AS avg_size, max(k) AS max_size, count(*) FILTER (k = 0) AS empty, count(*) FILTER (k = 1) AS singletons, count(*) FILTER (k > 10) AS large,
 (SELECT count(DISTINCT obj) FROM pts) AS objects FROM k""")
 def points_to_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and sizes of points-to sets over all parts."""
-    return points_to_sets.statistics(_pts(spark, sf_dir)[1], read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
+    """Counts and sizes of points-to sets over all lines."""
+    return points_to_sets.statistics(_pts(spark, sf_dir)[1], lines(spark, sf_dir).select(F.col("v").alias("node")))
 
 
 @query(f"{SIZES_SQL} SELECT CASE WHEN k <= 1 THEN CAST(k AS VARCHAR) WHEN k <= 5 THEN '2-5' WHEN k <= 10 THEN '6-10' WHEN k <= 50 THEN '11-50' ELSE '51+' END AS size_class, count(*) AS n FROM k GROUP BY 1")
 def points_to_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of set sizes."""
-    return points_to_sets.size_classes(_pts(spark, sf_dir)[1], read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
+    return points_to_sets.size_classes(_pts(spark, sf_dir)[1], lines(spark, sf_dir).select(F.col("v").alias("node")))
 
 
 @query(f"{PTS_SQL} SELECT node FROM pts GROUP BY node HAVING count(*) = 1")
@@ -125,21 +126,22 @@ def copy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {COPY_SQL}, r(node, depth) AS (SELECT DISTINCT node, 0 FROM al UNION SELECT c.tgt, depth + 1 FROM r JOIN cp c ON c.src = r.node WHERE depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node")
 def bounded_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9's rule on the copy graph: what is found from the entries within three steps, with its depth."""
-    return graph.distances(Scratch(spark, "found").keep(copies(spark, sf_dir)), allocations(spark, sf_dir).select("node").distinct(), 3)
+    return graph.distances(Scratch(spark, "found").keep(copies(spark, sf_dir)), allocations(spark, sf_dir).select("node"), 3)
 
 
-ROOTS_SQL = f"WITH RECURSIVE {COPY_SQL}, node AS (SELECT src AS node FROM cp UNION SELECT tgt FROM cp), root AS (SELECT node FROM node WHERE node NOT IN (SELECT tgt FROM cp)), r(node) AS (SELECT node FROM root UNION SELECT c.tgt FROM r JOIN cp c ON c.src = r.node)"
+ROOTS_SQL = f"WITH RECURSIVE {COPY_SQL}, node AS (SELECT src AS node FROM cp UNION SELECT tgt FROM cp), root AS (SELECT v AS node FROM li JOIN orders ON o_orderkey = o WHERE k = 1 AND o_orderstatus = 'F'), r(node) AS (SELECT node FROM root UNION SELECT c.tgt FROM r JOIN cp c ON c.src = r.node)"
 
 
 def _reach(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cp = Scratch(spark, "reach").keep(copies(spark, sf_dir))
-    roots = graph.nodes_of(cp).join(cp.select(F.col("tgt").alias("node")), "node", "left_anti")
-    return cp, graph.reachable(cp, roots)
+    li = Scratch(spark, "reach").keep(lines(spark, sf_dir))
+    cp = Scratch(spark, "reach").keep(copies(spark, sf_dir, li))
+    done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("o"))
+    return cp, graph.reachable(cp, li.where("k = 1").join(done, "o").select(F.col("v").alias("node")))
 
 
 @query(f"{ROOTS_SQL} SELECT node FROM r")
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachable from the nodes without an incoming edge."""
+    """Reachable from the entries, which are the first lines of fulfilled orders."""
     return _reach(spark, sf_dir)[1]
 
 
@@ -150,11 +152,11 @@ def unreachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes_of(cp).join(reach, "node", "left_anti")
 
 
-@query(f"""WITH RECURSIVE {COPY_SQL}, e AS (SELECT src, tgt FROM cp WHERE src < tgt), l(node, level) AS (SELECT node, CAST(0 AS BIGINT) FROM (SELECT src AS node FROM e UNION SELECT tgt FROM e) n
+@query(f"""WITH RECURSIVE {COPY_SQL}, e AS (SELECT src, tgt FROM cp), l(node, level) AS (SELECT node, CAST(0 AS BIGINT) FROM (SELECT src AS node FROM e UNION SELECT tgt FROM e) n
 UNION SELECT e.tgt, level + 1 FROM l JOIN e ON e.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node""")
 def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C21 on the acyclic half of the copy graph (from smaller to larger parts)."""
-    return graph.topological_levels(copies(spark, sf_dir).where("src < tgt"))
+    """C21 on the copy graph."""
+    return graph.topological_levels(copies(spark, sf_dir))
 
 
 @query(f"""WITH {CALL_SQL}, e AS (SELECT DISTINCT src, tgt FROM cg), n AS (SELECT src AS node FROM e UNION SELECT tgt FROM e)
@@ -239,11 +241,11 @@ def attribute_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.resolve_attribute(hierarchy.c3_mro(*_brands(spark, sf_dir)), d)
 
 
-@query("""WITH f AS (SELECT DISTINCT l_orderkey AS node, l_linenumber AS priority, l_suppkey AS obj FROM lineitem WHERE l_quantity >= 25)
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS node, l_linenumber AS priority, l_suppkey AS obj FROM lineitem WHERE l_returnflag <> 'N')
 SELECT DISTINCT f.node, f.obj FROM f JOIN (SELECT node, min(priority) AS priority FROM f GROUP BY node) m ON m.node = f.node AND m.priority = f.priority""")
 def selector_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the smallest base index that yields objects passes."""
-    return first_base_wins(read(spark, sf_dir, "lineitem").where("l_quantity >= 25").select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").alias("priority"), F.col("l_suppkey").alias("obj")))
+    """Only the smallest base index that yields objects passes; lines with flag N yield none."""
+    return first_base_wins(read(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").alias("priority"), F.col("l_suppkey").alias("obj")))
 
 
 def _cut(policy: str) -> str:
@@ -263,13 +265,13 @@ def _cut(policy: str) -> str:
 @query(
     """WITH c AS (SELECT l_orderkey AS site_id, ['c:' || l_suppkey, 'o:' || l_partkey, 'c:' || l_orderkey % 7][1 : CAST(l_quantity AS INTEGER) % 4] AS ctx, 's' || l_orderkey AS site,
 CASE WHEN l_returnflag <> 'R' THEN 'x' || l_partkey END AS recv, CASE WHEN l_returnflag = 'A' THEN 'k' || l_suppkey END AS rcls, CASE WHEN l_returnflag <> 'R' THEN 'a' || l_suppkey END AS rsite,
-CASE WHEN l_linestatus = 'O' THEN CASE WHEN 'v' || l_partkey % 10 = 'v' || l_suppkey % 10 THEN 'v' || l_partkey % 10 ELSE least('v' || l_partkey % 10, 'v' || l_suppkey % 10) || '+' || greatest('v' || l_partkey % 10, 'v' || l_suppkey % 10) END END AS args FROM lineitem WHERE l_linenumber = 1) """
+CASE WHEN l_linestatus = 'O' THEN CASE WHEN 'v' || l_partkey % 10 = 'v' || l_suppkey % 10 THEN 'v' || l_partkey % 10 ELSE least('v' || l_partkey % 10, 'v' || l_suppkey % 10) || '+' || greatest('v' || l_partkey % 10, 'v' || l_suppkey % 10) END END AS args FROM lineitem) """
     + " UNION ALL ".join(f"SELECT '{p}' AS policy, site_id, {_cut(p)} AS ctx FROM c" for p in context.POLICIES)
 )
 def call_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1-Q7: the callee's context under each of the 19 policies."""
+    """Q1-Q7: the callee's context under each of the 19 policies; every line is a call."""
     s = lambda p, c: F.concat(F.lit(p), F.expr(c).cast("string"))
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    li = read(spark, sf_dir, "lineitem")
     args = F.when(F.col("l_linestatus") == "O", F.array(s("v", "l_partkey % 10"), s("v", "l_suppkey % 10"))).otherwise(F.array().cast("array<string>"))
     c = li.select(
         F.col("l_orderkey").alias("site_id"), F.slice(F.array(s("c:", "l_suppkey"), s("o:", "l_partkey"), s("c:", "l_orderkey % 7")), F.lit(1), F.col("l_quantity").cast("int") % 4).alias("ctx"), s("s", "l_orderkey").alias("site"),

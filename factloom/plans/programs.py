@@ -4,8 +4,10 @@ Event programs: a user is a scope, an event a statement that stores its type and
 one statement; errors also jump back to the latest earlier signup. As labelled code, a signup is a label, a click a no-op, an
 error a conditional jump, a purchase a jump to the next signup, or a return without one.
 
-Copy programs: parts are variables; a part copies from the part of the preceding line of an order if both quantities are 45 or
-more; line 1 with quantity 48 or more allocates its supplier.
+Order programs: an order is straight code and each of its lines, in the order of number and keys, a statement with a variable of its own. The first line
+allocates the order's object; every other copies from the line before. An urgent order's first line copies from the first line of its customer's
+order before. A line with flag A stores its part's variable, which holds the part's object, in the field of its status; one with flag R loads that field
+into one more variable. Every line takes part.
 """
 
 from __future__ import annotations
@@ -79,43 +81,59 @@ sedge AS (SELECT scope, src, tgt, 'Normal' AS kind FROM (SELECT scope, idx AS sr
   UNION SELECT j.scope, j.idx, l.idx, CASE WHEN j.kind = 'Goto' THEN 'Goto' ELSE 'If' END FROM code j JOIN code l ON j.scope = l.scope AND l.kind = 'Label' AND j.label = l.label WHERE j.kind IN ('Goto', 'JumpIfFalse'))"""
 
 
-def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+LINE_KEY = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+LOADED = 10**15  # taken off a line's negative key, this is the variable that it loads into
+STEP = 1000  # a line's variable is its order's key times this, plus its place
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(v, o, k, part, supp, flag, status): the statement of each line; k is its place from 1."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_KEY)
+    li = li.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)).cast("long"))
+    return li.select((F.col("l_orderkey") * STEP + F.col("k")).alias("v"), F.col("l_orderkey").alias("o"), "k", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+
+
+def copies(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
     """(src, tgt): tgt copies from src."""
-    li = read(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_partkey")
-    nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("tgt"))
-    return li.withColumnRenamed("l_partkey", "src").join(nxt, ["l_orderkey", "l_linenumber"]).where("src != tgt").select("src", "tgt").distinct()
+    li = lines(spark, sf_dir) if li is None else li
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    first = li.where("k = 1").select("o", "v")
+    o = read(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("o"), "left_semi").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = o.withColumn("prev", F.lag("o_orderkey").over(w)).where("o_orderpriority = '1-URGENT' and prev is not null")
+    return li.where("k > 1").select((F.col("v") - 1).alias("src"), F.col("v").alias("tgt")).union(o.select(F.col("prev") * STEP + 1, F.col("o_orderkey") * STEP + 1))
 
 
-def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, obj)."""
-    return read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 48").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("obj")).distinct()
+def allocations(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    """(node, obj): orders' objects in first lines, parts' in their variables (both with negative keys)."""
+    li = lines(spark, sf_dir) if li is None else li
+    parts = li.select((-F.col("part")).alias("node")).distinct()
+    return li.where("k = 1").select(F.col("v").alias("node"), F.col("o").alias("obj")).union(parts.select("node", F.col("node").alias("obj")))
 
 
-def field_accesses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """load(base, field, tgt), store(base, field, src): line 2 with quantity 46 or more loads or stores its return flag's field of the
-    order's line-1 part; an odd supplier stores."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    base = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("base"))
-    own = li.where("l_linenumber = 2 and l_quantity >= 46").join(base, "l_orderkey").select("base", F.col("l_returnflag").alias("field"), F.col("l_partkey").alias("v"), "l_suppkey")
-    return own.where("l_suppkey % 2 = 0").select("base", "field", F.col("v").alias("tgt")).distinct(), own.where("l_suppkey % 2 = 1").select("base", "field", F.col("v").alias("src")).distinct()
+def field_accesses(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """load(base, field, tgt), store(base, field, src)."""
+    li = lines(spark, sf_dir) if li is None else li
+    base, field = F.col("v").alias("base"), F.col("status").alias("field")
+    return li.where("flag = 'R'").select(base, field, (-F.col("v") - LOADED).alias("tgt")), li.where("flag = 'A'").select(base, field, (-F.col("part")).alias("src")).distinct()
 
 
-COPY_SQL = """
-cp AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS tgt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity >= 45 AND b.l_quantity >= 45 AND a.l_partkey <> b.l_partkey),
-al AS (SELECT DISTINCT l_partkey AS node, l_suppkey AS obj FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 48)"""
+COPY_SQL = f"""
+li AS (SELECT l_orderkey * {STEP} + k AS v, l_orderkey AS o, k, l_partkey AS part, l_suppkey AS supp, l_returnflag AS flag, l_linestatus AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_KEY)}) AS k FROM lineitem) x),
+cp AS (SELECT v - 1 AS src, v AS tgt FROM li WHERE k > 1 UNION ALL SELECT prev * {STEP} + 1, o_orderkey * {STEP} + 1
+  FROM (SELECT o_orderkey, o_orderpriority, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders WHERE o_orderkey IN (SELECT o FROM li)) x WHERE o_orderpriority = '1-URGENT' AND prev IS NOT NULL),
+al AS (SELECT v AS node, o AS obj FROM li WHERE k = 1 UNION ALL SELECT DISTINCT -part, -part FROM li)"""
 
-FIELD_SQL = COPY_SQL + """,
-acc AS (SELECT DISTINCT a.l_partkey AS base, b.l_returnflag AS field, b.l_partkey AS v, b.l_suppkey % 2 AS st FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND b.l_quantity >= 46)"""
+FIELD_SQL = COPY_SQL + f""",
+acc AS (SELECT DISTINCT v AS base, status AS field, CASE WHEN flag = 'A' THEN -part ELSE -v - {LOADED} END AS v, CASE WHEN flag = 'A' THEN 1 ELSE 0 END AS st FROM li WHERE flag IN ('A', 'R'))"""
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, tgt, site): customers call parts through their orders' first lines; the site is the order."""
+    """(src, tgt, site): customers call parts through their orders' lines; the site is the order."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return o.join(li, o.o_orderkey == li.l_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"), F.col("o_orderkey").alias("site"))
 
 
 CALL_SQL = """
-cg AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS tgt, o_orderkey AS site FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1)"""
+cg AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS tgt, o_orderkey AS site FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
