@@ -28,7 +28,7 @@ from factloom.llm.common import mapped, table
 from factloom.session import Scratch, ship
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 32_000_000  # bytes, about, of words and ids that a worker remembers
+KEPT = 64_000_000  # bytes, about, of words and ids that a worker remembers
 GROUP = 20_000  # pieces that are packed together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, room long"
@@ -57,26 +57,32 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         """Remember new words: plain ones by one call, split where a word ends; others one by one."""
-        known, plain, rest = self.known, {}, []
+        known, plain, rest, tails = self.known, {}, [], self.tail
         self.held += sum(map(len, words)) + 180 * len(words)
         for w in words:
-            tail = w[-1] if w[-1] in self.tail else ""
+            tail = tails.get(w[-1], b"")
             core = w[:-1] if tail else w
-            if core.isalpha() and max(core) < "Ā":
-                plain.setdefault(core.lower(), []).append((w, tail))
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+                core = core.lower()
+                if core in plain:
+                    plain[core].append((w, tail))
+                else:
+                    plain[core] = [(w, tail)]
             else:
                 rest.append(w)
         if plain:
-            ids = np.array(self.t.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) != len(plain):
                 raise ValueError("words don't end where the vocabulary says")
-            for (core, uses), a, b in zip(plain.items(), np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist(), strict=True):
-                raw = ids[a:b].tobytes()
+            raw, a = ids.tobytes(), 0
+            for uses, b in zip(plain.values(), cuts.tolist(), strict=True):
+                own = raw[a:b]
                 for w, tail in uses:
-                    known[w] = raw + self.tail[tail] if tail else raw
-        for w in rest:
-            known[w] = self.encode_one(w)
+                    known[w] = own + tail
+                a = b
+        for w, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if not t.isascii() and "\x85" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
