@@ -19,11 +19,3 @@ FLOWS = [
     ("dict.get", "recv", "[]", "result", ""), ("dict.get", "arg1", "", "result", ""), ("dict.pop", "recv", "[]", "result", ""), ("dict.pop", "arg1", "", "result", ""), ("dict.setdefault", "recv", "[]", "result", ""), ("dict.setdefault", "arg1", "", "result", ""), ("dict.setdefault", "arg1", "", "recv", "[]"),
     ("dict.update", "arg0", "[]", "recv", "[]"), ("dict.values", "recv", "[]", "result", "[]"), ("dict.copy", "recv", "[]", "result", "[]"),
 ]
-METHODS = {
-    "list": ("append", "extend", "insert", "pop", "remove", "clear", "index", "count", "sort", "reverse", "copy"),
-    "dict": ("get", "keys", "values", "items", "pop", "popitem", "update", "setdefault", "clear", "copy"),
-    "set": ("add", "update", "discard", "remove", "pop", "clear", "union", "intersection", "difference", "copy"),
-    "tuple": ("index", "count"),
-    "const": ("join", "split", "strip", "format", "replace", "upper", "lower", "startswith", "endswith", "encode"),
-}
-FUNCTIONS = sorted({b for b in (*ALLOCATES, *(f[0] for f in FLOWS)) if "." not in b} | {"print", "type", "super", "hasattr", "setattr", "object", "open", "callable", "vars", "dir", "input", "property", "staticmethod", "classmethod", "all", "any"})

@@ -28,13 +28,18 @@ def subclasses(class_base: DataFrame) -> DataFrame:
 
 
 def linearise(cls: str, bases: dict[str, list[str]], strict: bool = False) -> list[str]:
-    """C3 linearisation of a class; on a conflict ValueError if strict, else the class and its first base's order."""
+    """C3 linearisation of a class; on a conflict, a cycle too, ValueError if strict, else the class and its first base's order. A base
+    that leads back is left out."""
     done: dict[str, list[str]] = {}
+    open_: set[str] = set()
 
     def order(c: str) -> list[str]:
         if c in done:
             return done[c]
-        own = bases.get(c, [])
+        open_.add(c)
+        own = [b for b in bases.get(c, []) if b not in open_ or b in done]
+        if strict and len(own) < len(bases.get(c, [])):
+            raise ValueError(f"{c} is among its own ancestors")
         rest = [list(order(b)) for b in own] + [list(own)]
         out = [c]
         while rest := [r for r in rest if r]:

@@ -5,8 +5,10 @@ First pass (no contexts). Calls become field accesses of the callee's object, so
     call f(a0, k=a1) -> t     store(f, arg0, a0), store(f, kw:k, a1), load(f, ret, t)
     def f(p0, ...)            object fn:f; p0 reads fn:f's arg0 and kw:p0, fn:f's ret holds $return
     class C                   object cls:C; its attributes are fields; ret holds inst:C; arguments go to __init__ along the C3 order
-    super() in C, modules     objects super:C and mod:m with the fields visible above C, or of the module
-    builtins                  flows of a table (functions.builtins_table), by name
+    *a, **k at a call         fields star and kwstar; the callee's parameters read their elements, its *args and **kwargs packs too
+    x + y, x[k], -x, x in y   a call of x's (or y's reflected) special method beside the builtin meaning
+    super() in C, modules     objects super:C and mod:m with the fields visible above C, or of the module; modules not given are opaque, ext:m
+    builtins                  flows of a table (functions.builtins_table): functions by name, methods as fields of the container that they belong to
 
 A static flow between a variable and an object's field goes through a helper variable ``@<obj>`` that holds just the object. Instances see
 class attributes along the C3 order computed beforehand, which keeps the rules monotone.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import context
-from factloom.functions.builtins_table import ALLOCATES, FLOWS, FUNCTIONS, METHODS
+from factloom.functions.builtins_table import ALLOCATES, FLOWS
 from factloom.operators import hierarchy
 from factloom.operators.fixpoint import fixpoint, union
 from factloom.operators.points_to import points_to
@@ -31,12 +33,16 @@ from factloom.session import Scratch
 from factloom.sources import python_files
 
 
+CALLABLE = "^(fn|cls|bm):"  # objects that can be called
+WRITTEN = "not contains(site, '/op')"  # calls that the source has, not those of special methods beside an operator
+
+
 @dataclass
 class Program:
     """Constraint tables. Variables are (owner, name); scope is where a constraint stands, '' for what has no context.
 
     alloc(scope, to, t, obj), copy(scope, so, s, to, t), load(scope, bo, b, field, to, t), store(scope, bo, b, field, so, s),
-    call(scope, site, bo, b, to, t), arg(site, role, pos, kw, ao, a), param(fn, pos, kind, name, shift), init(cls, fn), recv(site, ro, r)
+    call(scope, site, bo, b, to, t), arg(site, role, pos, kw, ao, a), param(fn, pos, kind, name, has_default, shift), init(cls, fn), recv(site, ro, r)
     """
 
     alloc: DataFrame
@@ -56,6 +62,7 @@ class Result:
     program: Program
     pts: DataFrame  # (node, field, obj); a variable's node is ctx|owner|name
     cg: DataFrame  # (site, ctx, caller, callee, callee_ctx)
+    resolved: DataFrame  # (scope, site, fn, off) of the pass without contexts
 
     def variables(self) -> DataFrame:
         """(ctx, owner, name, obj), without helpers."""
@@ -76,9 +83,9 @@ class Result:
         return self.cg.select(F.col("caller").alias("src"), F.col("callee").alias("tgt")).distinct()
 
     def failed_calls(self) -> DataFrame:
-        """(scope, site): calls of names that nothing was found for; builtins apart."""
-        c = self.program.call.where("bo <> ''").select("scope", "site")
-        return c.join(self.cg.select("site").distinct(), "site", "left_anti")
+        """(scope, site): calls whose callee holds nothing that can be called; builtins apart."""
+        c = self.program.call.where(f"bo <> '' and {WRITTEN}").select("scope", "site", _node("bo", "b").alias("node"))
+        return c.join(self.pts.where(f"field = '' and obj rlike '{CALLABLE}'").select("node"), "node", "left_anti").select("scope", "site")
 
     def statistics(self) -> DataFrame:
         is_var = F.col("field") == ""
@@ -93,7 +100,8 @@ def constraints(f: DataFrame) -> Program:
     lit, col = F.lit, F.col
     scope = python_files.scopes(f)
     st = python_files.statements(f).withColumn("site", F.concat_ws(":", "scope", col("idx").cast("string")))
-    var = scratch.keep(python_files.variables(f).select(col("scope").alias("vs"), col("name").alias("vn"), "owner"))
+    st, special = _special_calls(st)
+    var = scratch.keep(python_files.variables(f).select(col("scope").alias("vs"), col("name").alias("vn"), "owner").union(special.select("scope", "target", "scope")))
     kinds = scope.select(col("scope").alias("owner"), "kind")
 
     def owned(df: DataFrame, name: str, out: str) -> DataFrame:
@@ -117,18 +125,24 @@ def constraints(f: DataFrame) -> Program:
     # plain flows
     moves = arg.where("role = 'pos' and kind in ('Copy', 'Await')").select("scope", "target", "a")
     copy = [owned(owned(moves, "target", "to"), "a", "so").select("scope", "so", col("a").alias("s"), "to", col("target").alias("t"))]
+    given = arg.where("kind = 'FuncDef' and role = 'default'").select("scope", "a", col("base").alias("to"), col("kw").alias("t"))
+    copy.append(owned(given, "a", "so").select(lit("").alias("scope"), "so", col("a").alias("s"), "to", "t"))
     outs = arg.where("kind in ('Return', 'Yield') and role = 'pos'").select("scope", F.when(col("kind") == "Return", "$return").otherwise("$yield").alias("t"), "a")
     copy.append(owned(outs, "a", "so").select("scope", "so", col("a").alias("s"), col("scope").alias("to"), "t"))
     const = st.where("kind = 'Const'").select(col("target").alias("cv"), col("module").alias("cm"), col("label").alias("key"))
     key = F.when(col("key").isNotNull(), F.concat(lit("["), "key", lit("]"))).otherwise("[]")
     unknown = lambda d: union([d, d.withColumn("field", lit("[]"))]).distinct()
-    subl = st.where("kind = 'LoadSubscr'").select("scope", "module", "base", "target", col("args")[0]["var"].alias("kv")).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").select("scope", "base", key.alias("field"), "target")
+    subl = st.where("kind = 'LoadSubscr'").select("scope", "module", "base", "target", F.get("args", lit(0))["var"].alias("kv")).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").select("scope", "base", key.alias("field"), "target")
     get = union([st.where("kind = 'LoadAttr'").select("scope", "base", col("name").alias("field"), "target"), unknown(subl)])
     load = [owned(owned(get, "base", "bo"), "target", "to").select("scope", "bo", col("base").alias("b"), "field", "to", col("target").alias("t"))]
-    subs = st.where("kind = 'StoreSubscr'").select("scope", "module", "base", col("args")[0]["var"].alias("kv"), col("args")[1]["var"].alias("a")).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").select("scope", "base", key.alias("field"), "a")
+    subs = st.where("kind = 'StoreSubscr'").select("scope", "module", "base", F.get("args", lit(0))["var"].alias("kv"), F.get("args", lit(1))["var"].alias("a")).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").select("scope", "base", key.alias("field"), "a")
     built = arg.where("kind = 'Build' and op in ('list', 'tuple', 'set', 'dict') and role in ('pos', 'value')").select("scope", col("target").alias("base"), F.when(col("op").isin("list", "tuple"), F.concat(lit("["), col("pos").cast("string"), lit("]"))).otherwise("[]").alias("field"), "a")
-    put = union([st.where("kind = 'StoreAttr'").select("scope", "base", col("name").alias("field"), col("args")[0]["var"].alias("a")), unknown(subs), unknown(built)])
+    put = union([st.where("kind = 'StoreAttr'").select("scope", "base", col("name").alias("field"), F.get("args", lit(0))["var"].alias("a")), unknown(subs), unknown(built)])
     store = [owned(owned(put, "base", "bo"), "a", "so").select("scope", "bo", col("base").alias("b"), "field", "so", col("a").alias("s"))]
+    spread = owned(owned(arg.where("kind = 'Build' and role = 'star'").select("scope", "site", "pos", "target", "a"), "target", "bo"), "a", "ao")
+    loose = F.concat(lit("@star:"), "site", lit(":"), col("pos").cast("string"))
+    load.append(spread.select("scope", col("ao").alias("bo"), col("a").alias("b"), lit("[]").alias("field"), lit("").alias("to"), loose.alias("t")))
+    store.append(spread.select("scope", "bo", col("target").alias("b"), lit("[]").alias("field"), lit("").alias("so"), loose.alias("s")))
 
     # static flows between variables and fields of known objects
     reads = lambda obj, field, to, t: [lit("").alias("scope"), lit("").alias("bo"), F.concat(lit("@"), obj).alias("b"), field.alias("field"), to.alias("to"), t.alias("t")]
@@ -152,7 +166,7 @@ def constraints(f: DataFrame) -> Program:
     fkind = scope.where("kind = 'function'").select(col("scope").alias("fn"), "decorators", "flags")
     method = fdef.join(cls_rows, col("in") == col("cls")).join(fkind, "fn").select("fn", "cls", "fname", F.when(col("decorators").rlike("(^|,)staticmethod"), "static").when(col("decorators").rlike("(^|,)classmethod"), "class").otherwise("plain").alias("mk"))
     method = scratch.keep(method)
-    param = python_files.parameters(f).select(col("scope").alias("fn"), "pos", "kind", "name").join(method.where("mk <> 'static'").select("fn", lit(1).alias("shift")), "fn", "left")
+    param = python_files.parameters(f).select(col("scope").alias("fn"), "pos", "kind", "name", "has_default").join(method.where("mk <> 'static'").select("fn", lit(1).alias("shift")), "fn", "left")
     param = scratch.keep(param.withColumn("shift", F.coalesce("shift", lit(0))))
     init = scratch.keep(cattr.where("attr = '__init__'").join(method.where("fname = '__init__'").select(col("cls").alias("definer"), "fn"), "definer").select("cls", "fn"))
     first = param.where("pos = 0 and kind in ('posonly', 'pos')").select("fn", "name")
@@ -166,31 +180,33 @@ def constraints(f: DataFrame) -> Program:
     args = scratch.keep(owned(arg.where("kind = 'Call'").select("scope", "site", "role", "pos", "kw", "a"), "a", "ao"))
     via = st.where("kind = 'LoadAttr'").select("scope", col("target").alias("b"), col("base").alias("r"), col("name").alias("attr"))
     via = scratch.keep(owned(call.join(via, ["scope", "b"]).select("scope", "site", "to", "t", "r", "attr"), "r", "ro"))
-    table = spark.createDataFrame([(b.rsplit(".", 1)[-1], "." in b, s, sf, d, df) for b, s, sf, d, df in FLOWS], "name string, method boolean, src string, sf string, dst string, df string").distinct()
-    makes = spark.createDataFrame(sorted({(b.rsplit(".", 1)[-1], "." in b) for b in ALLOCATES}), "name string, method boolean")
-    used = call.where("bo = ''").select("scope", "site", "to", "t", lit(None).cast("string").alias("ro"), lit(None).cast("string").alias("r"), col("b").alias("name"), lit(False).alias("method"))
-    used = scratch.keep(used.union(via.select("scope", "site", "to", "t", "ro", "r", "attr", lit(True))))
+    table = spark.createDataFrame([x for x in FLOWS if "." not in x[0]], "name string, src string, sf string, dst string, df string").distinct()
+    makes = spark.createDataFrame(sorted((b, kind) for b, kind in ALLOCATES.items() if "." not in b), "name string, ckind string")
+    used = scratch.keep(call.where("bo = ''").select("scope", "site", "to", "t", col("b").alias("name")))
     thing = F.concat(col("site"), lit("/new"))
-    alloc.append(used.join(makes, ["name", "method"]).select("scope", "to", "t", thing.alias("obj")))
-    alloc.append(used.join(makes, ["name", "method"]).select(*helper(thing)))
-    flow = used.join(table, ["name", "method"]).join(args.where("role = 'pos'").select("site", "pos", "ao", "a"), "site", "left")
-    flow = flow.where((col("src") == "recv") | (col("src") == "any") | (col("src") == F.concat(lit("arg"), col("pos").cast("string"))))
-    so, s = F.when(col("src") == "recv", col("ro")).otherwise(col("ao")), F.when(col("src") == "recv", col("r")).otherwise(col("a"))
-    tmp = F.concat(lit("@via:"), "site", lit(":"), "src", "sf", F.coalesce(col("pos").cast("string"), lit("")))
-    src = flow.select("*", F.when(col("sf") == "", so).otherwise("").alias("xo"), F.when(col("sf") == "", s).otherwise(tmp).alias("x"), so.alias("qo"), s.alias("q"))
-    src = scratch.keep(src)
-    load.append(src.where("sf <> ''").select("scope", col("qo").alias("bo"), col("q").alias("b"), col("sf").alias("field"), lit("").alias("to"), col("x").alias("t")))
+    alloc.append(used.join(makes, "name").select("scope", "to", "t", thing.alias("obj")))
+    alloc.append(used.join(makes, "name").select(*helper(thing)))
+    flow = used.join(table, "name").join(args.where("role = 'pos'").select("site", "pos", "ao", "a"), "site")
+    flow = flow.where((col("src") == "any") | (col("src") == F.concat(lit("arg"), col("pos").cast("string"))))
+    tmp = F.concat(lit("@via:"), "site", lit(":"), "src", "sf", col("pos").cast("string"))
+    src = scratch.keep(flow.select("*", F.when(col("sf") == "", col("ao")).otherwise("").alias("xo"), F.when(col("sf") == "", col("a")).otherwise(tmp).alias("x")))
+    load.append(src.where("sf <> ''").select("scope", col("ao").alias("bo"), col("a").alias("b"), col("sf").alias("field"), lit("").alias("to"), col("x").alias("t")))
     copy.append(src.where("dst = 'result' and df = ''").select("scope", col("xo").alias("so"), col("x").alias("s"), "to", "t"))
     store.append(src.where("dst = 'result' and df <> ''").select("scope", lit("").alias("bo"), F.concat(lit("@"), thing).alias("b"), col("df").alias("field"), col("xo").alias("so"), col("x").alias("s")))
-    store.append(src.where("dst = 'recv'").select("scope", col("ro").alias("bo"), col("r").alias("b"), col("df").alias("field"), col("xo").alias("so"), col("x").alias("s")))
+    containers = st.where("kind = 'Build' and name in ('list', 'dict', 'set')").select("scope", F.concat_ws("/", "site", "name").alias("box"), col("name").alias("ckind"), lit(False).alias("new"))
+    containers = containers.union(used.join(makes.where("ckind <> 'const'"), "name").select("scope", thing, "ckind", lit(True)))
+    for part, more in zip((alloc, load, store), _methods(spark, scratch, containers, st.where("kind = 'LoadAttr'").select("name").distinct()), strict=True):
+        part += more
     inside = scope.where("kind = 'function'").select("scope", col("parent").alias("cls")).join(cls_rows, "cls")
-    alloc.append(used.where("name = 'super' and not method").join(inside, "scope").select("scope", "to", "t", F.concat(lit("super:"), "cls").alias("obj")))
+    alloc.append(used.where("name = 'super'").join(inside, "scope").select("scope", "to", "t", F.concat(lit("super:"), "cls").alias("obj")))
 
     # imports and generators
     imp = python_files.imports(f).join(st.select("scope", "idx", "target"), ["scope", "idx"]).where("target is not null")
     imp = owned(imp, "target", "to")
     whole = imp.where("form <> 'from'").join(mods, F.when(col("form") == "top", F.split("name", "\\.")[0]).otherwise(col("name")) == col("m"))
     alloc.append(whole.select("scope", "to", col("target").alias("t"), F.concat(lit("mod:"), "m").alias("obj")))
+    absent = imp.join(mods, F.when(col("form") == "top", F.split("name", "\\.")[0]).otherwise(col("name")) == col("m"), "left_anti")
+    alloc.append(absent.select("scope", "to", col("target").alias("t"), F.concat(lit("ext:"), F.when(col("form") == "from", F.concat_ws(".", "name", "item")).when(col("form") == "top", F.split("name", "\\.")[0]).otherwise(col("name"))).alias("obj")))
     copy.append(imp.where("form = 'from'").join(mods, col("name") == col("m")).select("scope", col("m").alias("so"), col("item").alias("s"), "to", col("target").alias("t")))
     gen = fkind.where("contains(flags, 'generator')").select("fn", F.concat(lit("gen:"), "fn").alias("obj"))
     alloc += [gen.select(*helper(col("obj"))), gen.select(col("fn").alias("scope"), col("fn").alias("to"), lit("$return").alias("t"), "obj")]
@@ -201,7 +217,53 @@ def constraints(f: DataFrame) -> Program:
     return Program(keep(alloc), keep(copy), keep(load), keep(store), call, args, param, init, scratch.keep(recv), scratch.keep(scope.select("scope", "kind")))
 
 
-def _bind(p: Program, sites: DataFrame) -> DataFrame:
+SPECIAL = {"BinOp": {op: f"__{op}__" for op in ("add", "sub", "mul", "truediv", "floordiv", "mod", "pow", "matmul", "lshift", "rshift", "and", "or", "xor")}, "UnaryOp": {op: f"__{op}__" for op in ("neg", "pos", "invert")}, "Compare": {op: f"__{op}__" for op in ("eq", "ne", "lt", "le", "gt", "ge")}}
+
+
+def _special_calls(st: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statements with a method load and a call for each operator and subscript, of the left operand and reflected; the loads."""
+    op = {kind: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("name")] for kind, names in SPECIAL.items()}
+    arg, none, kind = F.col("args"), F.lit(None).cast("string"), F.col("kind")
+    a, b = F.get(arg, F.lit(0))["var"], F.get(arg, F.lit(1))["var"]
+    form = lambda recv, name, *xs: F.struct(recv.alias("r"), name.alias("m"), F.array(*xs).cast("array<string>").alias("xs"))
+    swapped = F.concat(F.lit("__r"), F.substring(op["BinOp"], 3, 100))
+    every = F.array(
+        F.when(kind == "BinOp", form(a, op["BinOp"], b)), F.when(kind == "BinOp", form(b, swapped, a)), F.when(kind == "UnaryOp", form(a, op["UnaryOp"])), F.when(kind == "Compare", form(a, op["Compare"], b)),
+        F.when((kind == "Compare") & F.col("name").isin("in", "notin"), form(b, F.lit("__contains__"), a)), F.when(kind == "LoadSubscr", form(F.col("base"), F.lit("__getitem__"), a)),
+        F.when(kind == "StoreSubscr", form(F.col("base"), F.lit("__setitem__"), a, b)), F.when(kind == "DelSubscr", form(F.col("base"), F.lit("__delitem__"), a)),
+    )
+    rows = st.select("*", F.posexplode(F.array_compact(every)).alias("nth", "x")).where("x.m is not null")
+    at, held = F.concat(F.col("site"), F.lit("/op"), F.col("nth").cast("string")), F.concat(F.lit("$op"), F.col("idx").cast("string"), F.lit("_"), F.col("nth").cast("string"))
+    empty = F.array().cast("array<struct<role:string,name:string,var:string>>")
+    get = rows.select("module", "scope", "idx", F.lit("LoadAttr").alias("kind"), held.alias("target"), F.col("x.r").alias("base"), F.col("x.m").alias("name"), none.alias("label"), empty.alias("args"), "line", at.alias("site"))
+    call = rows.select("module", "scope", "idx", F.lit("Call"), F.when(kind.isin("StoreSubscr", "DelSubscr"), none).otherwise(F.col("target")), held, none, none, F.transform("x.xs", lambda v: F.struct(F.lit("pos").alias("role"), none.alias("name"), v.alias("var"))), "line", at)
+    return st.select(*get.columns).union(get).union(call), get
+
+
+def _methods(spark, scratch: Scratch, boxes: DataFrame, attrs: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Constraints that give containers (scope, box, ckind, new) the methods that the program names: a method is an object in the container's field, with
+    flows between its arguments, its result and the container's elements. Rows of alloc, load and store."""
+    col, lit, nil = F.col, F.lit, F.lit("")
+    flows = spark.createDataFrame([(*x[0].split("."), *x[1:]) for x in FLOWS if "." in x[0]], "ckind string, m string, src string, sf string, dst string, df string").distinct()
+    made = spark.createDataFrame(sorted({tuple(b.split(".")) for b in ALLOCATES if "." in b}), "ckind string, m string")
+    known = flows.select("ckind", "m").union(made).distinct().join(attrs.withColumnRenamed("name", "m"), "m")
+    box, bm = F.concat(lit("@"), "box"), F.concat(lit("@bm:"), "box", lit("."), "m")
+    bound = scratch.keep(boxes.join(known, "ckind"))
+    obj = F.concat(lit("bm:"), "box", lit("."), "m")
+    alloc = [boxes.where("not new").select("scope", nil.alias("to"), box.alias("t"), col("box").alias("obj")), bound.select(nil, nil, bm, obj)]
+    store = [bound.select(nil.alias("scope"), nil.alias("bo"), box.alias("b"), col("m").alias("field"), nil.alias("so"), bm.alias("s"))]
+    fresh = bound.join(made, ["ckind", "m"])
+    alloc.append(fresh.select(nil, nil, F.concat(bm, lit("/new")), F.concat(obj, lit("/new"))))
+    store.append(fresh.select(nil, nil, bm, lit("ret"), nil, F.concat(bm, lit("/new"))))
+    f = scratch.keep(bound.join(flows, ["ckind", "m"]))
+    first, last = F.concat(bm, lit(":"), "src"), F.when(col("sf") == "", F.concat(bm, lit(":"), "src")).otherwise(F.concat(bm, lit(":"), "src", "sf"))
+    load = [f.where("src <> 'recv'").select(nil.alias("scope"), nil.alias("bo"), bm.alias("b"), col("src").alias("field"), nil.alias("to"), first.alias("t")), f.where("sf <> ''").select(nil, nil, F.when(col("src") == "recv", box).otherwise(first), col("sf"), nil, last)]
+    store.append(f.select(nil, nil, F.when(col("dst") == "recv", box).when(col("df") == "", bm).otherwise(F.concat(bm, lit("/new"))), F.when(col("df") == "", lit("ret")).otherwise(col("df")), nil, last))
+    heads = (("scope", "to", "t", "obj"), ("scope", "bo", "b", "field", "to", "t"), ("scope", "bo", "b", "field", "so", "s"))
+    return tuple([d.toDF(*head) for d in part] for part, head in zip((alloc, load, store), heads, strict=True))  # type: ignore[return-value]
+
+
+def bound_arguments(p: Program, sites: DataFrame) -> DataFrame:
     """(site, fn, ao, a, name, extra): arguments of call sites (site, fn, off) and the parameters that they reach; extra is the element of a
     *args or **kwargs parameter that takes a surplus argument."""
     off = F.col("off")
@@ -222,8 +284,8 @@ def _calls(p: Program, pts: DataFrame) -> DataFrame:
     v = pts.where("field = ''").select(F.col("node"), "obj")
     c = p.call.withColumn("node", F.concat_ws("|", F.lit(""), "bo", "b")).join(v, "node").select("scope", "site", "obj")
     shift = p.param.select("fn", "shift").distinct()
-    direct = c.where("startswith(obj, 'fn:')").select("scope", "site", F.substring("obj", 4, 10_000).alias("fn"))
-    made = c.where("startswith(obj, 'cls:')").select("scope", "site", F.substring("obj", 5, 10_000).alias("cls")).join(p.init, "cls").select("scope", "site", "fn")
+    direct = c.where("startswith(obj, 'fn:')").select("scope", "site", F.expr("substring(obj, 4)").alias("fn"))
+    made = c.where("startswith(obj, 'cls:')").select("scope", "site", F.expr("substring(obj, 5)").alias("cls")).join(p.init, "cls").select("scope", "site", "fn")
     return union([direct, made]).distinct().join(shift, "fn", "left").select("scope", "site", "fn", F.coalesce("shift", F.lit(0)).alias("off"))
 
 
@@ -259,16 +321,32 @@ def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame
         slot = F.when(F.col("role") == "kw", F.concat(F.lit("kw:"), "kw")).when(F.col("role") == "pos", F.concat(F.lit("arg"), F.col("pos").cast("string")))
         store = store.union(a.where("role in ('pos', 'kw')").select(_node("bo", "b").alias("base"), slot.alias("field"), _node("ao", "a").alias("src")))
         load = load.union(c.where("t is not null").select(_node("bo", "b").alias("base"), F.lit("ret").alias("field"), _node("to", "t").alias("tgt")))
-        fn = F.concat(F.lit("||@fn:"), "fn")
-        pos = p.param.where("kind in ('posonly', 'pos')").withColumn("k", F.explode(F.array_distinct(F.array(F.col("pos"), F.col("pos") - F.col("shift"))))).where("k >= 0")
-        into = [pos.select("fn", "name", F.concat(F.lit("arg"), F.col("k").cast("string")).alias("field")), p.param.where("kind in ('pos', 'kwonly')").select("fn", "name", F.concat(F.lit("kw:"), "name").alias("field"))]
-        reads = union(into)
-        load = load.union(reads.select(fn.alias("base"), "field", _node("fn", "name").alias("tgt")))
+        store = store.union(a.where("role in ('star', 'kwstar')").select(_node("bo", "b").alias("base"), F.col("role").alias("field"), _node("ao", "a").alias("src")))
+        store = store.union(a.where("role = 'kw'").select(_node("bo", "b").alias("base"), F.lit("kw*").alias("field"), _node("ao", "a").alias("src")))
+        # (owner, fn, off): the object whose fields hold a function's arguments, and the positions that its receiver takes
+        offs = p.param.select("fn", F.explode(F.array(F.lit(0), "shift")).alias("off")).distinct()
+        owner = offs.select(F.concat(F.lit("||@fn:"), "fn").alias("owner"), "fn", "off").union(p.init.select(F.concat(F.lit("||@cls:"), "cls"), "fn", F.lit(1)))
+        own_param = owner.join(p.param, "fn")
+        var, strewn, named = _node("fn", "name"), F.concat("owner", F.lit("*")), F.concat("owner", F.lit("**"))
+        slot = F.concat(F.lit("arg"), (F.col("pos") - F.col("off")).cast("string"))
+        read = lambda d, base, field, tgt: d.select(base.alias("base"), field.alias("field"), tgt.alias("tgt"))
+        plain, keyed = own_param.where("kind in ('posonly', 'pos')"), own_param.where("kind in ('pos', 'kwonly')")
+        takers = own_param.where("kind in ('posonly', 'pos', 'star', 'kwonly', 'kwstar')").select("owner").distinct()
+        load = union([load, read(plain.where("pos >= off"), F.col("owner"), slot, var), read(keyed, F.col("owner"), F.concat(F.lit("kw:"), "name"), var)])
+        load = union([load, read(takers, F.col("owner"), F.lit("star"), strewn), read(takers, F.col("owner"), F.lit("kwstar"), named)])
+        load = union([load, read(plain.where("pos >= off"), strewn, F.lit("[]"), var), read(keyed, named, F.lit("[]"), var)])
+        # packs: surplus positions that any call uses, elements of spread arguments, keywords (those of named parameters too)
+        pack, inside = F.concat(F.lit("pack:"), "fn", F.lit("."), "name"), F.concat("owner", F.lit(">"), "name")
+        packs = own_param.where("kind in ('star', 'kwstar')")
+        alloc = union([alloc, packs.select(var.alias("node"), pack.alias("obj"))])
+        n_pos = p.param.where("kind in ('posonly', 'pos')").groupBy("fn").agg(F.count("*").alias("n_pos"))
+        used = p.arg.where("role = 'pos'").select(F.col("pos").alias("at")).distinct()
+        surplus = packs.where("kind = 'star'").join(n_pos, "fn", "left").join(used, F.col("at") + F.col("off") >= F.coalesce("n_pos", F.lit(0)))
+        load = union([load, read(surplus, F.col("owner"), F.concat(F.lit("arg"), F.col("at").cast("string")), inside), read(packs.where("kind = 'star'"), strewn, F.lit("[]"), inside), read(packs.where("kind = 'kwstar'"), named, F.lit("[]"), inside), read(packs.where("kind = 'kwstar'"), F.col("owner"), F.lit("kw*"), inside)])
+        store = union([store, packs.select(var.alias("base"), F.lit("[]").alias("field"), inside.alias("src"))])
         store = store.union(p.scopes.where("kind = 'function'").select(F.concat(F.lit("||@fn:"), "scope").alias("base"), F.lit("ret").alias("field"), F.concat_ws("|", F.lit(""), "scope", F.lit("$return")).alias("src")))
-        shifted = pos.where("k = pos - shift")
-        load = load.union(p.init.join(shifted.select("fn", "name", "k"), "fn").select(F.concat(F.lit("||@cls:"), "cls").alias("base"), F.concat(F.lit("arg"), F.col("k").cast("string")).alias("field"), _node("fn", "name").alias("tgt")))
     else:
-        b = _bind(p, edges.select("site", "fn", "off").distinct()).join(edges.select("site", "fn", "ctx", "nctx", "scope"), ["site", "fn"])
+        b = bound_arguments(p, edges.select("site", "fn", "off").distinct()).join(edges.select("site", "fn", "ctx", "nctx", "scope"), ["site", "fn"])
         src, tgt = _node("ao", "a", F.when(F.col("ao") == F.col("scope"), F.col("ctx")).otherwise(F.lit(""))), _node("fn", "name", F.col("nctx"))
         pack = F.concat(F.lit("pack:"), "fn", F.lit("."), "name", F.lit("^"), "nctx")
         copy = copy.union(b.where("how = 'plain'").select(src.alias("src"), tgt.alias("tgt")))
@@ -290,7 +368,7 @@ def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_round
     pts = _solve(p, "0-cfa", None, None, max_rounds, log)
     found = scratch.keep(_calls(p, pts))
     if policy == "0-cfa":
-        return Result(p, pts, found.select("site", F.lit("").alias("ctx"), F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.lit("").alias("callee_ctx")))
+        return Result(p, pts, found.select("site", F.lit("").alias("ctx"), F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.lit("").alias("callee_ctx")), found)
     held = pts.where("field = ''").select("node", F.col("obj").alias("recv"))
     recv = p.recv.withColumn("node", _node("ro", "r")).join(held, "node").select("site", "recv").where("startswith(recv, 'inst:')")
     names = p.arg.groupBy("site").agg(F.collect_set("a").alias("names"))
@@ -303,4 +381,4 @@ def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_round
     inits = p.init.select("fn").distinct().withColumn("is_init", F.lit(True))
     edges = scratch.keep(reach.join(calls, "scope").select("scope", "site", "fn", "off", "ctx", new.alias("nctx")).distinct().join(inits, "fn", "left").withColumn("is_init", F.coalesce("is_init", F.lit(False))))
     pts = _solve(p, policy, reach, edges, max_rounds, log)
-    return Result(p, pts, edges.select("site", "ctx", F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.col("nctx").alias("callee_ctx")))
+    return Result(p, pts, edges.select("site", "ctx", F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.col("nctx").alias("callee_ctx")), found)

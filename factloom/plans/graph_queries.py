@@ -174,15 +174,6 @@ def call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("functions"), F.sum("out_degree").alias("edges"), F.avg("in_degree").alias("avg_in"), F.max("in_degree").alias("max_in"), F.avg("out_degree").alias("avg_out"), F.max("out_degree").alias("max_out"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS site FROM orders), r AS (SELECT DISTINCT l_orderkey AS site FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 10)
-SELECT count(*) AS sites, count(r.site) AS resolved, count(*) - count(r.site) AS failed, count(r.site) / count(*) AS success_rate FROM s LEFT JOIN r ON s.site = r.site""")
-def failed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call sites (orders) without a callee (first line of quantity 10 or more)."""
-    sites = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"))
-    ok = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 10").select(F.col("l_orderkey").alias("site")).distinct().withColumn("hit", F.lit(1))
-    return sites.join(ok, "site", "left").agg(F.count("*").alias("sites"), F.count("hit").alias("resolved"), (F.count("*") - F.count("hit")).alias("failed"), (F.count("hit") / F.count("*")).alias("success_rate"))
-
-
 @query(f"""WITH RECURSIVE {COPY_SQL}, root AS (SELECT src AS n FROM cp WHERE src NOT IN (SELECT tgt FROM cp) GROUP BY src), goal AS (SELECT tgt AS n FROM cp WHERE tgt NOT IN (SELECT src FROM cp) GROUP BY tgt),
 p(root, node, path, k) AS (SELECT n, n, [n], 0 FROM root UNION ALL SELECT p.root, c.tgt, list_append(p.path, c.tgt), k + 1 FROM p JOIN cp c ON c.src = p.node WHERE k < 10 AND NOT list_contains(p.path, c.tgt))
 SELECT CAST(root AS VARCHAR) AS root, CAST(node AS VARCHAR) AS node, array_to_string(path, '>') AS path FROM p JOIN goal ON goal.n = node""")
@@ -329,22 +320,3 @@ def truth_and_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = li.groupBy("k").agg(lattice.join_numbers("t").alias("t"), lattice.join_numbers("p").alias("p"), F.count("*").alias("n"))
     i = lattice.int_of_number(F.col("p"))
     return v.select("k", lattice.truth(F.col("t")).alias("truth"), i["lo"].alias("lo"), i["hi"].alias("hi"), lattice.truth_of_size(F.col("n"), F.col("n")).alias("truth_of_list"))
-
-
-@query("""SELECT CASE WHEN e.value < 0 THEN 'non_callable' WHEN e.value IS NULL THEN 'missing_argument' ELSE 'empty_callee' END AS kind, e.event_type AS location, count(*) AS n FROM events e WHERE e.event_type IN ('error', 'view') GROUP BY 1, 2""")
-def unknown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unknown records counted by kind and place."""
-    e = read(spark, sf_dir, "events").where("event_type in ('error', 'view')")
-    kind = F.when(F.col("value") < 0, "non_callable").when(F.col("value").isNull(), "missing_argument").otherwise("empty_callee")
-    return e.groupBy(kind.alias("kind"), F.col("event_type").alias("location")).agg(F.count("*").alias("n"))
-
-
-@query("""SELECT n_name AS module, 'customer' AS export, count(DISTINCT c_mktsegment) AS n_objects, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS objects FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1
-UNION ALL SELECT n_name, 'supplier', count(DISTINCT s_suppkey % 5), string_agg(DISTINCT CAST(s_suppkey % 5 AS VARCHAR), ',' ORDER BY CAST(s_suppkey % 5 AS VARCHAR)) FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
-def module_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports of modules (nations) with their objects; two summaries merged key by key."""
-    n = read(spark, sf_dir, "nation")
-    c = read(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("module"), F.lit("customer").alias("export"), F.col("c_mktsegment").alias("obj"))
-    s = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", F.lit("supplier"), (F.col("s_suppkey") % 5).cast("string"))
-    g = c.union(s).groupBy("module", "export").agg(F.array_sort(F.collect_set("obj")).alias("o"))
-    return g.select("module", "export", F.size("o").cast("long").alias("n_objects"), F.array_join("o", ",").alias("objects"))

@@ -123,4 +123,4 @@ def imports(f: DataFrame) -> DataFrame:
     """(module, idx, form, name, item, level): form whole, top or from."""
     s = statements(f).where("kind = 'Import'")
     is_from = F.col("name").startswith("from:")
-    return s.select("module", "scope", "idx", F.when(is_from, "from").otherwise(F.col("name")).alias("form"), F.col("base").alias("name"), F.when(is_from, F.substring("name", 6, 10_000)).alias("item"), F.col("label").cast("int").alias("level"))
+    return s.select("module", "scope", "idx", F.when(is_from, "from").otherwise(F.col("name")).alias("form"), F.col("base").alias("name"), F.when(is_from, F.expr("substring(name, 6)")).alias("item"), F.col("label").cast("int").alias("level"))
