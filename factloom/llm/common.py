@@ -53,6 +53,7 @@ def tidied(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from each(batches)
         finally:
+            gc.enable()
             tidy()
 
     return run

@@ -12,6 +12,7 @@ each; an empty table gives an empty result; ties keep the order of doc_id and pi
 
 from __future__ import annotations
 
+import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ from factloom.llm.common import mapped, table
 from factloom.session import Scratch, ship
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 64_000_000  # bytes, about, of words and ids that a worker remembers
+KEPT = 96_000_000  # bytes, about, of words and ids that a worker remembers
 GROUP = 20_000  # pieces that are packed together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, room long"
@@ -57,30 +58,26 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         """Remember new words: plain ones by one call, split where a word ends; others one by one."""
-        known, plain, rest, tails = self.known, {}, [], self.tail
+        known, cores, rest, tails = self.known, {}, [], self.tail
         self.held += sum(map(len, words)) + 180 * len(words)
+        plain, core_of, tail_of = [], [], []  # flat lists: nothing here that the garbage collector has to walk
         for w in words:
             tail = tails.get(w[-1], b"")
             core = w[:-1] if tail else w
             if core.isalpha() and (core.isascii() or max(core) < "Ā"):
-                core = core.lower()
-                if core in plain:
-                    plain[core].append((w, tail))
-                else:
-                    plain[core] = [(w, tail)]
+                plain.append(w)
+                core_of.append(cores.setdefault(core.lower(), len(cores)))
+                tail_of.append(tail)
             else:
                 rest.append(w)
         if plain:
-            ids = np.array(self.t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(cuts) != len(plain):
+            ids = np.array(self.t.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(cores):
                 raise ValueError("words don't end where the vocabulary says")
-            raw, a = ids.tobytes(), 0
-            for uses, b in zip(plain.values(), cuts.tolist(), strict=True):
-                own = raw[a:b]
-                for w, tail in uses:
-                    known[w] = own + tail
-                a = b
+            raw = ids.tobytes()
+            own = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            known.update(zip(plain, [own[i] + t for i, t in zip(core_of, tail_of, strict=True)], strict=True))
         for w, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -101,7 +98,7 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def batches_of(texts: list[str], most: int = 200_000) -> Iterator[tuple[int, int]]:
+def batches_of(texts: list[str], most: int = 800_000) -> Iterator[tuple[int, int]]:
     """Runs of texts with about so many characters."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -116,6 +113,7 @@ def batches_of(texts: list[str], most: int = 200_000) -> Iterator[tuple[int, int
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, size: int, end: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
+        gc.disable()  # a remembered word is no garbage, and there are many
         stop = np.array([end], "<u4").tobytes()
         for b in batches:
             ids_of, texts, out = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], []
