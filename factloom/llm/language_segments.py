@@ -17,6 +17,7 @@ long words too, with sums scaled; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from factloom.session import Scratch
 VOCABULARY = "piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-KEPT = 48_000_000  # bytes, about, of words and their scores that a worker remembers
+KEPT = 72_000_000  # bytes, about, of words and their scores that a worker remembers
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -228,6 +229,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model, path)
+        gc.disable()  # what is remembered is no garbage
         for b in batches:
             out = [x for own in portions(b.column(2)) for x in score(own)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -243,6 +245,7 @@ def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = scorer(*model, path)
+        gc.disable()  # what is remembered is no garbage
         for b in batches:
             if model[0]:
                 yield pa.array([lang != "und" and x >= least for own in portions(b) for lang, x in score(own)], pa.bool_())
