@@ -16,12 +16,14 @@ import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,67 +32,118 @@ from factloom.session import Scratch, ship
 
 VOCABULARY = "word_bpe_49k.json"
 KEPT = 96_000_000  # bytes, about, of words and ids that a worker remembers
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
+# Bytes that have no visible Latin-1 letter stand for U+0100 and on, in order.
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 GROUP = 20_000  # pieces that are packed together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, room long"
 
 
+def ragged(pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a pool one behind the other, and where each of them ends."""
+    ends = np.cumsum(count)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)], ends
+
+
+def byte_letters(word: str) -> str:
+    """A letter for each UTF-8 byte, as byte-level vocabularies spell them."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+
+
 class Words:
     """Ids of texts by the tokenizer, put together from remembered ids of what stands between white space.
 
     The tokenizer's normaliser and split pattern never reach across white space, so this equals encoding whole texts.
+    Arrow splits the texts and finds their distinct words; only those meet Python. A remembered word is a run in a pool of ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.ends = np.zeros(self.t.get_vocab_size(), bool)
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-        self.tail = {c: self.encode_one(c) for c in ".,;:!?"}
+        self.merges = Tokenizer(self.t.model)  # the same merges for words that need no normalising and no splitting but at spaces
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.tails = {"": np.empty(0, "<u4")}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.held = {"": 0}, 0
+        self.pool, self.begin, self.count = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def encode_one(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Remember new words: plain ones by one call, split where a word ends; others one by one."""
-        known, cores, rest, tails = self.known, {}, [], self.tail
-        self.held += sum(map(len, words)) + 180 * len(words)
+    def tail(self, text: str) -> str:
+        if text not in self.tails:
+            self.tails[text] = np.frombuffer(self.encode_one(text), "<u4")
+        return text
+
+    def add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
+        self.held += sum(map(len, words)) + 180 * len(words) + ids.nbytes
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def learn(self, words: list[str]) -> None:
+        """Remember new words: letters and a tail of marks by one call, split where a word ends; others one by one."""
+        cores, rest = {}, []
         plain, core_of, tail_of = [], [], []  # flat lists: nothing here that the garbage collector has to walk
         for w in words:
-            tail = tails.get(w[-1], b"")
-            core = w[:-1] if tail else w
-            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+            core = w.rstrip(MARKS)
+            tail = w[len(core) :]
+            if len(tail) <= 3 and core.isalpha() and (core.isascii() or max(core) < "Ā"):
                 plain.append(w)
                 core_of.append(cores.setdefault(core.lower(), len(cores)))
                 tail_of.append(tail)
             else:
                 rest.append(w)
         if plain:
-            ids = np.array(self.t.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            ids = np.array(self.merges.encode_batch_fast([" ".join(map(byte_letters, cores))], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(cores):
                 raise ValueError("words don't end where the vocabulary says")
-            raw = ids.tobytes()
-            own = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-            known.update(zip(plain, [own[i] + t for i, t in zip(core_of, tail_of, strict=True)], strict=True))
-        for w, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t.isascii() and "\x85" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+            number = {t: i for i, t in enumerate(dict.fromkeys(tail_of))}
+            runs = [self.tails[self.tail(t)] for t in number]
+            size = np.concatenate([np.diff(cuts, prepend=0), [len(r) for r in runs]])
+            at = np.empty((len(plain), 2), np.int64)
+            at[:, 0], at[:, 1] = core_of, [number[t] for t in tail_of]
+            at[:, 1] += len(cores)
+            own, _ = ragged(np.concatenate([ids, *runs]), (np.cumsum(size) - size)[at.ravel()], size[at.ravel()])
+            self.add(plain, own, size[at].sum(1))
+        if rest:
+            found = [e.ids for e in self.t.encode_batch_fast(rest, add_special_tokens=False)]
+            self.add(rest, np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        apart = pc.match_substring_regex(texts, "[\x1c-\x1f\x85]")  # where not all agree on what is white space
+        alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist()
+        split = pc.utf8_split_whitespace(pc.if_else(apart, "", texts) if alone else texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
         if self.held > KEPT:
-            self.known.clear()
-            self.held = 0
-        missing = set().union(*(ws for ws in split if ws)).difference(self.known)
-        if missing:
+            self.forget()
+        slots = np.fromiter(map(self.known.get, words.tolist(), repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            missing = words[new].tolist()
             self.learn(missing)
-        at = self.known.__getitem__
-        return [self.encode_one(t) if ws is None else b"".join(map(at, ws)) for t, ws in zip(texts, split, strict=True)]
+            slots[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(new))
+        rows = slots[coded.indices.to_numpy()]
+        ids, ends = ragged(self.pool, self.begin[rows], self.count[rows])
+        cuts = (4 * np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]).tolist()
+        raw = ids.tobytes()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i in alone:
+            out[i] = self.encode_one(texts[i].as_py())
+        return out
 
 
 @lru_cache(2)
@@ -98,16 +151,16 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def batches_of(texts: list[str], most: int = 200_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about so many characters."""
+def batches_of(lengths: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about so many bytes."""
     at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(lengths):
+        size += n
         if size >= most:
             yield at, i + 1
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(lengths):
+        yield at, len(lengths)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, size: int, end: int) -> DataFrame:
@@ -116,8 +169,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, size: int, en
         gc.disable()  # a remembered word is no garbage, and there are many
         stop = np.array([end], "<u4").tobytes()
         for b in batches:
-            ids_of, texts, out = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], []
-            for lo, hi in batches_of(texts):
+            ids_of, texts, out = b.column(0).to_pylist(), pc.fill_null(b.column(1), ""), []
+            for lo, hi in batches_of(pc.binary_length(texts).to_pylist()):
                 for doc, ids in zip(ids_of[lo:hi], w.encode(texts[lo:hi]), strict=True):
                     ids += stop
                     n = len(ids) // 4
