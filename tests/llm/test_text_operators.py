@@ -285,6 +285,18 @@ def test_packing_ids_bounds_and_layout(spark, odd_docs):
         assert at <= 2048
 
 
+def test_packing_words_equal_the_tokenizer_on_mixed_texts():
+    """Letters with tails of marks, apostrophes, digits, marks in front, letters past U+00FF, combining marks, all kinds of white space, blank texts."""
+    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    t.encode_special_tokens = True
+    w, g = packing.Words(public_tokenizers.path(packing.VOCABULARY)), random.Random(7)
+    alphabet = [*"aBéÇßÿIstlm'.,!$&*<|>\"\\_-~3 \t\n", "\u00a0", "\u2003", "\u3000", "\x1f", "\x85", "\u0301", "Ā", "İ", "ª", "µ", "日", "…", "th", "ing", " "]
+    texts = ["", "   ", "a", "a!!!!!! b?!", *("".join(g.choices(alphabet, k=g.randrange(60))) for _ in range(3000))]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        assert [np.frombuffer(b, "<u4").tolist() for b in w.encode(part)] == [t.encode(x, add_special_tokens=False).ids for x in part]
+
+
 def test_best_fit_meets_the_bound():
     g = np.random.default_rng(5)
     for _ in range(20):
