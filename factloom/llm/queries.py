@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from factloom.llm import license_join
+from factloom.llm.additive_quality import op12_additive_quality
 from factloom.llm.bpe_queue import op3_bpe_queue
 from factloom.llm.hmm_scoring import op1_hmm_scoring
 from factloom.llm.hyperminhash import op8_hyperminhash
+from factloom.llm.lanczos_whitening import op13_lanczos_whitening
 from factloom.llm.language_segments import op9_language_segments
 from factloom.llm.license_join import op4_license_join
 from factloom.llm.metric_join import op10_metric_join
@@ -13,6 +15,7 @@ from factloom.llm.multi_index_hashing import op7_multi_index_hashing
 from factloom.llm.packing import op5_packing
 from factloom.llm.secret_crf import op2_secret_crf
 from factloom.llm.toxicity_ordinal import op6_toxicity_ordinal
+from factloom.llm.wavelet_ranking import op11_wavelet_ranking
 
 QUERIES = {
     f.__name__: f
@@ -27,11 +30,15 @@ QUERIES = {
         op8_hyperminhash,
         op9_language_segments,
         op10_metric_join,
+        op11_wavelet_ranking,
+        op12_additive_quality,
+        op13_lanczos_whitening,
     )
 }
 
 UPPER, LOWER = license_join.UPPER, license_join.LOWER
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {license_join.need(len(set(t.split())), 0.92)})" for label, t in license_join.TEMPLATES)
 _PHRASES = ", ".join(f"('{label}', {p.split()!r})" for p, label in license_join.PHRASES.items())
 
@@ -64,4 +71,14 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec
 c(node, label) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, c.label FROM c JOIN p ON p.a = c.node),
 k AS (SELECT a, count(*) AS n FROM p GROUP BY a), m AS (SELECT node, min(label) AS label FROM c GROUP BY node)
 SELECT vec_id, coalesce(k.n, 0) AS n_links, m.label AS component_id, m.label = vec_id AS kept FROM embeddings JOIN m ON node = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op11_wavelet_ranking": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERMS}') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERMS}')) AS t FROM benchmark) x GROUP BY item_id, t),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) x WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t) x, s),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(ws) * n) // l AS m FROM d, s WHERE len(ws) > 0),
+z AS (SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, r),
+k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM z JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }

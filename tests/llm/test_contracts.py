@@ -219,5 +219,7 @@ def test_every_query_without_sql_is_tested_by_brute_force():
         "op6_toxicity_ordinal": "test_toxicity_query_equals_brute_force",
         "op7_multi_index_hashing": "test_recall_and_scores",
         "op9_language_segments": "test_language_query_equals_brute_force",
+        "op12_additive_quality": "test_quality_query_equals_brute_force",
+        "op13_lanczos_whitening": "test_whitening_query_equals_eigenvectors",
     }
     assert set(tests) | set(queries.ORACLE_SQL) == set(queries.QUERIES) and not set(tests) & set(queries.ORACLE_SQL)
