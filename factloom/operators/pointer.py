@@ -361,6 +361,19 @@ def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame
     return points_to(*(scratch.keep(d.distinct()) for d in (alloc, copy, load, store)), max_rounds=max_rounds, log=log)
 
 
+def call_contexts(p: Program, pts: DataFrame, found: DataFrame, policy: str, roots: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Contexts that scopes run in, from the roots (scope) on, and calls between them: (scope, ctx) and (scope, site, fn, off, ctx, nctx)."""
+    scratch = Scratch(found.sparkSession, "contexts")
+    held = pts.where("field = ''").select("node", F.col("obj").alias("recv"))
+    recv = p.recv.withColumn("node", _node("ro", "r")).join(held, "node").select("site", "recv").where("startswith(recv, 'inst:')")
+    names = p.arg.groupBy("site").agg(F.collect_set("a").alias("names"))
+    calls = scratch.keep(found.join(recv, "site", "left").join(names, "site", "left"))
+    ctx = F.when(F.col("ctx") == "", F.array().cast("array<string>")).otherwise(F.split("ctx", ","))
+    new = F.array_join(context.call_context(policy, ctx, F.col("site"), F.col("recv"), F.col("recv"), F.col("recv"), F.coalesce("names", F.array().cast("array<string>"))), ",")
+    reach = scratch.keep(fixpoint(roots.select("scope", F.lit("").alias("ctx")), lambda d, _: d.join(calls, "scope").select(F.col("fn").alias("scope"), new.alias("ctx")), max_rounds))
+    return reach, scratch.keep(reach.join(calls, "scope").select("scope", "site", "fn", "off", "ctx", new.alias("nctx")).distinct())
+
+
 def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_rounds: int = 1000, log: list | None = None) -> Result:
     """Points-to sets and call graph of the modules' facts. ``entries``: scopes that run without a caller: 'all', or 'modules' (with class bodies)."""
     scratch = Scratch(f.sparkSession, "pointer")
@@ -369,16 +382,9 @@ def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_round
     found = scratch.keep(_calls(p, pts))
     if policy == "0-cfa":
         return Result(p, pts, found.select("site", F.lit("").alias("ctx"), F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.lit("").alias("callee_ctx")), found)
-    held = pts.where("field = ''").select("node", F.col("obj").alias("recv"))
-    recv = p.recv.withColumn("node", _node("ro", "r")).join(held, "node").select("site", "recv").where("startswith(recv, 'inst:')")
-    names = p.arg.groupBy("site").agg(F.collect_set("a").alias("names"))
-    calls = scratch.keep(found.join(recv, "site", "left").join(names, "site", "left"))
-    ctx = F.when(F.col("ctx") == "", F.array().cast("array<string>")).otherwise(F.split("ctx", ","))
-    new = context.call_context(policy, ctx, F.col("site"), F.col("recv"), F.col("recv"), F.col("recv"), F.coalesce("names", F.array().cast("array<string>")))
-    new = F.array_join(new, ",")
-    roots = p.scopes.where("kind in ('module', 'class')" if entries == "modules" else "true").select("scope", F.lit("").alias("ctx"))
-    reach = scratch.keep(fixpoint(roots, lambda d, _: d.join(calls, "scope").select(F.col("fn").alias("scope"), new.alias("ctx")), max_rounds))
+    roots = p.scopes.where("kind in ('module', 'class')" if entries == "modules" else "true").select("scope")
+    reach, edges = call_contexts(p, pts, found, policy, roots, max_rounds)
     inits = p.init.select("fn").distinct().withColumn("is_init", F.lit(True))
-    edges = scratch.keep(reach.join(calls, "scope").select("scope", "site", "fn", "off", "ctx", new.alias("nctx")).distinct().join(inits, "fn", "left").withColumn("is_init", F.coalesce("is_init", F.lit(False))))
+    edges = scratch.keep(edges.join(inits, "fn", "left").withColumn("is_init", F.coalesce("is_init", F.lit(False))))
     pts = _solve(p, policy, reach, edges, max_rounds, log)
     return Result(p, pts, edges.select("site", "ctx", F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.col("nctx").alias("callee_ctx")), found)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.components import followers
 from factloom.operators.fixpoint import fixpoint, union
 from factloom.session import Scratch
 
@@ -32,11 +33,18 @@ def with_unknown_elements(load: DataFrame) -> DataFrame:
 def points_to(alloc: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, widen: int | None = None, max_rounds: int = 10_000, log: list | None = None) -> DataFrame:
     """(node, field, obj). alloc(node, obj), copy(src, tgt), load(base, field, tgt), store(base, field, src).
 
+    Variables whose one inflow is a copy are solved as the root of their chain and get its rows at the end.
     ``widen``: variables whose sets exceed that size at the end get one object -1 instead (TOP).
     """
+    scratch = Scratch(alloc.sparkSession, "fields")
+    others = alloc.select("node") if load is None else alloc.select("node").union(load.select("tgt"))
+    same = scratch.keep(followers(copy, others))
+    named = lambda d, c: d.join(same.select(F.col("node").alias(c), F.col("root").alias("_root"), F.lit(True).alias("_same")), c, "left").withColumn(c, F.when(F.col("_same"), F.col("_root")).otherwise(F.col(c))).where(F.col(c).isNotNull()).drop("_root", "_same")
+    copy = scratch.keep(named(copy.join(same.select(F.col("node").alias("tgt")), "tgt", "left_anti"), "src").select("src", "tgt").distinct())
+    load = load if load is None else scratch.keep(named(load, "base").select("base", "field", "tgt").distinct())
+    store = store if store is None else scratch.keep(named(named(store, "base"), "src").select("base", "field", "src").distinct())
     init = alloc.select("node", F.lit("").alias("field"), "obj")
     move = copy.select(F.col("src").alias("node"), "tgt")
-    scratch = Scratch(alloc.sparkSession, "fields")
     edges: dict[str, list[DataFrame]] = {"store": [], "load": []}
 
     def resolved(kind: str, new: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -70,6 +78,8 @@ def points_to(alloc: DataFrame, copy: DataFrame, load: DataFrame | None = None,
         return union(out)
 
     pts = fixpoint(init, step, max_rounds, log=log)
+    held = pts.where("field = ''").select(F.col("node").alias("root"), "field", "obj")
+    pts = pts.union(held.join(same, "root").select("node", "field", "obj"))
     if widen is None:
         return pts
     big = pts.groupBy("node", "field").agg(F.count("*").alias("n")).where(F.col("n") > widen).select("node", "field")
