@@ -2,7 +2,7 @@
 
 ``types`` is a set of type names as bits. ``lo`` and ``hi`` bound numbers, and the sizes of strings and containers; a value of types without
 bounds (None, functions, ...) has lo = inf and hi = -inf, so joins are bit_or, min and max. No bits: no value (not reached). Sizes of
-containers that can change are unbounded, for other names may hold the same one. Integers beyond 2^53 have their bounds rounded outward.
+containers that can change are unbounded, for other names may hold the same one. Integers from 2^53 on have their bounds rounded outward.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def names(types: Column) -> Column:
 
 
 def outward(types: Column, lo: Column, hi: Column) -> Value:
-    far = lambda x: has(types, BIT["int"]) & (F.abs(x) > BIG) & (F.abs(x) < INF)
+    far = lambda x: has(types, BIT["int"]) & (F.abs(x) >= BIG) & (F.abs(x) < INF)
     step = 2.0**-51
     return types, F.when(far(lo), lo - F.abs(lo) * step).otherwise(lo), F.when(far(hi), hi + F.abs(hi) * step).otherwise(hi)
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import components, pointer, values
+from factloom.operators import call_graph, components, objects, pointer, values
+from factloom.plans import front_queries
 from factloom.plans.front_queries import filled
 from factloom.plans.programs import COPY_SQL, lines, read
 from factloom.session import Scratch
@@ -145,3 +146,30 @@ def component_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = li.where("k = 1").select("o", F.col("part").alias("src")).join(li.where("k = 2").select("o", F.col("part").alias("tgt")), "o").join(urgent, "o", "left_semi")
     edges = Scratch(spark, "parts").keep(pair.select("src", "tgt").distinct())
     return components.component_order(edges, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
+
+
+OBJECT_SQL = """WITH o AS (SELECT l_orderkey AS value, CASE l_linenumber % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN 'constant' WHEN 2 THEN 'unknown' WHEN 3 THEN 'builtin' WHEN 4 THEN 'instance' ELSE 'external_function' END AS kind,
+  CASE l_linenumber % 6 WHEN 1 THEN l_returnflag WHEN 3 THEN 'list' WHEN 4 THEN 'C' || l_suppkey % 5 WHEN 5 THEN 'x.f' || l_suppkey % 3 ELSE '' END AS ident, CASE WHEN l_linenumber % 6 IN (1, 3) THEN l_quantity END AS lo,
+  CASE WHEN l_linenumber % 6 = 1 OR l_linenumber % 6 = 3 AND l_linestatus = 'F' THEN l_quantity + 1 END AS hi, CASE WHEN l_linenumber % 6 = 3 THEN l_returnflag END AS element, CASE WHEN l_linenumber % 6 = 4 THEN l_linestatus END AS attribute, l_partkey % 50 AS part FROM lineitem),
+g AS (SELECT part AS value, kind, ident, CASE WHEN count(lo) = count(*) THEN min(lo) END AS lo, CASE WHEN count(hi) = count(*) THEN max(hi) END AS hi, coalesce(string_agg(DISTINCT element, ',' ORDER BY element), '') AS elements, coalesce(string_agg(DISTINCT attribute, ',' ORDER BY attribute), '') AS attributes FROM o GROUP BY ALL
+UNION ALL SELECT -value - 1, kind, ident, CASE WHEN count(lo) = count(*) THEN min(lo) END, CASE WHEN count(hi) = count(*) THEN max(hi) END, coalesce(string_agg(DISTINCT element, ',' ORDER BY element), ''), coalesce(string_agg(DISTINCT attribute, ',' ORDER BY attribute), '') FROM o GROUP BY ALL)"""
+
+
+@query(f"{OBJECT_SQL} SELECT * FROM g WHERE kind <> 'unknown' OR value NOT IN (SELECT value FROM g WHERE kind <> 'unknown')")
+def merged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is an object that an order's value (negative) and a class of parts' may be."""
+    li, n = read(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 6
+    text = lambda c: F.col(c).cast("string")
+    kind = F.when(n == 1, "constant").when(n == 3, "builtin").when(n == 4, "instance").when(n == 5, "external_function").otherwise("unknown")
+    ident = F.when(n == 1, F.col("l_returnflag")).when(n == 3, "list").when(n == 4, F.concat(F.lit("C"), (F.col("l_suppkey") % 5).cast("string"))).when(n == 5, F.concat(F.lit("x.f"), (F.col("l_suppkey") % 3).cast("string")))
+    own = [kind.alias("kind"), ident.alias("ident"), F.when(n.isin(1, 3), F.col("l_quantity")).alias("lo"), F.when((n == 1) | (n == 3) & (F.col("l_linestatus") == "F"), F.col("l_quantity") + 1).alias("hi"), F.when(n == 3, text("l_returnflag")).alias("element"), F.when(n == 4, text("l_linestatus")).alias("attribute")]
+    rows = li.select(F.explode(F.array(-F.col("l_orderkey") - 1, F.col("l_partkey") % 50)).alias("value"), *own)
+    return objects.merge_objects(rows, "value").withColumns({c: F.array_join(c, ",") for c in ("elements", "attributes")})
+
+
+@query(f"""WITH {front_queries.CUST_SQL} SELECT m AS module, kind, n FROM md, LATERAL (VALUES ('class', cnt), ('instance', cnt), ('function', cnt + (SELECT count(*) FROM cu WHERE cu.m = md.m AND odd = 'missing_argument')),
+('other', cnt + 1 + n_odd - (SELECT count(*) FROM cu WHERE cu.m = md.m AND odd = 'missing_argument'))) v(kind, n) UNION ALL SELECT 'r' || r_regionkey, 'class', 1 FROM region""")
+def call_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call sites of the nations' programs by kind."""
+    g = call_graph.call_graph(front_queries.solved(spark, sf_dir), front_queries.facts(spark, sf_dir))
+    return g.kinds("caller").withColumnRenamed("caller", "module")
