@@ -54,7 +54,8 @@ def byte_letters(word: str) -> str:
 class Words:
     """Ids of texts by the tokenizer, put together from remembered ids of what stands between white space.
 
-    The tokenizer's normaliser and split pattern never reach across white space, so this equals encoding whole texts.
+    The tokenizer's normaliser, split pattern and special tokens never reach across white space, so this equals encoding whole texts.
+    A special token in a text is that token: a word that holds one is never plain, so the tokenizer itself encodes it.
     Arrow splits the texts and finds their distinct words; only those meet Python. A remembered word is a run in a pool of ids.
     """
 
@@ -63,7 +64,6 @@ class Words:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.ends = np.zeros(self.t.get_vocab_size(), bool)
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")

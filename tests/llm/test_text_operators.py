@@ -268,9 +268,8 @@ def test_license_runs_equal_brute_force(spark):
 
 def test_packing_ids_bounds_and_layout(spark, odd_docs):
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     w = packing.words(public_tokenizers.path(packing.VOCABULARY))
-    for x in ["it's a 'll\x1fb 12 3.4 ÉCOLE İstanbul ΑΣ a\x85b <|endoftext|>", "", "a, b. C! d;", "日本 語."]:
+    for x in ["it's a 'll\x1fb 12 3.4 ÉCOLE İstanbul ΑΣ a\x85b <|endoftext|>", "", "a, b. C! d;", "日本 語.", "a <|endoftext|> b", "a<|endoftext|>b<|startoftext|>!", "<|EndOfText|> e\u0301<|endoftext|>\u0301"]:
         assert np.frombuffer(w.encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
     got = packing.pack(odd_docs).collect()
     assert sum(r.length for r in got) == sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
@@ -286,11 +285,10 @@ def test_packing_ids_bounds_and_layout(spark, odd_docs):
 
 
 def test_packing_words_equal_the_tokenizer_on_mixed_texts():
-    """Letters with tails of marks, apostrophes, digits, marks in front, letters past U+00FF, combining marks, all kinds of white space, blank texts."""
+    """Letters with tails of marks, apostrophes, digits, marks in front, letters past U+00FF, combining marks, special tokens, all kinds of white space, blank texts."""
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     w, g = packing.Words(public_tokenizers.path(packing.VOCABULARY)), random.Random(7)
-    alphabet = [*"aBéÇßÿIstlm'.,!$&*<|>\"\\_-~3 \t\n", "\u00a0", "\u2003", "\u3000", "\x1f", "\x85", "\u0301", "Ā", "İ", "ª", "µ", "日", "…", "th", "ing", " "]
+    alphabet = [*"aBéÇßÿIstlm'.,!$&*<|>\"\\_-~3 \t\n", "\u00a0", "\u2003", "\u3000", "\x1f", "\x85", "\u0301", "Ā", "İ", "ª", "µ", "日", "…", "th", "ing", " ", "<|endoftext|>", "<|startoftext|>", "<|end"]
     texts = ["", "   ", "a", "a!!!!!! b?!", *("".join(g.choices(alphabet, k=g.randrange(60))) for _ in range(3000))]
     for k in range(0, len(texts), 500):
         part = texts[k : k + 500]
