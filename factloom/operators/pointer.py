@@ -8,7 +8,11 @@ First pass (no contexts). Calls become field accesses of the callee's object, so
     *a, **k at a call         fields star and kwstar; the callee's parameters read their elements, its *args and **kwargs packs too
     x + y, x[k], -x, x in y   a call of x's (or y's reflected) special method beside the builtin meaning
     super() in C, modules     objects super:C and mod:m with the fields visible above C, or of the module; modules not given are opaque, ext:m
-    builtins                  flows of a table (functions.builtins_table): functions by name, methods as fields of the container that they belong to
+    builtins                  objects bi:<name>@<scope> with flows of a table (operators.library); methods are fields of the container that they belong to
+    o() of an instance        the instance's fields feed __call__'s parameters; ret holds its $return
+    property                  the attribute holds what its function returns
+    elements                  [] is any element, [k] one under a constant key, [?] one under a key unknown, {} a key. Only tuples' places and string
+                              keys count as constant, as lists move theirs; a load of [k] reads [?] too
 
 A static flow between a variable and an object's field goes through a helper variable ``@<obj>`` that holds just the object. Instances see
 class attributes along the C3 order computed beforehand, which keeps the rules monotone.
@@ -25,16 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import context
-from factloom.functions.builtins_table import ALLOCATES, FLOWS
-from factloom.operators import hierarchy
+from factloom.functions.builtins_table import ALLOCATES
+from factloom.operators import hierarchy, library
 from factloom.operators.fixpoint import fixpoint, union
 from factloom.operators.points_to import points_to
 from factloom.session import Scratch
 from factloom.sources import python_files
 
 
-CALLABLE = "^(fn|cls|bm):"  # objects that can be called
-WRITTEN = "not contains(site, '/op')"  # calls that the source has, not those of special methods beside an operator
+CALLABLE = "^(fn|cls|bm|bi):"  # objects that can be called, beside instances with __call__
+WRITTEN = "not contains(site, '/op')"  # calls that the source has, not those of special methods and by builtins
+THROUGH = "bo <> '' or contains(site, '/op')"  # calls through an object's fields; a builtin's by its name has flows of its own
 
 
 @dataclass
@@ -42,7 +47,7 @@ class Program:
     """Constraint tables. Variables are (owner, name); scope is where a constraint stands, '' for what has no context.
 
     alloc(scope, to, t, obj), copy(scope, so, s, to, t), load(scope, bo, b, field, to, t), store(scope, bo, b, field, so, s),
-    call(scope, site, bo, b, to, t), arg(site, role, pos, kw, ao, a), param(fn, pos, kind, name, has_default, shift), init(cls, fn), recv(site, ro, r)
+    call(scope, site, bo, b, to, t), arg(site, role, pos, kw, ao, a), param(fn, pos, kind, name, has_default, shift), init(cls, fn), act(cls, fn): __call__, recv(site, ro, r)
     """
 
     alloc: DataFrame
@@ -53,9 +58,15 @@ class Program:
     arg: DataFrame
     param: DataFrame
     init: DataFrame
+    act: DataFrame
     recv: DataFrame
     scopes: DataFrame
 
+    def callable(self, rows: DataFrame) -> DataFrame:
+        """Rows with an obj, and whether it can be called: ok."""
+        own = self.act.select(F.concat(F.lit("inst:"), "cls").alias("obj"), F.lit(True).alias("acts")).distinct()
+        return rows.join(own, "obj", "left").withColumn("ok", F.coalesce(F.col("obj").rlike(CALLABLE) | F.coalesce("acts", F.lit(False)), F.lit(False))).drop("acts")
+
 
 @dataclass
 class Result:
@@ -80,12 +91,12 @@ class Result:
         return not self.of_variable(*a).join(self.of_variable(*b), "obj", "left_semi").isEmpty()
 
     def plain_calls(self) -> DataFrame:
-        return self.cg.select(F.col("caller").alias("src"), F.col("callee").alias("tgt")).distinct()
+        return self.cg.select(F.when(F.col("caller") == "", F.split("site", "/")[0]).otherwise(F.col("caller")).alias("src"), F.col("callee").alias("tgt")).distinct()
 
     def failed_calls(self) -> DataFrame:
         """(scope, site): calls whose callee holds nothing that can be called; builtins apart."""
         c = self.program.call.where(f"bo <> '' and {WRITTEN}").select("scope", "site", _node("bo", "b").alias("node"))
-        return c.join(self.pts.where(f"field = '' and obj rlike '{CALLABLE}'").select("node"), "node", "left_anti").select("scope", "site")
+        return c.join(self.program.callable(self.pts.where("field = ''")).where("ok").select("node"), "node", "left_anti").select("scope", "site")
 
     def statistics(self) -> DataFrame:
         is_var = F.col("field") == ""
@@ -108,7 +119,7 @@ def constraints(f: DataFrame) -> Program:
         j = df.join(var, (col("scope") == col("vs")) & (col(name) == col("vn")), "left").drop("vs", "vn")
         return j.withColumn(out, F.coalesce("owner", lit(""))).drop("owner")
 
-    arg = st.select("scope", "site", "kind", col("name").alias("op"), "target", "base", F.posexplode("args").alias("pos", "x")).select("*", col("x.role").alias("role"), col("x.name").alias("kw"), col("x.var").alias("a")).drop("x")
+    arg = st.select("scope", "site", "kind", col("name").alias("op"), "target", "base", F.exists("args", lambda x: x["role"] == "star").alias("loose"), F.posexplode("args").alias("pos", "x")).select("*", col("x.role").alias("role"), col("x.name").alias("kw"), col("x.var").alias("a")).drop("x")
 
     # objects
     what = F.when(col("kind") == "FuncDef", F.concat(lit("fn:"), "base")).when(col("kind") == "ClassDef", F.concat(lit("cls:"), "base")).when(col("kind").isin("Build", "Const", "BinOp", "UnaryOp", "Compare", "Format", "HasNext", "Match", "Unknown", "CatchBind"), F.concat_ws("/", "site", F.coalesce("name", "kind")))
@@ -129,16 +140,21 @@ def constraints(f: DataFrame) -> Program:
     copy.append(owned(given, "a", "so").select(lit("").alias("scope"), "so", col("a").alias("s"), "to", "t"))
     outs = arg.where("kind in ('Return', 'Yield') and role = 'pos'").select("scope", F.when(col("kind") == "Return", "$return").otherwise("$yield").alias("t"), "a")
     copy.append(owned(outs, "a", "so").select("scope", "so", col("a").alias("s"), col("scope").alias("to"), "t"))
-    const = st.where("kind = 'Const'").select(col("target").alias("cv"), col("module").alias("cm"), col("label").alias("key"))
-    key = F.when(col("key").isNotNull(), F.concat(lit("["), "key", lit("]"))).otherwise("[]")
-    unknown = lambda d: union([d, d.withColumn("field", lit("[]"))]).distinct()
-    subl = st.where("kind = 'LoadSubscr'").select("scope", "module", "base", "target", F.get("args", lit(0))["var"].alias("kv")).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").select("scope", "base", key.alias("field"), "target")
-    get = union([st.where("kind = 'LoadAttr'").select("scope", "base", col("name").alias("field"), "target"), unknown(subl)])
+    const = scratch.keep(st.where("kind = 'Const'").select(col("target").alias("cv"), col("module").alias("cm"), col("name").alias("ct"), col("label").alias("key")))
+    key = F.when(((col("ct") == "int") & ~col("key").startswith("-")) | (col("ct") == "str"), F.concat(lit("["), "key", lit("]")))
+    keyed = lambda d, *cs: d.withColumn("kv", F.get("args", lit(0))["var"]).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").withColumn("exact", key).select("scope", "base", "exact", "ct", "kv", *cs)
+    subl = keyed(st.where("kind = 'LoadSubscr'"), "target").select("scope", "base", F.explode(F.when(col("exact").isNull(), F.array(lit("[]"))).otherwise(F.array(col("exact"), lit("[?]")))).alias("field"), "target")
+    get = union([st.where("kind = 'LoadAttr'").select("scope", "base", col("name").alias("field"), "target"), subl])
     load = [owned(owned(get, "base", "bo"), "target", "to").select("scope", "bo", col("base").alias("b"), "field", "to", col("target").alias("t"))]
-    subs = st.where("kind = 'StoreSubscr'").select("scope", "module", "base", F.get("args", lit(0))["var"].alias("kv"), F.get("args", lit(1))["var"].alias("a")).join(const, (col("kv") == col("cv")) & (col("module") == col("cm")), "left").select("scope", "base", key.alias("field"), "a")
-    built = arg.where("kind = 'Build' and op in ('list', 'tuple', 'set', 'dict') and role in ('pos', 'value')").select("scope", col("target").alias("base"), F.when(col("op").isin("list", "tuple"), F.concat(lit("["), col("pos").cast("string"), lit("]"))).otherwise("[]").alias("field"), "a")
-    put = union([st.where("kind = 'StoreAttr'").select("scope", "base", col("name").alias("field"), F.get("args", lit(0))["var"].alias("a")), unknown(subs), unknown(built)])
-    store = [owned(owned(put, "base", "bo"), "a", "so").select("scope", "bo", col("base").alias("b"), "field", "so", col("a").alias("s"))]
+    subs = scratch.keep(keyed(st.where("kind = 'StoreSubscr'"), F.get("args", lit(1))["var"].alias("a")))
+    built = arg.where("kind = 'Build' and op in ('list', 'tuple', 'set', 'dict') and role in ('pos', 'value')")
+    fixed = (col("op") == "tuple") & ~col("loose")
+    keys = union([subs.select("scope", "base", lit("{}").alias("field"), col("kv").alias("a")), arg.where("kind = 'Build' and op = 'dict' and role = 'key'").select("scope", col("target").alias("base"), lit("{}").alias("field"), "a")])
+    put = union([st.where("kind = 'StoreAttr'").select("scope", "base", col("name").alias("field"), F.get("args", lit(0))["var"].alias("a")), keys, subs.where("ct is null or ct <> 'str'").select("scope", "base", lit("[]").alias("field"), "a"), built.where(~fixed).select("scope", col("target").alias("base"), lit("[]").alias("field"), "a")])
+    stored = lambda d: owned(owned(d, "base", "bo"), "a", "so").select("scope", "bo", col("base").alias("b"), "field", "so", col("a").alias("s"))
+    store = [stored(put)]
+    placed = union([subs.where("ct = 'str'").select("scope", "base", col("exact").alias("field"), "a"), built.where(fixed).select("scope", col("target").alias("base"), F.concat(lit("["), col("pos").cast("string"), lit("]")).alias("field"), "a")])
+    exact = [stored(union([placed, placed.withColumn("field", lit("[]"))]))]
     spread = owned(owned(arg.where("kind = 'Build' and role = 'star'").select("scope", "site", "pos", "target", "a"), "target", "bo"), "a", "ao")
     loose = F.concat(lit("@star:"), "site", lit(":"), col("pos").cast("string"))
     load.append(spread.select("scope", col("ao").alias("bo"), col("a").alias("b"), lit("[]").alias("field"), lit("").alias("to"), loose.alias("t")))
@@ -157,8 +173,6 @@ def constraints(f: DataFrame) -> Program:
     defines = held.join(cls_rows, col("scope") == col("cls")).select("cls", col("var").alias("attr"))
     cattr = scratch.keep(hierarchy.resolve_attribute(mro, defines))
     above = scratch.keep(hierarchy.resolve_attribute(mro.where("pos > 0"), defines))
-    for tag, rows in (("inst:", cattr), ("super:", above), ("cls:", cattr.where("cls <> definer"))):
-        store.append(rows.select(*writes(F.concat(lit(tag), "cls"), col("attr"), col("definer"), col("attr"))))
     store.append(cls_rows.select(*writes(F.concat(lit("cls:"), "cls"), lit("ret"), lit(""), F.concat(lit("@inst:"), "cls"))))
 
     # parameters: methods get the receiver first, so their arguments are shifted by one
@@ -166,37 +180,40 @@ def constraints(f: DataFrame) -> Program:
     fkind = scope.where("kind = 'function'").select(col("scope").alias("fn"), "decorators", "flags")
     method = fdef.join(cls_rows, col("in") == col("cls")).join(fkind, "fn").select("fn", "cls", "fname", F.when(col("decorators").rlike("(^|,)staticmethod"), "static").when(col("decorators").rlike("(^|,)classmethod"), "class").otherwise("plain").alias("mk"))
     method = scratch.keep(method)
+    prop = method.join(fkind, "fn").where("rlike(decorators, '(^|,)(functools[.])?(cached_)?property(,|$)')").select(col("cls").alias("definer"), col("fname").alias("attr"), col("fn").alias("getter"))
+    for tag, rows in (("inst:", cattr), ("super:", above), ("cls:", cattr.where("cls <> definer"))):
+        rows = rows.join(prop, ["definer", "attr"], "left") if tag != "cls:" else rows.withColumn("getter", lit(None).cast("string"))
+        store.append(rows.select(*writes(F.concat(lit(tag), "cls"), col("attr"), F.coalesce("getter", "definer"), F.when(col("getter").isNotNull(), "$return").otherwise(col("attr")))))
     param = python_files.parameters(f).select(col("scope").alias("fn"), "pos", "kind", "name", "has_default").join(method.where("mk <> 'static'").select("fn", lit(1).alias("shift")), "fn", "left")
     param = scratch.keep(param.withColumn("shift", F.coalesce("shift", lit(0))))
-    init = scratch.keep(cattr.where("attr = '__init__'").join(method.where("fname = '__init__'").select(col("cls").alias("definer"), "fn"), "definer").select("cls", "fn"))
+    special_of = lambda name: scratch.keep(cattr.where(col("attr") == name).join(method.where(col("fname") == name).select(col("cls").alias("definer"), "fn"), "definer").select("cls", "fn"))
+    init, act = special_of("__init__"), special_of("__call__")
     first = param.where("pos = 0 and kind in ('posonly', 'pos')").select("fn", "name")
     seen = method.join(cattr.select(col("cls").alias("c"), col("attr").alias("fname"), col("definer").alias("cls")), ["cls", "fname"]).join(first, "fn")
     receiver = seen.where("mk <> 'static'").select(lit("").alias("scope"), lit("").alias("so"), F.concat(F.when(col("mk") == "class", "@cls:").otherwise("@inst:"), "c").alias("s"), col("fn").alias("to"), col("name").alias("t"))
     copy.append(receiver)
 
-    # builtins, by the callee's name, and container methods, by the attribute's
+    # builtins, by the callee's name or as objects, and container methods
     call = owned(owned(st.where("kind = 'Call'").select("scope", "site", "base", "target"), "base", "bo"), "target", "to").select("scope", "site", "bo", col("base").alias("b"), "to", col("target").alias("t"))
     call = scratch.keep(call)
-    args = scratch.keep(owned(arg.where("kind = 'Call'").select("scope", "site", "role", "pos", "kw", "a"), "a", "ao"))
+    args = scratch.keep(owned(arg.where("kind = 'Call'").select("scope", "site", "role", "pos", "kw", "a"), "a", "ao").select("scope", "site", "role", "pos", "kw", "ao", "a"))
     via = st.where("kind = 'LoadAttr'").select("scope", col("target").alias("b"), col("base").alias("r"), col("name").alias("attr"))
     via = scratch.keep(owned(call.join(via, ["scope", "b"]).select("scope", "site", "to", "t", "r", "attr"), "r", "ro"))
-    table = spark.createDataFrame([x for x in FLOWS if "." not in x[0]], "name string, src string, sf string, dst string, df string").distinct()
-    makes = spark.createDataFrame(sorted((b, kind) for b, kind in ALLOCATES.items() if "." not in b), "name string, ckind string")
-    used = scratch.keep(call.where("bo = ''").select("scope", "site", "to", "t", col("b").alias("name")))
-    thing = F.concat(col("site"), lit("/new"))
-    alloc.append(used.join(makes, "name").select("scope", "to", "t", thing.alias("obj")))
-    alloc.append(used.join(makes, "name").select(*helper(thing)))
-    flow = used.join(table, "name").join(args.where("role = 'pos'").select("site", "pos", "ao", "a"), "site")
-    flow = flow.where((col("src") == "any") | (col("src") == F.concat(lit("arg"), col("pos").cast("string"))))
-    tmp = F.concat(lit("@via:"), "site", lit(":"), "src", "sf", col("pos").cast("string"))
-    src = scratch.keep(flow.select("*", F.when(col("sf") == "", col("ao")).otherwise("").alias("xo"), F.when(col("sf") == "", col("a")).otherwise(tmp).alias("x")))
-    load.append(src.where("sf <> ''").select("scope", col("ao").alias("bo"), col("a").alias("b"), col("sf").alias("field"), lit("").alias("to"), col("x").alias("t")))
-    copy.append(src.where("dst = 'result' and df = ''").select("scope", col("xo").alias("so"), col("x").alias("s"), "to", "t"))
-    store.append(src.where("dst = 'result' and df <> ''").select("scope", lit("").alias("bo"), F.concat(lit("@"), thing).alias("b"), col("df").alias("field"), col("xo").alias("so"), col("x").alias("s")))
+    copy = [library.apart(union(copy), "so", "s", "scope", "to")]
+    store, exact = ([library.apart(union(d), "so", "s", "scope")] for d in (store, exact))
+    args = scratch.keep(library.apart(args, "ao", "a", "scope"))
+    rows = library.Rows(alloc, copy, load, store, exact)
+    read = [d.where(f"{o} = '' and rlike({v}, '^[a-z]+@')").select(col(v).alias("var")) for d, o, v in ((copy[0], "so", "s"), (store[0], "so", "s"), (exact[0], "so", "s"), (args, "ao", "a"))]
+    used = scratch.keep(call.where("bo = '' and not contains(site, '/op')").select("scope", "site", "to", "t", col("b").alias("name")))
+    sites, given = library.as_values(spark, scratch, rows, union(read), args)
+    attr = const.where("ct = 'str'").select("cv", "cm", F.regexp_extract("key", "^'(\\w+)'$", 1).alias("attr")).where("attr <> ''")
+    defined = scratch.keep(defines.select(col("attr").alias("method")).distinct())
+    library.functions(spark, scratch, rows, used.union(sites), args.union(given), attr, defined)
+    call, args = scratch.keep(union([call, *rows.call])), scratch.keep(union([args, *rows.arg]))
+    makes = spark.createDataFrame(sorted((b, kind) for b, kind in ALLOCATES.items() if "." not in b and kind != "const"), "name string, ckind string")
     containers = st.where("kind = 'Build' and name in ('list', 'dict', 'set')").select("scope", F.concat_ws("/", "site", "name").alias("box"), col("name").alias("ckind"), lit(False).alias("new"))
-    containers = containers.union(used.join(makes.where("ckind <> 'const'"), "name").select("scope", thing, "ckind", lit(True)))
-    for part, more in zip((alloc, load, store), _methods(spark, scratch, containers, st.where("kind = 'LoadAttr'").select("name").distinct()), strict=True):
-        part += more
+    containers = containers.union(used.union(sites).join(makes, "name").select("scope", F.concat("site", lit("/new")), "ckind", lit(True)))
+    library.methods(spark, scratch, rows, containers, st.where("kind = 'LoadAttr'").select("name").distinct())
     inside = scope.where("kind = 'function'").select("scope", col("parent").alias("cls")).join(cls_rows, "cls")
     alloc.append(used.where("name = 'super'").join(inside, "scope").select("scope", "to", "t", F.concat(lit("super:"), "cls").alias("obj")))
 
@@ -214,7 +231,9 @@ def constraints(f: DataFrame) -> Program:
 
     recv = via.select("site", "ro", "r").distinct()
     keep = lambda rows: scratch.keep(union(rows).distinct())
-    return Program(keep(alloc), keep(copy), keep(load), keep(store), call, args, param, init, scratch.keep(recv), scratch.keep(scope.select("scope", "kind")))
+    loose = union(store)
+    store = [loose, loose.where("field = '[]'").withColumn("field", lit("[?]")), *exact]
+    return Program(keep(alloc), keep(copy), keep(load), keep(store), call, args, param, init, act, scratch.keep(recv), scratch.keep(scope.select("scope", "kind")))
 
 
 SPECIAL = {"BinOp": {op: f"__{op}__" for op in ("add", "sub", "mul", "truediv", "floordiv", "mod", "pow", "matmul", "lshift", "rshift", "and", "or", "xor")}, "UnaryOp": {op: f"__{op}__" for op in ("neg", "pos", "invert")}, "Compare": {op: f"__{op}__" for op in ("eq", "ne", "lt", "le", "gt", "ge")}}
@@ -240,29 +259,6 @@ def _special_calls(st: DataFrame) -> tuple[DataFrame, DataFrame]:
     return st.select(*get.columns).union(get).union(call), get
 
 
-def _methods(spark, scratch: Scratch, boxes: DataFrame, attrs: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Constraints that give containers (scope, box, ckind, new) the methods that the program names: a method is an object in the container's field, with
-    flows between its arguments, its result and the container's elements. Rows of alloc, load and store."""
-    col, lit, nil = F.col, F.lit, F.lit("")
-    flows = spark.createDataFrame([(*x[0].split("."), *x[1:]) for x in FLOWS if "." in x[0]], "ckind string, m string, src string, sf string, dst string, df string").distinct()
-    made = spark.createDataFrame(sorted({tuple(b.split(".")) for b in ALLOCATES if "." in b}), "ckind string, m string")
-    known = flows.select("ckind", "m").union(made).distinct().join(attrs.withColumnRenamed("name", "m"), "m")
-    box, bm = F.concat(lit("@"), "box"), F.concat(lit("@bm:"), "box", lit("."), "m")
-    bound = scratch.keep(boxes.join(known, "ckind"))
-    obj = F.concat(lit("bm:"), "box", lit("."), "m")
-    alloc = [boxes.where("not new").select("scope", nil.alias("to"), box.alias("t"), col("box").alias("obj")), bound.select(nil, nil, bm, obj)]
-    store = [bound.select(nil.alias("scope"), nil.alias("bo"), box.alias("b"), col("m").alias("field"), nil.alias("so"), bm.alias("s"))]
-    fresh = bound.join(made, ["ckind", "m"])
-    alloc.append(fresh.select(nil, nil, F.concat(bm, lit("/new")), F.concat(obj, lit("/new"))))
-    store.append(fresh.select(nil, nil, bm, lit("ret"), nil, F.concat(bm, lit("/new"))))
-    f = scratch.keep(bound.join(flows, ["ckind", "m"]))
-    first, last = F.concat(bm, lit(":"), "src"), F.when(col("sf") == "", F.concat(bm, lit(":"), "src")).otherwise(F.concat(bm, lit(":"), "src", "sf"))
-    load = [f.where("src <> 'recv'").select(nil.alias("scope"), nil.alias("bo"), bm.alias("b"), col("src").alias("field"), nil.alias("to"), first.alias("t")), f.where("sf <> ''").select(nil, nil, F.when(col("src") == "recv", box).otherwise(first), col("sf"), nil, last)]
-    store.append(f.select(nil, nil, F.when(col("dst") == "recv", box).when(col("df") == "", bm).otherwise(F.concat(bm, lit("/new"))), F.when(col("df") == "", lit("ret")).otherwise(col("df")), nil, last))
-    heads = (("scope", "to", "t", "obj"), ("scope", "bo", "b", "field", "to", "t"), ("scope", "bo", "b", "field", "so", "s"))
-    return tuple([d.toDF(*head) for d in part] for part, head in zip((alloc, load, store), heads, strict=True))  # type: ignore[return-value]
-
-
 def bound_arguments(p: Program, sites: DataFrame) -> DataFrame:
     """(site, fn, ao, a, name, extra): arguments of call sites (site, fn, off) and the parameters that they reach; extra is the element of a
     *args or **kwargs parameter that takes a surplus argument."""
@@ -286,15 +282,17 @@ def _calls(p: Program, pts: DataFrame) -> DataFrame:
     shift = p.param.select("fn", "shift").distinct()
     direct = c.where("startswith(obj, 'fn:')").select("scope", "site", F.expr("substring(obj, 4)").alias("fn"))
     made = c.where("startswith(obj, 'cls:')").select("scope", "site", F.expr("substring(obj, 5)").alias("cls")).join(p.init, "cls").select("scope", "site", "fn")
-    return union([direct, made]).distinct().join(shift, "fn", "left").select("scope", "site", "fn", F.coalesce("shift", F.lit(0)).alias("off"))
+    acts = c.where("startswith(obj, 'inst:')").select("scope", "site", F.expr("substring(obj, 6)").alias("cls")).join(p.act, "cls").select("scope", "site", "fn")
+    return union([direct, made, acts]).distinct().join(shift, "fn", "left").select("scope", "site", "fn", F.coalesce("shift", F.lit(0)).alias("off"))
 
 
 def _node(owner: str, name: str, ctx: Column | None = None) -> Column:
     return F.concat_ws("|", ctx if ctx is not None else F.lit(""), owner, name)
 
 
-def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame | None, max_rounds: int, log: list | None) -> DataFrame:
-    """Run the four rules. Constraints are cloned for contexts (scope, ctx); those without a scope aren't. edges: (site, fn, off, ctx, nctx)."""
+def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame | None, max_rounds: int, log: list | None, built: DataFrame | None = None) -> DataFrame:
+    """Run the four rules. Constraints are cloned for contexts (scope, ctx); those without a scope aren't. edges: (site, fn, off, ctx, nctx),
+    built: (site) of calls that may reach builtins."""
     if contexts is None:
         cl = lambda d: d.withColumn("ctx", F.lit(""))
     else:
@@ -316,7 +314,7 @@ def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame
         store = store.union(per(p.store, "so").select(_node("bo", "b").alias("base"), "field", _node("so", "s", F.col("ctx")).alias("src")))
     if edges is None:
         # calls as fields of the callee's object
-        c = p.call.select("site", F.col("bo"), F.col("b"), "scope", "to", "t")
+        c = p.call.where(THROUGH).select("site", F.col("bo"), F.col("b"), "scope", "to", "t")
         a = p.arg.join(c.select("site", "bo", "b"), "site")
         slot = F.when(F.col("role") == "kw", F.concat(F.lit("kw:"), "kw")).when(F.col("role") == "pos", F.concat(F.lit("arg"), F.col("pos").cast("string")))
         store = store.union(a.where("role in ('pos', 'kw')").select(_node("bo", "b").alias("base"), slot.alias("field"), _node("ao", "a").alias("src")))
@@ -325,7 +323,7 @@ def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame
         store = store.union(a.where("role = 'kw'").select(_node("bo", "b").alias("base"), F.lit("kw*").alias("field"), _node("ao", "a").alias("src")))
         # (owner, fn, off): the object whose fields hold a function's arguments, and the positions that its receiver takes
         offs = p.param.select("fn", F.explode(F.array(F.lit(0), "shift")).alias("off")).distinct()
-        owner = offs.select(F.concat(F.lit("||@fn:"), "fn").alias("owner"), "fn", "off").union(p.init.select(F.concat(F.lit("||@cls:"), "cls"), "fn", F.lit(1)))
+        owner = offs.select(F.concat(F.lit("||@fn:"), "fn").alias("owner"), "fn", "off").union(p.init.select(F.concat(F.lit("||@cls:"), "cls"), "fn", F.lit(1))).union(p.act.select(F.concat(F.lit("||@inst:"), "cls"), "fn", F.lit(1)))
         own_param = owner.join(p.param, "fn")
         var, strewn, named = _node("fn", "name"), F.concat("owner", F.lit("*")), F.concat("owner", F.lit("**"))
         slot = F.concat(F.lit("arg"), (F.col("pos") - F.col("off")).cast("string"))
@@ -343,7 +341,8 @@ def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame
         used = p.arg.where("role = 'pos'").select(F.col("pos").alias("at")).distinct()
         surplus = packs.where("kind = 'star'").join(n_pos, "fn", "left").join(used, F.col("at") + F.col("off") >= F.coalesce("n_pos", F.lit(0)))
         load = union([load, read(surplus, F.col("owner"), F.concat(F.lit("arg"), F.col("at").cast("string")), inside), read(packs.where("kind = 'star'"), strewn, F.lit("[]"), inside), read(packs.where("kind = 'kwstar'"), named, F.lit("[]"), inside), read(packs.where("kind = 'kwstar'"), F.col("owner"), F.lit("kw*"), inside)])
-        store = union([store, packs.select(var.alias("base"), F.lit("[]").alias("field"), inside.alias("src"))])
+        store = union([store, *(packs.select(var.alias("base"), F.lit(f).alias("field"), inside.alias("src")) for f in ("[]", "[?]"))])
+        store = store.union(p.act.select(F.concat(F.lit("||@inst:"), "cls"), F.lit("ret"), F.concat(F.lit("|"), "fn", F.lit("|$return"))))
         store = store.union(p.scopes.where("kind = 'function'").select(F.concat(F.lit("||@fn:"), "scope").alias("base"), F.lit("ret").alias("field"), F.concat_ws("|", F.lit(""), "scope", F.lit("$return")).alias("src")))
     else:
         b = bound_arguments(p, edges.select("site", "fn", "off").distinct()).join(edges.select("site", "fn", "ctx", "nctx", "scope"), ["site", "fn"])
@@ -352,11 +351,17 @@ def _solve(p: Program, policy: str, contexts: DataFrame | None, edges: DataFrame
         copy = copy.union(b.where("how = 'plain'").select(src.alias("src"), tgt.alias("tgt")))
         load = load.union(b.where("how = 'spread'").select(src.alias("base"), F.lit("[]").alias("field"), tgt.alias("tgt")))
         alloc = alloc.union(b.where("how = 'surplus'").select(tgt.alias("node"), pack.alias("obj")))
-        store = store.union(b.where("how = 'surplus'").select(tgt.alias("base"), F.lit("[]").alias("field"), src.alias("src")))
+        for f in ("[]", "[?]"):
+            store = store.union(b.where("how = 'surplus'").select(tgt.alias("base"), F.lit(f).alias("field"), src.alias("src")))
+        # builtins and container methods take their arguments from fields, in all contexts of the calls that may reach them
+        taken = p.arg.where("role in ('pos', 'kw')").join(p.call.where(THROUGH).join(built, "site", "left_semi").select("scope", "site", "bo", "b"), ["scope", "site"])
+        slot = F.when(F.col("role") == "kw", F.concat(F.lit("kw:"), "kw")).otherwise(F.concat(F.lit("arg"), F.col("pos").cast("string")))
+        store = store.union(cl(taken).select(_node("bo", "b", own("bo")).alias("base"), slot.alias("field"), _node("ao", "a", own("ao")).alias("src")))
+        store = store.union(cl(taken.where("role = 'kw'")).select(_node("bo", "b", own("bo")).alias("base"), F.lit("kw*").alias("field"), _node("ao", "a", own("ao")).alias("src")))
         r = edges.join(p.call.select("site", "to", "t").where("t is not null"), "site").where("not is_init")
         back = _node("to", "t", F.when(F.col("to") == F.col("scope"), F.col("ctx")).otherwise(F.lit("")))
         copy = copy.union(r.select(F.concat_ws("|", "nctx", "fn", F.lit("$return")).alias("src"), back.alias("tgt")))
-        load = load.union(cl(p.call.where("t is not null")).select(_node("bo", "b", own("bo")).alias("base"), F.lit("ret").alias("field"), _node("to", "t", own("to")).alias("tgt")))
+        load = load.union(cl(p.call.where(f"t is not null and ({THROUGH})")).select(_node("bo", "b", own("bo")).alias("base"), F.lit("ret").alias("field"), _node("to", "t", own("to")).alias("tgt")))
     scratch = Scratch(p.call.sparkSession, "solve")
     return points_to(*(scratch.keep(d.distinct()) for d in (alloc, copy, load, store)), max_rounds=max_rounds, log=log)
 
@@ -374,7 +379,7 @@ def call_contexts(p: Program, pts: DataFrame, found: DataFrame, policy: str, roo
     return reach, scratch.keep(reach.join(calls, "scope").select("scope", "site", "fn", "off", "ctx", new.alias("nctx")).distinct())
 
 
-def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_rounds: int = 1000, log: list | None = None) -> Result:
+def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_rounds: int = 1_000_000, log: list | None = None) -> Result:
     """Points-to sets and call graph of the modules' facts. ``entries``: scopes that run without a caller: 'all', or 'modules' (with class bodies)."""
     scratch = Scratch(f.sparkSession, "pointer")
     p = constraints(f)
@@ -382,9 +387,11 @@ def analyse(f: DataFrame, policy: str = "0-cfa", entries: str = "all", max_round
     found = scratch.keep(_calls(p, pts))
     if policy == "0-cfa":
         return Result(p, pts, found.select("site", F.lit("").alias("ctx"), F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.lit("").alias("callee_ctx")), found)
-    roots = p.scopes.where("kind in ('module', 'class')" if entries == "modules" else "true").select("scope")
+    roots = p.scopes.where("kind in ('module', 'class')" if entries == "modules" else "true").select("scope").union(f.sparkSession.createDataFrame([("",)], "scope string"))
+    library_objects = pts.where("field = '' and rlike(obj, '^(bm|bi):')").select("node")
+    built = scratch.keep(p.call.where(THROUGH).select("site", _node("bo", "b").alias("node")).join(library_objects, "node").select("site").distinct())
     reach, edges = call_contexts(p, pts, found, policy, roots, max_rounds)
     inits = p.init.select("fn").distinct().withColumn("is_init", F.lit(True))
     edges = scratch.keep(edges.join(inits, "fn", "left").withColumn("is_init", F.coalesce("is_init", F.lit(False))))
-    pts = _solve(p, policy, reach, edges, max_rounds, log)
+    pts = _solve(p, policy, reach, edges, max_rounds, log, built)
     return Result(p, pts, edges.select("site", "ctx", F.col("scope").alias("caller"), F.col("fn").alias("callee"), F.col("nctx").alias("callee_ctx")), found)

@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.pointer import CALLABLE, WRITTEN, Result, bound_arguments
+from factloom.operators.pointer import WRITTEN, Result, bound_arguments
 
-UNKNOWN_KINDS = ("empty_callee", "non_callable", "external_call", "missing_argument")
+UNKNOWN_KINDS = ("empty_callee", "non_callable", "external_call", "missing_argument", "surplus_argument", "unexpected_keyword")
 
 
 def unknowns(r: Result) -> DataFrame:
-    """(kind, scope, site, what): calls whose callee holds nothing, or only objects that can't be called, or objects of modules not given; and
-    parameters without a default that a resolved call gives no argument for. Calls of builtins by name are known."""
+    """(kind, scope, site, what): calls whose callee holds nothing, or only objects that can't be called, or objects of modules not given;
+    parameters without a default that a resolved call gives no argument for; arguments and keywords that the function called doesn't take. Calls of builtins by name are known."""
     v = r.pts.where("field = ''").select("node", "obj")
     node = F.concat_ws("|", F.lit(""), "bo", "b")
     calls = r.program.call.where(f"bo <> '' and {WRITTEN}").select("scope", "site", F.col("b").alias("what"), node.alias("node"))
-    held = calls.join(v, "node", "left").groupBy("scope", "site", "what").agg(F.count("obj").alias("n"), F.coalesce(F.bool_or(F.col("obj").rlike(CALLABLE)), F.lit(False)).alias("ok"), F.coalesce(F.bool_or(F.col("obj").startswith("ext:")), F.lit(False)).alias("ext"))
+    held = r.program.callable(calls.join(v, "node", "left")).groupBy("scope", "site", "what").agg(F.count("obj").alias("n"), F.bool_or("ok").alias("ok"), F.coalesce(F.bool_or(F.col("obj").startswith("ext:")), F.lit(False)).alias("ext"))
     kind = F.when(F.col("n") == 0, "empty_callee").when(F.col("ok"), None).when(F.col("ext"), "external_call").otherwise("non_callable")
     callee = held.select(kind.alias("kind"), "scope", "site", "what").where("kind is not null")
     sites = r.resolved.where(WRITTEN)
     needed = r.program.param.where("not has_default and kind in ('posonly', 'pos', 'kwonly')").select("fn", "name", "pos")
     given = bound_arguments(r.program, sites).where("how <> 'surplus'").select("site", "fn", "name").distinct()
     missing = sites.join(needed, "fn").where("pos >= off").join(given, ["site", "fn", "name"], "left_anti")
-    return callee.union(missing.select(F.lit("missing_argument"), "scope", "site", F.concat("fn", F.lit("."), "name")).distinct())
+    takes = lambda kind: r.program.param.where(F.col("kind") == kind).select("fn").distinct()
+    places = r.program.param.where("kind in ('posonly', 'pos')").groupBy("fn").agg(F.count("*").alias("n_pos"))
+    names = r.program.param.where("kind in ('pos', 'kwonly')").select("fn", F.col("name").alias("kw"))
+    args = sites.join(r.program.arg.select("site", "role", F.col("pos").alias("k"), "kw"), "site")
+    surplus = args.where("role = 'pos'").join(takes("star"), "fn", "left_anti").join(places, "fn", "left").where("k + off >= coalesce(n_pos, 0)")
+    odd = args.where("role = 'kw'").join(takes("kwstar"), "fn", "left_anti").join(names, ["fn", "kw"], "left_anti")
+    record = lambda kind, d, what: d.select(F.lit(kind).alias("kind"), "scope", "site", F.concat("fn", F.lit("."), what).alias("what")).distinct()
+    return callee.union(record("missing_argument", missing, "name")).union(record("surplus_argument", surplus, F.col("k").cast("string"))).union(record("unexpected_keyword", odd, "kw"))
 
 
 def unknown_counts(u: DataFrame, *by: str) -> DataFrame:

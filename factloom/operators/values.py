@@ -108,7 +108,8 @@ def escaping(r: pointer.Result, st: DataFrame) -> DataFrame:
     """(obj): objects that calls of unknown code are given, and all that is reachable from them through fields."""
     held = r.pts.where("field = ''").select("node", "obj")
     callee = r.program.call.select("scope", "site", "bo", "b", F.concat_ws("|", lit(""), "bo", "b").alias("node")).join(held, "node", "left")
-    wild = callee.where(f"obj is null and not (bo = '' and b in {TAME!r}) or not rlike(obj, '^(fn|cls|bm):')").select("site").distinct()
+    tame = F.coalesce((col("bo") == "") & col("b").isin(*TAME) | F.regexp_extract("obj", "^bi:([^@]*)", 1).isin(*TAME), lit(False))
+    wild = callee.where(~tame & F.expr("obj is null or not rlike(obj, '^(fn|cls|bm):')")).select("site").distinct()
     given = r.program.arg.join(wild, "site", "left_semi").select(F.concat_ws("|", lit(""), "ao", "a").alias("node")).join(held, "node").select("obj")
     inside = r.pts.where("field <> ''").select(col("node").alias("obj"), col("obj").alias("held"))
     return fixpoint(given.distinct(), lambda d, _: d.join(inside, "obj").select(col("held").alias("obj")))
