@@ -2,6 +2,10 @@
 
 An instruction names variables only: every sub-expression goes to a temporary ``$t<n>``, every literal to a pooled constant ``$c<n>``
 set at the module's head. Loops test again on each turn; ``for`` asks HasNext before next(); ``with`` calls __enter__ and __exit__.
+
+Exceptions: inside ``try`` and ``with`` a Catch stands before every statement and after the last, for each handler, finally part or __exit__ that an exception may reach, so
+that what had been assigned by then is seen there. ``return``, ``break`` and ``continue`` run the finally parts and __exit__ calls that they leave: they set a
+flag, jump there, and the flag is tested behind. Each such part is lowered once, however many ways lead through it.
 """
 
 from __future__ import annotations
@@ -57,18 +61,24 @@ class Lowering:
         self.unknown: list[tuple[str, str, int]] = []
         self.n = {"t": 0, "c": 0, "L": 0, "f": 0}
         self.pool: dict[tuple, str] = {}
-        self.loops: list[tuple[str, str]] = []
+        self.loops: list[tuple[str, str, int]] = []  # (next turn, end, cleanups around the loop)
+        self.guards: list[list[Instr]] = []  # Catch instructions of what is around, innermost last
+        self.cleanups: list[tuple[str, list]] = []  # (label, ways that lead through it) of finally parts and __exit__ calls around
+        self.caught: tuple = ()
+        self.taken: set[str] = set()
         self.module = self.scope = self.open(name, "module", None, 0)
         self.block(ast.parse(text).body)
         head = [Instr("Const", t, name=kind, args=[], label=value) for (kind, value), t in self.pool.items()]
         self.module.body[:0] = head
+        self.held = {s.qualname: s.stores() for s in self.scopes}
 
     # -- places
 
     def open(self, name: str, kind: str, parent: Scope | None, line: int) -> Scope:
         full = f"{parent.qualname}.{name}" if parent else name
-        if any(s.qualname == full for s in self.scopes):
+        while full in self.taken:
             full += f"@{line}"
+        self.taken.add(full)
         s = Scope(full, kind, parent, line=line)
         self.scopes.append(s)
         return s
@@ -289,12 +299,56 @@ class Lowering:
 
     def block(self, body: list[ast.stmt]) -> None:
         for s in body:
+            self.catch(s)
             method = getattr(self, f"s_{type(s).__name__}", None)
             if method is None:
                 self.unknown.append(("statement", type(s).__name__, s.lineno))
                 self.emit("Unknown", s, name=type(s).__name__)
             else:
                 method(s)
+        if body and not isinstance(body[-1], (ast.Return, ast.Raise, ast.Break, ast.Continue)):
+            self.catch(body[-1])
+
+    def catch(self, node: ast.AST) -> None:
+        """An exception here goes to any handler around, up to one that takes all (finally parts and __exit__ calls do)."""
+        here = (self.scope.qualname, len(self.scope.body), len(self.guards), self.n["L"])
+        if self.guards and here != self.caught:
+            for g in reversed(self.guards):
+                for c in g:
+                    self.emit("Catch", node, label=c.label, name=c.name, args=c.args)
+                if any(not c.args for c in g):
+                    break
+            self.caught = (self.scope.qualname, len(self.scope.body), len(self.guards), self.n["L"])
+
+    def leave(self, depth: int, go) -> None:
+        """``go`` on once the cleanups beyond the first ``depth`` have run, innermost first."""
+        if len(self.cleanups) <= depth:
+            go()
+            return
+        flag, (label, ways) = self.fresh(), self.cleanups[-1]
+        ways.append((flag, depth, go))
+        self.emit("Copy", target=flag, args=[("pos", None, self.constant(True))])
+        self.emit("Goto", label=label)
+
+    def guarded(self, node: ast.AST, body, close) -> None:
+        """``body``, and ``close`` however body is left."""
+        last, start, scope = self.fresh("L"), len(self.scope.body), self.scope
+        ways: list[tuple] = []
+        self.guards.append([Instr("Catch", label=last, name="finally")])
+        self.cleanups.append((last, ways))
+        self.catch(node)
+        body()
+        self.guards.pop()
+        self.cleanups.pop()
+        self.label(last)
+        close()
+        for flag, depth, go in ways:
+            on = self.fresh("L")
+            self.emit("JumpIfFalse", node, label=on, args=[("pos", None, flag)])
+            self.leave(depth, go)
+            self.label(on)
+        unset = self.constant(False) if ways else None
+        scope.body[start:start] = [Instr("Copy", flag, args=[("pos", None, unset)], line=getattr(node, "lineno", 0)) for flag, _, _ in ways]
 
     def s_Expr(self, s: ast.Expr) -> None:
         self.expr(s.value)
@@ -312,8 +366,19 @@ class Lowering:
             self.assign(t, value, s)
 
     def s_AugAssign(self, s: ast.AugAssign) -> None:
-        load = ast.copy_location(type(s.target)(**{f: getattr(s.target, f) for f in s.target._fields}), s.target)
-        self.assign(s.target, self.e_BinOp(ast.copy_location(ast.BinOp(load, s.op, s.value), s)), s)
+        """The target's object and key are computed once; the operator may change what the target holds in place."""
+        t = s.target
+        if isinstance(t, ast.Name):
+            old, store = t.id, {"kind": "Copy", "target": t.id}
+        elif isinstance(t, ast.Attribute):
+            base = self.expr(t.value)
+            old, store = self.put("LoadAttr", t, base=base, name=t.attr), {"kind": "StoreAttr", "base": base, "name": t.attr}
+        else:
+            base, key = self.expr(t.value), ("key", None, self.expr(t.slice))
+            old, store = self.put("LoadSubscr", t, base=base, args=[key]), {"kind": "StoreSubscr", "base": base, "args": [key]}
+        new = self.put("BinOp", s, name=BINARY[type(s.op)], label="inplace", args=[("pos", None, old), ("pos", None, self.expr(s.value))])
+        role = "pos" if isinstance(t, ast.Name) else "value"
+        self.emit(node=s, **{**store, "args": [*store.get("args", []), (role, None, new)]})
 
     def s_AnnAssign(self, s: ast.AnnAssign) -> None:
         if s.value is not None:
@@ -322,7 +387,10 @@ class Lowering:
             self.emit("Anno", s, name=s.target.id, label=ast.unparse(s.annotation))
 
     def s_Return(self, s: ast.Return) -> None:
-        self.emit("Return", s, args=[("pos", None, self.expr(s.value))])
+        value = self.expr(s.value)
+        if self.cleanups:
+            value = self.put("Copy", s, args=[("pos", None, value)])
+        self.leave(0, lambda: self.emit("Return", s, args=[("pos", None, value)]))
 
     def s_Delete(self, s: ast.Delete) -> None:
         for t in s.targets:
@@ -357,7 +425,7 @@ class Lowering:
         top, other, end = (self.fresh("L") for _ in range(3))
         self.label(top)
         self.emit("JumpIfFalse", s, label=other, args=[("pos", None, self.expr(s.test))])
-        self.loops.append((top, end))
+        self.loops.append((top, end, len(self.cleanups)))
         self.block(s.body)
         self.loops.pop()
         self.emit("Goto", s, label=top)
@@ -372,7 +440,7 @@ class Lowering:
         self.emit("JumpIfFalse", node, label=other, args=[("pos", None, self.put("HasNext", node, args=[("pos", None, it)]))])
         x = self.put("Call", node, base="anext" if is_async else "next", args=[("pos", None, it)])
         self.assign(target, self.put("Await", node, args=[("pos", None, x)]) if is_async else x, node)
-        self.loops.append((top, end))
+        self.loops.append((top, end, len(self.cleanups)))
         body()
         self.loops.pop()
         self.emit("Goto", node, label=top)
@@ -386,24 +454,32 @@ class Lowering:
     s_AsyncFor = s_For
 
     def s_Break(self, s: ast.Break) -> None:
-        self.emit("Goto", s, label=self.loops[-1][1])
+        _, end, depth = self.loops[-1]
+        self.leave(depth, lambda: self.emit("Goto", s, label=end))
 
     def s_Continue(self, s: ast.Continue) -> None:
-        self.emit("Goto", s, label=self.loops[-1][0])
+        top, _, depth = self.loops[-1]
+        self.leave(depth, lambda: self.emit("Goto", s, label=top))
 
     def s_With(self, s: ast.With) -> None:
-        is_async, exits = isinstance(s, ast.AsyncWith), []
+        self.within(s, s.items)
+
+    def within(self, s: ast.With, items: list[ast.withitem]) -> None:
+        """The items one in the other, the body in the last."""
+        if not items:
+            self.block(s.body)
+            return
+        is_async, item, none = isinstance(s, ast.AsyncWith), items[0], self.constant(None)
         wait = lambda v: self.put("Await", s, args=[("pos", None, v)]) if is_async else v
-        for item in s.items:
-            m = self.expr(item.context_expr)
-            v = wait(self.call_method(s, m, "__aenter__" if is_async else "__enter__"))
-            exits.append(m)
+        m = self.expr(item.context_expr)
+        v = wait(self.call_method(s, m, "__aenter__" if is_async else "__enter__"))
+
+        def body() -> None:
             if item.optional_vars is not None:
                 self.assign(item.optional_vars, v, s)
-        self.block(s.body)
-        none = self.constant(None)
-        for m in reversed(exits):
-            wait(self.call_method(s, m, "__aexit__" if is_async else "__exit__", none, none, none))
+            self.within(s, items[1:])
+
+        self.guarded(s, body, lambda: wait(self.call_method(s, m, "__aexit__" if is_async else "__exit__", none, none, none)))
 
     s_AsyncWith = s_With
 
@@ -419,26 +495,29 @@ class Lowering:
         self.label(end)
 
     def s_Try(self, s: ast.Try) -> None:
-        other, end = self.fresh("L"), self.fresh("L")
-        labels = [self.fresh("L") for _ in s.handlers]
-        last = self.fresh("L")
-        for h, lab in zip(s.handlers, labels, strict=True):
-            kinds = h.type.elts if isinstance(h.type, ast.Tuple) else [h.type]
-            self.emit("Catch", s, label=lab, name=h.name, args=[("pos", None, self.expr(k)) for k in kinds if k is not None])
         if s.finalbody:
-            self.emit("Catch", s, label=last, name="finally")
+            self.guarded(s, lambda: self.handled(s), lambda: self.block(s.finalbody))
+        else:
+            self.handled(s)
+
+    def handled(self, s: ast.Try) -> None:
+        """The body with its handlers, and the else part, whose exceptions they don't see."""
+        end = self.fresh("L")
+        catches = []
+        for h in s.handlers:
+            kinds = h.type.elts if isinstance(h.type, ast.Tuple) else [h.type]
+            catches.append(Instr("Catch", label=self.fresh("L"), name=h.name, args=[("pos", None, self.expr(k)) for k in kinds if k is not None]))
+        self.guards.append(catches)
         self.block(s.body)
-        self.label(other)
+        self.guards.pop()
         self.block(s.orelse)
-        self.emit("Goto", s, label=last)
-        for h, lab in zip(s.handlers, labels, strict=True):
-            self.label(lab)
+        self.emit("Goto", s, label=end)
+        for h, c in zip(s.handlers, catches, strict=True):
+            self.label(c.label)
             if h.name:
                 self.emit("CatchBind", h, target=h.name, args=[("pos", None, self.expr(k)) for k in ([h.type] if h.type else [])])
             self.block(h.body)
-            self.emit("Goto", h, label=last)
-        self.label(last)
-        self.block(s.finalbody)
+            self.emit("Goto", h, label=end)
         self.label(end)
 
     s_TryStar = s_Try
@@ -481,11 +560,16 @@ class Lowering:
         s.decorators = [ast.unparse(d) for d in decorators]
         s.is_async, s.is_generator = is_async, generator
         self.emit("FuncDef", node, target=name, base=s.qualname, args=defaults)
-        outer, loops, self.scope, self.loops = self.scope, self.loops, s, []
-        body() if callable(body) else self.block(body)
-        self.scope, self.loops = outer, loops
+        self.inside(s, body if callable(body) else lambda: self.block(body))
         self.decorate(name, decos, s.decorators, node)
 
+    def inside(self, scope: Scope, body) -> None:
+        """``body`` in a scope of its own, without the loops, handlers and cleanups around."""
+        outer = self.scope, self.loops, self.guards, self.cleanups
+        self.scope, self.loops, self.guards, self.cleanups = scope, [], [], []
+        body()
+        self.scope, self.loops, self.guards, self.cleanups = outer
+
     def decorate(self, name: str, decos: list[str], texts: list[str], node: ast.AST) -> None:
         for d, text in reversed(list(zip(decos, texts, strict=True))):
             if text not in ("staticmethod", "classmethod", "property"):
@@ -503,9 +587,7 @@ class Lowering:
         c.bases = [v for r, _, v in args if r == "base"]
         c.decorators = [ast.unparse(d) for d in s.decorator_list]
         self.emit("ClassDef", s, target=s.name, base=c.qualname, args=args)
-        outer, loops, self.scope, self.loops = self.scope, self.loops, c, []
-        self.block(s.body)
-        self.scope, self.loops = outer, loops
+        self.inside(c, lambda: self.block(s.body))
         self.decorate(s.name, decos, c.decorators, s)
 
     def s_TypeAlias(self, s: ast.TypeAlias) -> None:
@@ -519,14 +601,14 @@ class Lowering:
             return self.module.qualname, "temporary"
         if name in scope.globals:
             return self.module.qualname, "global"
-        if name in scope.stores():
+        if name in self.held[scope.qualname]:
             return scope.qualname, "temporary" if name[0] == "$" else "parameter" if name in {p[0] for p in scope.params} else "global" if scope is self.module else "local"
         up = scope.parent
         while up is not None:
-            if up.kind == "function" and name in up.stores():
+            if up.kind == "function" and name in self.held[up.qualname]:
                 return up.qualname, "nonlocal" if name in scope.nonlocals else "cell"
             up = up.parent
-        return (self.module.qualname, "global") if name in self.module.stores() else ("", "builtin")
+        return (self.module.qualname, "global") if name in self.held[self.module.qualname] else ("", "builtin")
 
 
 def rename(body: list[Instr], old: str, new: str) -> list[Instr]:

@@ -78,6 +78,64 @@ def test_while_tests_again():
     assert kinds == ["Label", "Call", "JumpIfFalse", "Call", "Goto", "Label", "Label"]
 
 
+def walks(scope, most=4000):
+    """Kinds and names of the calls and returns along the ways through a scope's graph, each edge taken twice at most."""
+    body = scope.body
+    at = {i.label: k for k, i in enumerate(body) if i.kind == "Label"}
+    out, todo = set(), [(0, (), ())]
+    while todo and len(out) < most:
+        k, seen, edges = todo.pop()
+        if k >= len(body) or body[k].kind in ("Return", "Raise"):
+            out.add((*seen, body[k].kind) if k < len(body) else seen)
+            continue
+        i = body[k]
+        seen = (*seen, i.base) if i.kind == "Call" and not i.base.startswith("$") else (*seen, i.name) if i.kind == "LoadAttr" else seen
+        nexts = [at[i.label]] if i.kind == "Goto" else [k + 1, at[i.label]] if i.kind in ("JumpIfFalse", "JumpIfTrue", "Catch") else [k + 1]
+        todo += [(n, seen, (*edges, (k, n))) for n in set(nexts) if (k, n) not in edges]
+    return out
+
+
+def scope_of(text, name="m.f"):
+    m = Lowering("m", text)
+    assert not m.unknown
+    return next(s for s in m.scopes if s.qualname == name)
+
+
+def test_finally_runs_however_the_body_is_left():
+    ways = walks(scope_of("def f(x):\n    try:\n        return a()\n    except E:\n        return b()\n    finally:\n        last()\n"))
+    assert all(w.count("last") == 1 for w in ways) and ("a", "last", "Return") in ways and ("b", "last", "Return") in ways and ("a", "last") in ways
+    assert any("a" in w and "b" in w for w in ways) is False or ("a", "b", "last", "Return") in ways
+    loop = walks(scope_of("def f(x):\n    while x:\n        with cm as c:\n            break\n    done()\n"))
+    assert all(w.count("__enter__") == w.count("__exit__") for w in loop) and ("__enter__", "__exit__", "done") in loop
+    inner = walks(scope_of("def f(x):\n    with a, b:\n        return x\n"))
+    assert all(w.count("__exit__") == 2 for w in inner if w.count("__enter__") == 2) and any(w[-1] == "Return" for w in inner)
+
+
+def test_handlers_see_what_was_assigned_before_the_exception():
+    body = scope_of("def f():\n    x = 1\n    try:\n        x = 2\n        g()\n        x = 3\n    except E:\n        use(x)\n").body
+    stores = [k for k, i in enumerate(body) if i.target == "x"]
+    label = next(i.label for i in body if i.kind == "Catch")
+    catches = [k for k, i in enumerate(body) if i.kind == "Catch" and i.label == label]
+    assert all(any(a < c and not any(a < b < c for b in stores) for c in catches) for a in stores)
+
+
+def test_cleanups_are_lowered_once():
+    text = "def f(x):\n" + "".join("    " * (k + 1) + "try:\n" for k in range(8)) + "    " * 9 + "return 1\n" + "".join("    " * (k + 1) + "finally:\n" + "    " * (k + 2) + f"c{k}()\n" for k in reversed(range(8)))
+    calls = [i.base for i in scope_of(text).body if i.kind == "Call"]
+    assert sorted(calls) == [f"c{k}" for k in range(8)]
+
+
+def test_augmented_targets_are_computed_once():
+    body = scope_of("def f():\n    g().x += 1\n    h()[k()] -= 2\n").body
+    assert [i.base for i in body if i.kind == "Call"] == ["g", "h", "k"]
+    assert [(i.kind, i.name) for i in body if i.kind in ("BinOp", "StoreAttr", "StoreSubscr")] == [("BinOp", "add"), ("StoreAttr", "x"), ("BinOp", "sub"), ("StoreSubscr", None)]
+
+
+def test_functions_in_a_finally_part_have_scopes_of_their_own():
+    m = Lowering("m", "def f():\n    try:\n        return 1\n    finally:\n        def g():\n            return 2\n        g()\n")
+    assert [s.qualname for s in m.scopes] == ["m", "m.f", "m.f.g"] and all(i.kind != "Catch" for i in m.scopes[2].body)
+
+
 def test_rename():
     body = Lowering("m", "x = y").module.body
     assert rename(body, "y", "z")[-1].args == [("pos", None, "z")]

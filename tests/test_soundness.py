@@ -78,6 +78,12 @@ VALUES = {
     "shadow": ("def len(x):\n    return 0\nif len([1]):\n    y = 1\nelse:\n    y = 2\ny\n", (1, 2)),
     "operator": ("def f():\n    global x\n    x = 1\nx = 0\nz = a + a\nif x:\n    y = 1\nelse:\n    y = 2\ny\n", (1, 2)),
     "pruned": ("x = 0\nif x:\n    y = 1\nelse:\n    y = 2\ny\n", (2, 2)),
+    "in_place": ("l = [1]\nm = l\nm += [2]\nif len(l) > 1:\n    y = 1\nelse:\n    y = 2\ny\n", (1, 2)),
+    "large": ("if 9007199254740993 == 9007199254740992:\n    y = 1\nelse:\n    y = 2\ny\n", (1, 2)),
+    "large_less": ("if 9007199254740992 < 9007199254740993:\n    y = 1\nelse:\n    y = 2\ny\n", (1, 2)),
+    "returned": ("def f():\n    try:\n        return 1\n    finally:\n        g()\ny = 2\ny\n", (2, 2)),
+    "handled": ("y = 0\ntry:\n    y = 1\n    g()\n    y = 2\nexcept E:\n    pass\nif y > 5:\n    y = 3\ny\n", (None, None)),
+    "after_loop": ("y = 1\nfor i in x:\n    try:\n        break\n    finally:\n        y = 2\ny\n", (1, 2)),
     "len": ("x = [1, 2]\nif len(x) > 1:\n    y = 1\nelse:\n    y = 2\ny\n", (1, 1)),
 }
 
@@ -89,6 +95,16 @@ def test_values_are_sound(spark):
     assert got == {k: v for k, (_, v) in VALUES.items()}
 
 
+TYPES = {"2 ** -1": "float,int", "2 ** 3": "int", "True & False": "bool", "True | 2": "int", "-True": "int", "True + True": "int", "(-8.0) ** 0.5": "unknown"}
+
+
+def test_types_of_operators_are_sound(spark):
+    f = python_files.facts(python_files.from_text(spark, {f"t{k}": f"y = {e}\nend = y\n" for k, e in enumerate(TYPES)})).cache()
+    at = python_files.statements(f).where("target = 'end'").select("scope", "idx")
+    got = {r.scope: r.types for r in Manager(f).run("values")["values"].join(at, ["scope", "idx"]).where("var = 'y'").collect()}
+    assert got == {f"t{k}": t for k, t in enumerate(TYPES.values())}
+
+
 def test_cyclic_hierarchy():
     bases = {"a": ["b"], "b": ["c"], "c": ["a"]}
     assert hierarchy.linearise("a", bases) == ["a", "b", "c"]
