@@ -24,16 +24,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from factloom.llm.common import components, sampled, table
 from factloom.llm.vectors import stacked, usable
 from factloom.session import Scratch, ship
 
 CELL, OWN, OTHER = 4096, 8192, 16384  # rows aimed at in a cell; rows in a tile's sides
-ASSIGNED = "rep long, m long, v array<double>, cell int, own boolean, d double"
+ROWS = 4096  # vectors compared with all pivots at once, and rows of a batch that goes back to Spark
+COUNTED = "cell int, own long, n long, d double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64, copy=False)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -53,27 +56,94 @@ def choose_pivots(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return x[out]
 
 
-def assigned(pivots: np.ndarray, reach: float, radii: np.ndarray | None):
-    """Rows with their cell; with ``radii`` (of the cells), also with each other cell that they must be seen in."""
-    gap = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
+def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distances to the pivots, their roots, and the number of the nearest."""
+    d2 = np.maximum(2 - 2 * x @ pivots.T, 0)
+    d = np.sqrt(d2)
+    return d2, d, d.argmin(1)
+
+
+def seen(x: np.ndarray, pivots: np.ndarray, gap: np.ndarray, reach: float, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector and cell whether it must be there; the own cell, and the distance to its pivot."""
+    d2, d, own = nearest(x, pivots)
+    at = np.arange(len(x))
+    out = ((d2 - d2[at, own][:, None]) / np.maximum(2 * gap[own], 1e-12) <= reach) & (d <= radii[None] + reach)
+    out[at, own] = True
+    return out, own, d[at, own]
+
+
+def gaps(pivots: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
+
+
+def useful(x: np.ndarray, pivots: np.ndarray, reach: float, n: int) -> int:
+    """How many of the pivots to take: the number under which the sample x says that least is compared and moved for n vectors. Where cells
+    don't part the vectors, each vector goes to all of them, so that many cells only mean many copies."""
+    x, gap = unit(x), gaps(pivots)
+    best, at = math.inf, len(pivots)
+    k = len(pivots)
+    while k:
+        own = nearest(x, pivots[:k])
+        radii = np.full(k, -np.inf)
+        np.maximum.at(radii, own[2], own[1].min(1))
+        copies = sum(seen(x[i : i + ROWS], pivots[:k], gap[:k, :k], reach, radii)[0].sum() for i in range(0, len(x), ROWS)) / len(x)
+        others = n * copies / k
+        # a tile's row is compared with the other side's rows; to move it to a tile costs about as much as so many comparisons
+        cost = others + 2048 * (max(1.0, others / OTHER) + copies * max(1.0, n / k / OWN))
+        if cost < best:
+            best, at = cost, k
+        k //= 2
+    return at
+
+
+def counted(pivots: np.ndarray, reach: float, radii: np.ndarray | None):
+    """By cell: own vectors, their greatest distance, and with ``radii`` (of the cells) how many vectors must be seen in it; one row a cell and task."""
+    gap = gaps(pivots)
+
+    def each(batches):
+        own_n, n, far = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+        for b in batches:
+            for lo in range(0, len(b), ROWS):
+                x = unit(stacked(b["v"].iloc[lo : lo + ROWS]))
+                if radii is None:
+                    _, d, own = nearest(x, pivots)
+                    d = d.min(1)
+                else:
+                    there, own, d = seen(x, pivots, gap, reach, radii)
+                    n += there.sum(0)
+                own_n += np.bincount(own, minlength=len(pivots))
+                np.maximum.at(far, own, d)
+        hit = np.flatnonzero(own_n + n)
+        yield pd.DataFrame({"cell": hit.astype(np.int32), "own": own_n[hit], "n": n[hit], "d": far[hit]})
+
+    return each
+
+
+def placed(pivots: np.ndarray, reach: float, radii: np.ndarray):
+    """Rows once for each cell that they must be seen in. Batches stay bounded however many cells that is."""
+    gap = gaps(pivots)
+
+    def each(batches):
+        for b in batches:
+            for lo in range(0, len(b), ROWS):
+                some = b.iloc[lo : lo + ROWS]
+                there = seen(unit(stacked(some["v"])), pivots, gap, reach, radii)[0]
+                i, c = np.nonzero(there)
+                for at in range(0, len(i), ROWS):
+                    rows, cells = i[at : at + ROWS], c[at : at + ROWS]
+                    yield some.iloc[rows].assign(cell=cells.astype(np.int32))
+
+    return each
+
+
+def homed(pivots: np.ndarray):
+    """Rows with their own cell."""
 
     def each(batches):
         for b in batches:
-            if not len(b):
-                continue
-            x = unit(stacked(b["v"]))
-            d2 = np.maximum(2 - 2 * x @ pivots.T, 0)
-            d = np.sqrt(d2)
-            own = d.argmin(1)
-            at = np.arange(len(b))
-            if radii is None:
-                yield b.assign(cell=own.astype(np.int32), own=True, d=d[at, own])
-                continue
-            plane = (d2 - d2[at, own][:, None]) / np.maximum(2 * gap[own], 1e-12)
-            seen = (plane <= reach) & (d <= radii[None] + reach)
-            seen[at, own] = True
-            i, c = np.nonzero(seen)
-            yield b.iloc[i].assign(cell=c.astype(np.int32), own=own[i] == c, d=d[i, c])
+            for lo in range(0, len(b), ROWS):
+                some = b.iloc[lo : lo + ROWS]
+                yield some.assign(cell=nearest(unit(stacked(some["v"])), pivots)[2].astype(np.int32))
 
     return each
 
@@ -132,7 +202,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "metric")
-    good = scratch.keep(usable(df, id_col, vec_col))
+    good = usable(df, id_col, vec_col)
+    if df.schema[vec_col].dataType.elementType == FloatType():  # half the bytes moved, and nothing lost: products are of doubles
+        good = good.withColumn("v", F.col("v").cast("array<float>"))
+    good = scratch.keep(good)
     classes = scratch.keep(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).select("rep", "m", "v"))
     n = classes.count()
     ids = df.select(F.col(id_col).cast("long").alias("vec_id"))
@@ -141,17 +214,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     some = stacked(sampled(classes.select("rep", "v"), sample, "rep", n=n).toPandas().sort_values("rep")["v"])
     pivots = choose_pivots(some, min(most, -(-n // CELL)))
     reach = math.sqrt(2 - 2 * cosine) + 1e-6
-    cells = classes.mapInPandas(assigned(pivots, reach, None), ASSIGNED).groupBy("cell").agg(F.max("d").alias("d")).collect()
+    pivots = pivots[: useful(some, pivots, reach, n)]
+    vectors = classes.select("v")
     radii = np.full(len(pivots), -np.inf)
-    for c in cells:
+    for c in vectors.mapInPandas(counted(pivots, reach, None), COUNTED).groupBy("cell").agg(F.max("d").alias("d")).collect():
         radii[c.cell] = c.d
-    placed = scratch.keep(classes.mapInPandas(assigned(pivots, reach, radii), ASSIGNED))
-    sizes = {r.cell: (-(-int(r.own) // OWN), -(-r.n // OTHER)) for r in placed.groupBy("cell").agg(F.sum(F.col("own").cast("long")).alias("own"), F.count("*").alias("n")).collect()}
+    sizes = {r.cell: (-(-int(r.own) // OWN), -(-r.n // OTHER)) for r in vectors.mapInPandas(counted(pivots, reach, radii), COUNTED).groupBy("cell").agg(F.sum("own").alias("own"), F.sum("n").alias("n")).collect()}
     count = lambda k: F.create_map(*[F.lit(x) for c, s in sizes.items() for x in (c, max(1, s[k]))])[F.col("cell")]
     part = lambda k: F.pmod(F.xxhash64("rep", F.lit(k)), count(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), count(k) - 1))
-    left = placed.where("own").select("rep", "v", "cell", part(0).alias("i"), each(1).alias("j"))
-    right = placed.select("rep", "m", "v", "cell", part(1).alias("j"), each(0).alias("i"))
+    kind = dict(classes.dtypes)["v"]
+    left = classes.select("rep", "v").mapInPandas(homed(pivots), f"rep long, v {kind}, cell int").select("rep", "v", "cell", part(0).alias("i"), each(1).alias("j"))
+    right = classes.mapInPandas(placed(pivots, reach, radii), f"rep long, m long, v {kind}, cell int").select("rep", "m", "v", "cell", part(1).alias("j"), each(0).alias("i"))
     found = scratch.keep(left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(tiled(cosine), "rep long, n long, b long"))
     links = found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
     labels = components(found.where("rep != b").select(F.col("rep").alias("a"), "b"), scratch)

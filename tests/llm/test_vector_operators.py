@@ -75,3 +75,27 @@ def test_repeated_ids_ties_and_odd_lengths(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert multi_index_hashing.nearest(none).count() == 0 and metric_join.near_vectors(none).count() == 0
+
+
+def test_vectors_that_every_cell_must_see_leave_in_bounded_batches():
+    """Random directions part into no cells: nearly each vector goes to all 40, in batches no larger than ROWS, and the sample says that fewer cells do."""
+    import pandas as pd
+
+    g = np.random.default_rng(4)
+    x = metric_join.unit(g.standard_normal((metric_join.ROWS, 64)))
+    pivots, reach = x[:40], float(np.sqrt(0.2))
+    b = pd.DataFrame({"rep": np.arange(len(x)), "m": 1, "v": list(x)})
+    sizes = [len(p) for p in metric_join.placed(pivots, reach, np.full(40, 2.0))(iter([b]))]
+    assert sum(sizes) > 30 * len(x) and max(sizes) <= metric_join.ROWS
+    assert metric_join.useful(x, pivots, reach, 40 * metric_join.CELL) <= 20
+
+
+def test_vectors_of_floats_move_as_floats(spark, monkeypatch):
+    """The same rows as from doubles, over several cells and tiles."""
+    monkeypatch.setattr(metric_join, "CELL", 32)
+    monkeypatch.setattr(metric_join, "OWN", 40)
+    x = np.random.default_rng(5).standard_normal((200, 8)).astype(np.float32)
+    x[50:] = x[:150] + np.float32(0.2) * x[50:]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    out = {n: sorted(map(tuple, metric_join.near_vectors(d).collect())) for n, d in (("float", df), ("double", df.withColumn("embedding", df.embedding.cast("array<double>"))))}
+    assert out["float"] == out["double"] and any(r[1] for r in out["float"])
