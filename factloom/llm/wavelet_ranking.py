@@ -37,6 +37,7 @@ CHARS, DOCS = 4_000_000, 16_384  # of a shard, at most (a longer document is a s
 ASKED = 200_000  # distinct terms of a block of items, about
 BEAM = 4  # nodes opened at once for each item
 LAST = 1 << 63  # stands for a null id in the order
+GROUPED = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}  # few shards are a row group: readers and writers hold one whole
 SHARD = "ids array<long>, lens array<long>, terms array<string>, dfs array<int>, docs binary, tfs binary"
 FOUND = "item_id long, doc_id long, score long, task long"
 
@@ -245,7 +246,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     """(item_id, rank, doc_id, score): the k documents with the highest scores above 0 for each item."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ranking")
-    shards = scratch.keep(index(docs, id_col, text_col))
+    shards = scratch.keep(index(docs, id_col, text_col), options=GROUPED)
     n_shards, n, total = shards.select(F.size("ids").alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.count("*"), F.sum("n"), F.sum("l")).first()
     none = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     if not n_shards:

@@ -231,3 +231,22 @@ def test_whitening_of_odd_tables(spark):
     assert {r.vec_id for r in lanczos_whitening.whiten(zero).collect()} == {1, 2, 3}
     far = spark.createDataFrame([(1, [1e11]), (2, [-1e11]), (3, [0.0])], "vec_id long, embedding array<double>")
     assert {r.vec_id: r.deviation for r in lanczos_whitening.whiten(far).collect()} == {1: None, 2: None, 3: 0}
+
+
+def test_shards_are_written_in_small_row_groups(spark):
+    """A reader or writer holds a whole row group, and Spark's own has room for hundreds of shards of megabytes."""
+    import os
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from factloom.llm import wavelet_ranking
+    from factloom.session import Scratch
+
+    scratch = Scratch(spark, "groups")
+    rows = spark.range(0, 12, 1, 1).select("id", F.expr("cast(array_join(transform(sequence(1, 60000), i -> uuid()), '') as binary)").alias("docs"))
+    found = scratch.keep(rows, options=wavelet_ranking.GROUPED)
+    at = urlparse(scratch.at[id(found)][1]).path
+    files = [pq.ParquetFile(f"{at}/{f}").metadata for f in os.listdir(at) if f.endswith(".parquet")]
+    assert sum(m.num_rows for m in files) == 12 and max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) < 16 << 20
