@@ -202,3 +202,67 @@ def test_contexts_separate_calls(spark):
 
     r = pointer.analyse(python_files.facts(python_files.from_text(spark, {"m": "def ident(x): return x\np = ident([])\nq = ident({})"})), "1-cfa", "modules")
     assert r.of_variable("m", "p").count() == 1
+
+
+TRICKY = '''"""doc
+x = 1
+"""
+import os
+a = [
+1,
+2]
+@deco
+def f(x):
+    return """
+y = 2
+z"""
+if a:
+    b = 1
+elif c:
+    b = 2
+else:
+    b = 3
+try:
+    g()
+except E:
+    pass
+finally:
+    h()
+t = 1 + \\
+u
+class C: pass
+else_ = 3; finally_ = 4
+# comment
+def f(x): return x
+'''
+
+
+def test_modules_are_parsed_in_pieces_as_they_are_whole():
+    """Wherever a piece might end: inside strings, brackets, continued lines, before else, after a decorator; lines and errors are the whole text's."""
+    import ast
+
+    from factloom.sources.lowering import top_level
+
+    for text in (TRICKY, TRICKY.replace("\n", "\r\n"), "", "x = 1", "\n\n"):
+        want = [ast.dump(s, include_attributes=True) for s in ast.parse(text).body]
+        for piece in (0, 1, 7, 30, 100, 10_000):
+            assert [ast.dump(s, include_attributes=True) for s in top_level(text, piece)] == want
+    for bad in (TRICKY + "x = (", TRICKY + "else:\n    pass\n", TRICKY + "x = '''\n"):
+        errors = []
+        for parse in (lambda t: ast.parse(t), lambda t: list(top_level(t, 20))):
+            try:
+                parse(bad)
+            except SyntaxError as e:
+                errors.append(str(e))
+        assert len(errors) == 2 and errors[0] == errors[1]
+
+
+def test_a_large_module_leaves_in_bounded_frames():
+    """Records went to Spark in one frame for each module, and those of 64 modules stayed in the worker."""
+    import pandas as pd
+
+    from factloom.sources import python_files
+
+    text = "".join(f"x{i} = f(x{i})\n" for i in range(4000))
+    frames = [len(d) for d in python_files._each(iter([pd.DataFrame({"module": ["m"], "text": [text]})]))]
+    assert sum(frames) > 2 * python_files.RECORDS and max(frames) <= python_files.RECORDS
