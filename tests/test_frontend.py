@@ -266,3 +266,16 @@ def test_a_large_module_leaves_in_bounded_frames():
     text = "".join(f"x{i} = f(x{i})\n" for i in range(4000))
     frames = [len(d) for d in python_files._each(iter([pd.DataFrame({"module": ["m"], "text": [text]})]))]
     assert sum(frames) > 2 * python_files.RECORDS and max(frames) <= python_files.RECORDS
+
+
+def test_closures_do_not_ask_what_modules_need(spark, monkeypatch):
+    """A large module is a path of thousands of statements; its own code's needs pass to no scope."""
+    from factloom.operators import dataflow
+    from factloom.plans.analyses import Manager
+    from factloom.sources import python_files
+
+    asked, plain = [], dataflow.liveness
+    monkeypatch.setattr(dataflow, "liveness", lambda s, l, e, *a: asked.extend(r.scope for r in e.select("scope").distinct().collect()) or plain(s, l, e, *a))
+    f = python_files.facts(python_files.from_text(spark, {"m": "a = 1\nb = a\ndef f(q):\n    def g():\n        return q\n    return g\n"})).cache()
+    assert [tuple(r) for r in Manager(f).run("closure")["closure"].collect()] == [("m.f", "q")]
+    assert asked and "m" not in asked
