@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.fixpoint import fixpoint
-from factloom.session import ship
+from factloom.session import Scratch, ship
 
 
 def ancestors(class_base: DataFrame) -> DataFrame:
@@ -58,24 +58,43 @@ def linearise(cls: str, bases: dict[str, list[str]], strict: bool = False) -> li
     return order(cls)
 
 
-def _mro(pdf: pd.DataFrame) -> pd.DataFrame:
-    root = pdf["root"].iloc[0]
-    bases: dict[str, list[str]] = {}
-    for cls, base, _ in sorted(pdf.loc[pdf["base"].notna(), ["cls", "base", "base_idx"]].itertuples(index=False), key=lambda r: (r[0], r[2])):
-        bases.setdefault(cls, []).append(base)
-    mro = linearise(root, bases)
-    return pd.DataFrame({"cls": root, "pos": range(len(mro)), "ancestor": mro})
+GROUP = 20_000  # rows of ancestors' bases that a group holds, about
+
+
+def _mros(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    for root, own in pdf.groupby("root", sort=False):
+        bases: dict[str, list[str]] = {}
+        for cls, base, _ in sorted(own.loc[own["base"].notna(), ["cls", "base", "base_idx"]].itertuples(index=False), key=lambda r: (r[0], r[2], r[1])):
+            bases.setdefault(cls, []).append(base)
+        rows.append((root, linearise(root, bases)))
+    return pd.DataFrame(rows, columns=["root", "mro"])
 
 
 def c3_mro(class_base: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, pos, ancestor) for each of the classes (cls), itself at 0. A group holds one class's ancestors, not the hierarchy."""
+    """(cls, pos, ancestor) for each of the classes (cls), itself at 0.
+
+    What stands behind a class that no other has as a base depends on its bases alone, so of such classes with the same bases in the same order one is
+    linearised. A group holds the ancestors of several classes, not the hierarchy.
+    """
     ship(class_base.sparkSession)
-    edges = class_base.select(F.col("cls").cast("string").alias("cls"), F.col("base").cast("string").alias("base"), F.col("base_idx").cast("long").alias("base_idx")).distinct()
-    above = ancestors(edges).select(F.col("cls").alias("root"), F.col("ancestor").alias("cls"))
+    scratch = Scratch(class_base.sparkSession, "mro")
+    edges = scratch.keep(class_base.select(F.col("cls").cast("string").alias("cls"), F.col("base").cast("string").alias("base"), F.col("base_idx").cast("long").alias("base_idx")).distinct())
     names = classes.select(F.col("cls").cast("string").alias("cls")).distinct()
-    reach = above.union(names.select("cls", "cls")).distinct()
-    rows = reach.join(names.withColumnRenamed("cls", "root"), "root").join(edges, "cls", "left")
-    return rows.groupBy("root").applyInPandas(_mro, "cls string, pos long, ancestor string")
+    above = edges.select(F.col("base").alias("cls"), F.lit(True).alias("above")).distinct()
+    own = edges.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("base_idx", "base")))["base"].alias("bases"))
+    asked = scratch.keep(names.join(own, "cls", "left").join(above, "cls", "left").withColumn("bases", F.coalesce("bases", F.array().cast("array<string>"))))
+    alike = F.col("above").isNull()
+    first = asked.where(alike).groupBy("bases").agg(F.min("cls").alias("root"))
+    as_root = scratch.keep(asked.where(alike).join(first, "bases").select("cls", "root").union(asked.where(~alike).select("cls", F.col("cls").alias("root"))))
+    up = edges.select("cls", "base").distinct()
+    roots = as_root.select("root").distinct()
+    reach = fixpoint(roots.select("root", F.col("root").alias("cls")), lambda d, _: d.join(up, "cls").select("root", F.col("base").alias("cls")))
+    rows = reach.join(edges, "cls", "left")
+    groups = reach.count() // GROUP + 1
+    mro = rows.groupBy(F.pmod(F.hash("root"), F.lit(groups)).alias("part")).applyInPandas(_mros, "root string, mro array<string>")
+    out = as_root.join(mro, "root").select("cls", F.posexplode("mro").alias("pos", "ancestor"))
+    return out.select("cls", F.col("pos").cast("long").alias("pos"), F.when(F.col("pos") == 0, F.col("cls")).otherwise(F.col("ancestor")).alias("ancestor"))
 
 
 def resolve_attribute(mro: DataFrame, defines: DataFrame) -> DataFrame:

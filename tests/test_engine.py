@@ -114,6 +114,20 @@ def test_c3(spark):
     assert rows(mro, "cls", "pos", "ancestor") == [("A", 0, "A"), ("D", 0, "D"), ("D", 1, "B"), ("D", 2, "C"), ("D", 3, "A")]
 
 
+def test_c3_linearises_one_of_classes_with_the_same_bases(spark, monkeypatch):
+    own = [(f"{c}{i}", b, n) for i in range(9) for c, bs in (("d", ("B", "C")), ("e", ("C", "B")), ("x", ("A", "B"))) for n, b in enumerate(bs)]
+    base = spark.createDataFrame([*own, ("B", "A", 0), ("C", "A", 0), ("p", "q", 0), ("q", "p", 0), ("r", "p", 0)], "cls string, base string, base_idx long")
+    asked = [*{c for c, _, _ in own}, "B", "p", "q", "r", "lone", "mate"]
+    kept = []
+    monkeypatch.setattr(hierarchy, "fixpoint", lambda init, step: (kept.append(init.count()), fixpoint(init, step))[1])
+    mro = hierarchy.c3_mro(base, spark.createDataFrame([(c,) for c in asked], "cls string"))
+    bases: dict = {}
+    for c, b, _ in base.orderBy("cls", "base_idx").collect():
+        bases.setdefault(c, []).append(b)
+    assert rows(mro, "cls", "pos", "ancestor") == sorted((c, i, a) for c in asked for i, a in enumerate(hierarchy.linearise(c, bases)))
+    assert kept == [8]  # three kinds of bases, r, one without bases; B, p and q are bases themselves
+
+
 def test_block_stores_and_loads_join_nothing(spark):
     rows_ = [("s", 0, 0, "a", "b"), ("s", 1, 0, "a", None), ("s", 2, 1, "c", "a"), ("s", 3, 1, "b", "c")]
     blocked = spark.createDataFrame(rows_, "scope string, idx long, blk long, var string, lvar string")
