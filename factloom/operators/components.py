@@ -83,18 +83,50 @@ def component_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return comp.join(level.withColumnRenamed("node", "comp"), "comp", "left").select("node", "comp", "size", "cyclic", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
 
 
+STRAIGHT = 8  # links of a chain that are followed one by one, each round over what is left only
+
+
 def followers(copy: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, root): a node whose one inflow is a copy edge holds what the root of its chain holds. copy: (src, tgt); ``sources`` (node) have
-    other inflows and stay. Chains are doubled, so rounds follow the logarithm of the longest. Members of a cycle that nothing flows into hold
-    nothing; their root is null."""
+    other inflows and stay. Members of a cycle that nothing flows into hold nothing; their root is null."""
+    return merged(copy, sources)[0]
+
+
+def merged(copy: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The followers, and the copy edges (src, tgt) into all other nodes."""
     scratch = Scratch(copy.sparkSession, "followers")
-    single = copy.where("src <> tgt").groupBy("tgt").agg(F.count_distinct("src").alias("n"), F.first("src").alias("up")).where("n = 1").select(F.col("tgt").alias("node"), "up")
-    now = scratch.keep(single.join(sources.select("node").distinct(), "node", "left_anti").withColumn("ended", F.lit(False)))
+    edges = copy.where("src <> tgt")
+    into = edges.groupBy(F.col("tgt").alias("node")).agg(F.min("src").alias("up"), F.max("src").alias("last"))
+    into = scratch.keep(into.join(sources.select("node").distinct().withColumn("fed", F.lit(True)), "node", "left").select("node", "up", F.col("fed").isNotNull().alias("fed"), (F.col("up") == F.col("last")).alias("one")))
+    many = edges.join(into.where("not one").select(F.col("node").alias("tgt")), "tgt", "left_semi").select("src", "tgt")
+    return _roots(into.where("one and not fed").select("node", "up"), scratch), into.where("one and fed").select(F.col("up").alias("src"), F.col("node").alias("tgt")).union(many)
+
+
+def _roots(up: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the chains (node, up). The first links are followed from the roots on; what is left of longer chains is doubled,
+    so that rounds follow the logarithm of the longest."""
+    root = F.col("root")
+    now = scratch.keep(up.join(up.select(F.col("node").alias("up"), F.lit(True).alias("inner")), "up", "left").select("node", "up", F.when(F.col("inner").isNull(), F.col("up")).alias("root")))
+    done: list[DataFrame] = []
+    for _ in range(STRAIGHT):
+        last, left = now.where(root.isNotNull()).select("node", "root"), now.where(root.isNull()).select("node", "up")
+        done.append(last)
+        if left.isEmpty():
+            return union(done)
+        now = scratch.keep(left.join(last.withColumnRenamed("node", "up"), "up", "left").select("node", "up", "root"))
+    last, left = now.where(root.isNotNull()).select("node", "root"), now.where(root.isNull()).select("node", "up")
+    ends = _doubled(left, scratch).join(last.select(F.col("node").alias("end"), "root"), "end", "left").select("node", "root")
+    return union([*done, last, scratch.keep(ends)])
+
+
+def _doubled(up: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, end): the node that a chain (node, up) ends with, null for members of a cycle."""
+    now = scratch.keep(up.withColumn("ended", F.lit(False)))
     for _ in range(now.count().bit_length() + 1):
+        if now.where("not ended").isEmpty():
+            break
         above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("ended").alias("above"))
         new = scratch.keep(now.join(above, "up", "left").select("node", F.when(F.col("ended"), F.col("up")).otherwise(F.coalesce("next", "up")).alias("up"), (F.col("ended") | F.col("next").isNull() | F.col("above")).alias("ended")))
         scratch.drop(now)
         now = new
-        if now.where("not ended").isEmpty():
-            break
-    return now.select("node", F.when(F.col("ended"), F.col("up")).alias("root"))
+    return now.select("node", F.when(F.col("ended"), F.col("up")).alias("end"))

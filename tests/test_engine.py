@@ -5,7 +5,7 @@ import random
 import pytest
 
 from factloom.functions import context, lattice, points_to_sets
-from factloom.operators import cfg, dataflow, graph, hierarchy
+from factloom.operators import cfg, components, dataflow, graph, hierarchy
 from factloom.operators.fixpoint import NotConverged, fixpoint
 from factloom.operators.points_to import first_base_wins, points_to
 from factloom.plans import flow_queries
@@ -136,6 +136,29 @@ def test_block_stores_and_loads_join_nothing(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chains_longer_than_are_followed_link_by_link(spark):
+    copy = [*((i, i + 1) for i in range(40)), (5, 100), (100, 101), (200, 201), (201, 202), (202, 201), (300, 301), (301, 300), (401, 402), (402, 403), (7, 403), (20, 20)]
+    same, rest = components.merged(edges(spark, copy), spark.createDataFrame([(0,), (30,)], "node long"))
+    want = {i: 0 for i in range(1, 30)} | {i: 30 for i in range(31, 41)} | {100: 0, 101: 0, 202: 201, 300: None, 301: None, 402: 401}
+    assert dict(tuple(r) for r in same.select("node", "root").collect()) == want
+    assert rows(rest, "src", "tgt") == [(7, 403), (29, 30), (200, 201), (202, 201), (402, 403)]
+
+
+def test_a_chain_whose_root_is_found_is_not_moved_again(spark, monkeypatch):
+    moved, keep = [], components.Scratch.keep
+
+    def counted(self, df, *a, **k):
+        out = keep(self, df, *a, **k)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(components.Scratch, "keep", counted)
+    short = edges(spark, [(100 * c + i, 100 * c + i + 1) for c in range(10) for i in range(6)])
+    same = components.followers(short, spark.createDataFrame([], "node long"))
+    assert moved == [60, 60, 50, 40, 30, 20, 10]
+    assert {(r.node % 100, r.node - r.root) for r in same.collect()} == {(i, i) for i in range(1, 7)}
+
+
 def test_points_to_rules(spark):
     t = lambda cols, *r: spark.createDataFrame(list(r), cols)
     pts = points_to(
