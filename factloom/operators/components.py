@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.chains import doubled
 from factloom.operators.fixpoint import NotConverged, fixpoint, lattice_fixpoint, union
 from factloom.operators.graph import topological_levels
 from factloom.session import Scratch
@@ -115,18 +116,5 @@ def _roots(up: DataFrame, scratch: Scratch) -> DataFrame:
             return union(done)
         now = scratch.keep(left.join(last.withColumnRenamed("node", "up"), "up", "left").select("node", "up", "root"))
     last, left = now.where(root.isNotNull()).select("node", "root"), now.where(root.isNull()).select("node", "up")
-    ends = _doubled(left, scratch).join(last.select(F.col("node").alias("end"), "root"), "end", "left").select("node", "root")
+    ends = doubled(left, scratch).join(last.select(F.col("node").alias("end"), "root"), "end", "left").select("node", "root")
     return union([*done, last, scratch.keep(ends)])
-
-
-def _doubled(up: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, end): the node that a chain (node, up) ends with, null for members of a cycle."""
-    now = scratch.keep(up.withColumn("ended", F.lit(False)))
-    for _ in range(now.count().bit_length() + 1):
-        if now.where("not ended").isEmpty():
-            break
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("ended").alias("above"))
-        new = scratch.keep(now.join(above, "up", "left").select("node", F.when(F.col("ended"), F.col("up")).otherwise(F.coalesce("next", "up")).alias("up"), (F.col("ended") | F.col("next").isNull() | F.col("above")).alias("ended")))
-        scratch.drop(now)
-        now = new
-    return now.select("node", F.when(F.col("ended"), F.col("up")).alias("end"))

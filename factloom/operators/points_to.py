@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.components import merged
+from factloom.operators.chains import BOTH, FED, FLOWN, Chains, chains
 from factloom.operators.fixpoint import fixpoint, union
 from factloom.session import Scratch
 
@@ -36,11 +36,29 @@ def points_to(alloc: DataFrame, copy: DataFrame, load: DataFrame | None = None,
     Variables whose one inflow is a copy are solved as the root of their chain and get its rows at the end.
     ``widen``: variables whose sets exceed that size at the end get one object -1 instead (TOP).
     """
+    pts, chained = _ends(alloc, copy, load, store, max_rounds, log)
+    pts = pts.where("field <> ''").union(chained.down(pts.where("field = ''"), FED, FLOWN, BOTH))
+    if widen is None:
+        return pts
+    big = pts.groupBy("node", "field").agg(F.count("*").alias("n")).where(F.col("n") > widen).select("node", "field")
+    top = big.select("node", "field", F.lit(-1).cast(dict(pts.dtypes)["obj"]).alias("obj"))
+    return pts.join(big, ["node", "field"], "left_anti").select("node", "field", "obj").union(top)
+
+
+def set_sizes(alloc: DataFrame, copy: DataFrame) -> DataFrame:
+    """(node, n): the sizes of the sets of ``points_to``, of variables that hold something. They are counted where chains end; no set is expanded."""
+    pts, chained = _ends(alloc, copy, None, None, 10_000, None)
+    return chained.down(Scratch(alloc.sparkSession, "sizes").keep(pts.groupBy("node").agg(F.count("*").alias("n"))), FED, FLOWN, BOTH)
+
+
+def _ends(alloc: DataFrame, copy: DataFrame, load: DataFrame | None, store: DataFrame | None, max_rounds: int, log: list | None) -> tuple[DataFrame, Chains]:
+    """The rows of nodes that end chains, and the chains."""
     scratch = Scratch(alloc.sparkSession, "fields")
     others = alloc.select("node") if load is None else alloc.select("node").union(load.select("tgt"))
-    same, rest = merged(copy, others)
+    chained = chains(copy, others)
+    same = chained.followers()
     named = lambda d, c: d.join(same.select(F.col("node").alias(c), F.col("root").alias("_root"), F.lit(True).alias("_same")), c, "left").withColumn(c, F.when(F.col("_same"), F.col("_root")).otherwise(F.col(c))).where(F.col(c).isNotNull()).drop("_root", "_same")
-    copy = scratch.keep(named(rest, "src").select("src", "tgt").distinct())
+    copy = scratch.keep(named(chained.rest, "src").select("src", "tgt").distinct())
     load = load if load is None else scratch.keep(named(load, "base").select("base", "field", "tgt").distinct())
     store = store if store is None else scratch.keep(named(named(store, "base"), "src").select("base", "field", "src").distinct())
     init = alloc.select("node", F.lit("").alias("field"), "obj")
@@ -77,14 +95,7 @@ def points_to(alloc: DataFrame, copy: DataFrame, load: DataFrame | None = None,
                     out.append(e.join(values, ["o", "f"]).select(F.col("v").alias("node"), F.lit("").alias("field"), F.col("x").alias("obj")))
         return union(out)
 
-    pts = fixpoint(init, step, max_rounds, log=log)
-    held = pts.where("field = ''").select(F.col("node").alias("root"), "field", "obj")
-    pts = pts.union(held.join(same, "root").select("node", "field", "obj"))
-    if widen is None:
-        return pts
-    big = pts.groupBy("node", "field").agg(F.count("*").alias("n")).where(F.col("n") > widen).select("node", "field")
-    top = big.select("node", "field", F.lit(-1).cast(dict(pts.dtypes)["obj"]).alias("obj"))
-    return pts.join(big, ["node", "field"], "left_anti").select("node", "field", "obj").union(top)
+    return fixpoint(init, step, max_rounds, log=log), chained
 
 
 def first_base_wins(flow: DataFrame) -> DataFrame:
@@ -100,5 +111,10 @@ def guarded(flow: DataFrame, keep) -> DataFrame:
 
 def flow_statistics(copy: DataFrame, pts: DataFrame) -> DataFrame:
     """(src, tgt, flow): objects that pass each copy edge; 0 for dead edges."""
-    n = pts.where("field = ''").groupBy(F.col("node").alias("src")).agg(F.count("*").alias("flow"))
-    return copy.distinct().join(n, "src", "left").select("src", "tgt", F.coalesce("flow", F.lit(0).cast("long")).alias("flow"))
+    return flow_of_sizes(copy, pts.where("field = ''").groupBy("node").agg(F.count("*").alias("n")))
+
+
+def flow_of_sizes(copy: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same from (node, n). Edges are dealt by src once, for telling them apart and for the join."""
+    n = sizes.select(F.col("node").alias("src"), F.col("n").alias("flow"))
+    return copy.repartition("src").distinct().join(n, "src", "left").select("src", "tgt", F.coalesce("flow", F.lit(0).cast("long")).alias("flow"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import context, lattice, points_to_sets
 from factloom.operators import graph, hierarchy
-from factloom.operators.points_to import first_base_wins, flow_statistics, points_to
+from factloom.operators.points_to import first_base_wins, flow_of_sizes, points_to, set_sizes
 from factloom.plans.programs import CALL_SQL, COPY_SQL, FIELD_SQL, allocations, calls, copies, field_accesses, lines, read
 from factloom.session import Scratch
 
@@ -28,11 +28,11 @@ def query(sql: str | None = None):
 PTS_SQL = f"WITH RECURSIVE {COPY_SQL}, pts(node, obj) AS (SELECT node, obj FROM al UNION SELECT c.tgt, p.obj FROM pts p JOIN cp c ON c.src = p.node)"
 
 
-def _pts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _pts(spark: SparkSession, sf_dir: str, of=points_to) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "pts")
     li = scratch.keep(lines(spark, sf_dir))
     cp = scratch.keep(copies(spark, sf_dir, li))
-    return cp, points_to(allocations(spark, sf_dir, li), cp)
+    return cp, of(allocations(spark, sf_dir, li), cp)
 
 
 @query(f"{PTS_SQL} SELECT node, obj FROM pts")
@@ -97,7 +97,7 @@ def points_to_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PTS_SQL} SELECT node FROM pts GROUP BY node HAVING count(*) = 1")
 def singleton_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variables that allow strong updates."""
-    return points_to_sets.singletons(_pts(spark, sf_dir)[1])
+    return _pts(spark, sf_dir, set_sizes)[1].where("n = 1").select("node")
 
 
 FLOW_SQL = f"{PTS_SQL}, fl AS (SELECT src, tgt, (SELECT count(*) FROM pts WHERE node = src) AS flow FROM cp)"
@@ -106,21 +106,21 @@ FLOW_SQL = f"{PTS_SQL}, fl AS (SELECT src, tgt, (SELECT count(*) FROM pts WHERE
 @query(f"{FLOW_SQL} SELECT count(*) AS edges, count(*) FILTER (flow > 0) AS activated, count(*) FILTER (flow = 0) AS dead, CAST(sum(flow) AS BIGINT) AS total_flow FROM fl")
 def flow_edge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activated and dead copy edges."""
-    cp, pts = _pts(spark, sf_dir)
+    cp, sizes = _pts(spark, sf_dir, set_sizes)
     count = lambda c: F.count(F.when(c, 1))
-    return flow_statistics(cp, pts).agg(F.count("*").alias("edges"), count(F.col("flow") > 0).alias("activated"), count(F.col("flow") == 0).alias("dead"), F.sum("flow").alias("total_flow"))
+    return flow_of_sizes(cp, sizes).agg(F.count("*").alias("edges"), count(F.col("flow") > 0).alias("activated"), count(F.col("flow") == 0).alias("dead"), F.sum("flow").alias("total_flow"))
 
 
 @query(f"{FLOW_SQL} SELECT src, tgt, flow FROM fl ORDER BY flow DESC, src, tgt LIMIT 10")
 def busiest_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten edges with most flow."""
-    return flow_statistics(*_pts(spark, sf_dir)).orderBy(F.desc("flow"), "src", "tgt").limit(10)
+    return flow_of_sizes(*_pts(spark, sf_dir, set_sizes)).orderBy(F.desc("flow"), "src", "tgt").limit(10)
 
 
 @query(f"WITH RECURSIVE {COPY_SQL}, tc(src, tgt) AS (SELECT src, tgt FROM cp UNION SELECT t.src, c.tgt FROM tc t JOIN cp c ON c.src = t.tgt) SELECT src, tgt FROM tc")
 def copy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitive closure of the copy graph (R10's relation for all pairs)."""
-    return graph.closure(copies(spark, sf_dir))
+    return graph.closure(Scratch(spark, "closure").keep(copies(spark, sf_dir)))
 
 
 @query(f"WITH RECURSIVE {COPY_SQL}, r(node, depth) AS (SELECT DISTINCT node, 0 FROM al UNION SELECT c.tgt, depth + 1 FROM r JOIN cp c ON c.src = r.node WHERE depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node")
@@ -180,8 +180,9 @@ SELECT CAST(root AS VARCHAR) AS root, CAST(node AS VARCHAR) AS node, array_to_st
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of up to ten edges from nodes without predecessors to nodes without successors."""
     cp = Scratch(spark, "paths").keep(copies(spark, sf_dir))
-    src, tgt = cp.select(F.col("src").alias("node")), cp.select(F.col("tgt").alias("node"))
-    return graph.simple_paths(cp, src.join(tgt, "node", "left_anti").distinct(), tgt.join(src, "node", "left_anti").distinct())
+    ends = cp.select(F.col("src").alias("node"), F.lit(True).alias("out"), F.lit(False).alias("in")).union(cp.select("tgt", F.lit(False), F.lit(True))).groupBy("node").agg(F.max("out").alias("out"), F.max("in").alias("in"))
+    ends = Scratch(spark, "ends").keep(ends.where("out <> in"))
+    return graph.simple_paths(cp, ends.where("out").select("node"), ends.where("in").select("node"))
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
