@@ -23,21 +23,25 @@ def parse(policy: str) -> tuple[str, int, int]:
     return kind, int(k), 0
 
 
-def last(ctx: Column, k: int) -> Column:
-    """The last k elements."""
-    n = F.least(F.size(ctx), F.lit(k))
-    return F.when(n > 0, F.slice(ctx, F.greatest(F.size(ctx) - k + 1, F.lit(1)), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-
-
 def append(ctx: Column, element: Column, k: int) -> Column:
     """ctx with the element behind it, cut to the last k."""
-    return last(F.concat(ctx, F.array(element)), k)
+    own = F.array(element)
+    return own if k == 1 else F.concat(F.slice(ctx, F.greatest(F.size(ctx) - (k - 2), F.lit(1)), F.lit(k - 1)), own)
+
+
+def sites_of(ctx: Column) -> Column:
+    return F.filter(ctx, lambda x: x.startswith("c:"))
+
+
+def objects_of(ctx: Column) -> Column:
+    return F.filter(ctx, lambda x: x.startswith("o:"))
 
 
-def call_context(policy: str, ctx: Column, site: Column, recv: Column, recv_class: Column, recv_site: Column, args: Column) -> Column:
+def call_context(policy: str, ctx: Column, site: Column, recv: Column, recv_class: Column, recv_site: Column, args: Column, sites: Column | None = None, objects: Column | None = None) -> Column:
     """Context of a callee. recv, recv_class and recv_site are null without a receiver; args: array<string> of argument variables.
 
     Hybrids keep call sites (prefix ``c:``) and objects (``o:``) in one array, each limited on its own; without a receiver the objects stay.
+    ``sites`` and ``objects``: those of ctx, where a caller of many policies has them as columns, so that each is found once a row.
     """
     kind, k, d = parse(policy)
     if k == 0:
@@ -51,10 +55,9 @@ def call_context(policy: str, ctx: Column, site: Column, recv: Column, recv_clas
     if kind == "rcv":
         return append(ctx, F.coalesce(recv_site, site), k)
     if kind == "param":
-        return F.when(F.size(args) > 0, append(ctx, F.array_join(F.array_sort(F.array_distinct(args)), "+"), k)).otherwise(ctx)
-    sites = append(F.filter(ctx, lambda x: x.startswith("c:")), F.concat(F.lit("c:"), site), k)
-    objs = F.filter(ctx, lambda x: x.startswith("o:"))
-    return F.concat(sites, F.when(recv.isNotNull(), append(objs, F.concat(F.lit("o:"), recv), d)).otherwise(objs))
+        return F.when(F.size(args) > 0, append(ctx, F.array_join(F.sort_array(F.array_distinct(args)), "+"), k)).otherwise(ctx)
+    objs = objects_of(ctx) if objects is None else objects
+    return F.concat(append(sites_of(ctx) if sites is None else sites, F.concat(F.lit("c:"), site), k), F.when(recv.isNotNull(), append(objs, F.concat(F.lit("o:"), recv), d)).otherwise(objs))
 
 
 def alloc_context(policy: str, ctx: Column, site: Column) -> Column:
@@ -63,5 +66,5 @@ def alloc_context(policy: str, ctx: Column, site: Column) -> Column:
     if kind in ("obj", "type"):
         return append(ctx, site, k)
     if kind == "hybrid":
-        return F.concat(F.filter(ctx, lambda x: x.startswith("c:")), append(F.filter(ctx, lambda x: x.startswith("o:")), F.concat(F.lit("o:"), site), d))
+        return F.concat(sites_of(ctx), append(objects_of(ctx), F.concat(F.lit("o:"), site), d))
     return ctx

@@ -270,8 +270,10 @@ def call_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") != "R", s("x", "l_partkey")).alias("recv"), F.when(F.col("l_returnflag") == "A", s("k", "l_suppkey")).alias("rcls"), F.when(F.col("l_returnflag") != "R", s("a", "l_suppkey")).alias("rsite"), args.alias("args"),
     )
     col = F.col
-    rows = F.array(*(F.struct(F.lit(p).alias("policy"), F.array_join(context.call_context(p, col("ctx"), col("site"), col("recv"), col("rcls"), col("rsite"), col("args")), "|").alias("ctx")) for p in context.POLICIES))
-    return c.select("site_id", F.explode(rows).alias("r")).select("r.policy", "site_id", "r.ctx")
+    c = c.select("*", context.sites_of(col("ctx")).alias("sites"), context.objects_of(col("ctx")).alias("objects"))
+    rows = F.array(*(F.struct(F.lit(p).alias("policy"), F.array_join(context.call_context(p, *map(col, ("ctx", "site", "recv", "rcls", "rsite", "args", "sites", "objects"))), "|").alias("ctx")) for p in context.POLICIES))
+    # a column first: what policies share is computed once a row in a projection, not in a generator
+    return c.select("site_id", rows.alias("rows")).select("site_id", F.explode("rows").alias("r")).select("r.policy", "site_id", "r.ctx")
 
 
 @query("""SELECT c_mktsegment AS var, floor(min(c_acctbal)) AS lo, floor(max(c_acctbal)) AS hi, bool_or(floor(c_acctbal) = 0) AS zero, bool_or(floor(c_acctbal) < 0) AS neg, bool_or(floor(c_acctbal) > 0) AS pos,

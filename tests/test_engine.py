@@ -223,3 +223,15 @@ def test_dominator_trees_make_no_pairs_and_agree_with_them(spark):
     assert got["front"] == got["huge"] == sorted(map(tuple, graph.dominance_frontier(e, dom).distinct().collect()))
     line = pd.DataFrame({"scope": 1, "src": range(3000), "tgt": range(1, 3001), "entry": False})
     assert len(graph._parents(pd.concat([line, pd.DataFrame({"scope": [1], "src": [0], "tgt": [-1], "entry": [True]})]))) == 3000
+
+
+def test_contexts_are_computed_in_a_projection(spark, tmp_path):
+    from factloom.plans import graph_queries
+
+    line = [(7, 3, 4, float(q), flag, status) for q, flag, status in ((0, "R", "O"), (1, "A", "F"), (2, "N", "O"), (3, "A", "O"))]
+    spark.createDataFrame(line, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = graph_queries.call_contexts(spark, str(tmp_path))
+    got = sorted((r.policy, r.ctx) for r in out.where("policy in ('2-cfa', '3-obj', '2-param', '1c2o')").collect())
+    assert got == sorted([("2-cfa", "s7"), ("2-cfa", "c:3|s7"), ("2-cfa", "o:4|s7"), ("2-cfa", "c:0|s7"), ("3-obj", "s7"), ("3-obj", "c:3|x4"), ("3-obj", "c:3|o:4|x4"), ("3-obj", "o:4|c:0|x4"),
+        ("2-param", "v3+v4"), ("2-param", "c:3"), ("2-param", "o:4|v3+v4"), ("2-param", "c:0|v3+v4"), ("1c2o", "c:s7"), ("1c2o", "c:s7|o:x4"), ("1c2o", "c:s7|o:4|o:x4"), ("1c2o", "c:s7|o:4|o:x4")])
+    assert "explode(rows#" in out._jdf.queryExecution().executedPlan().toString()  # a generator computes what policies share again for each
