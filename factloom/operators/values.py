@@ -153,7 +153,7 @@ def analyse(f: DataFrame, result: pointer.Result | None = None, policy: str = "0
     several = scratch.keep(local.where("n > 1 and loose is null").select("scope", "idx", "v"))
     twice = defs.join(several.select("scope", "v").distinct(), ["scope", "v"], "left_semi").select("scope", col("idx").alias("node"), col("node").alias("item"), col("v").alias("cls"), lit(True).alias("kills"))
     heap, weak = _heap_flows(g, r, st, scope, blocked, held, out, scratch)
-    reach = scratch.keep(_reaching(st, twice.union(weak)))
+    reach = scratch.keep(_reaching(st, scratch.keep(twice.union(weak))))
     flowed = several.join(reach.select("scope", col("node").alias("idx"), col("cls").alias("v"), col("item").alias("src")), ["scope", "idx", "v"]).select("scope", "idx", "v", col("scope").alias("ss"), "src")
     others = used.where("not own").select("scope", "idx", "v", lit("").alias("ss"), _name(col("owner"), col("v")).alias("src"))
     reads = scratch.keep(union([direct, flowed, others]))  # (scope, idx, v, ss, src)
