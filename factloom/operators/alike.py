@@ -21,7 +21,7 @@ OWN = "rec in ('scope', 'var') or rec = 'stmt' and kind in ('FuncDef', 'ClassDef
 
 @dataclass
 class Alike:
-    facts: DataFrame  # of one module of each class, under its mark, and of the modules that are like no other
+    facts: DataFrame  # of one module of each class (a module that is like no other too), under its mark, and of those that import or are imported
     members: DataFrame  # (mark, chunk, module)
 
     def expand(self, rows: DataFrame) -> DataFrame:
@@ -74,9 +74,9 @@ def alike(f: DataFrame, reads=None) -> Alike | None:
     named = (reads or (lambda d: d))(free).withColumn("_m", F.col("module"))
     plain = renamed(named, F.lit("\x01")).withColumn("module", F.col("_m")).drop("_m")
     sign = scratch.keep(plain.groupBy("module").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")))
-    classes = sign.groupBy("n", "a", "b").agg(F.min("module").alias("first"), F.count("*").alias("size")).where("size > 1")
+    classes = sign.groupBy("n", "a", "b").agg(F.min("module").alias("first"), F.count("*").alias("size"))
     classes = scratch.keep(classes.withColumn("mark", F.concat(F.lit("\x01"), F.hex("first"), F.lit("\x02"))))
-    if classes.isEmpty():
+    if classes.where("size > 1").isEmpty():
         return None
     of = sign.join(classes, ["n", "a", "b"])
     members = scratch.keep(of.select("mark", F.expr(f"pmod(xxhash64(module), 1 + size div {CHUNK})").alias("chunk"), "module", (F.col("module") == F.col("first")).alias("is_first")))

@@ -19,14 +19,19 @@ times gets open bounds where they still move, so loops and recursion end without
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import abstract as av
-from factloom.operators import cfg, components, dataflow, pointer
+from factloom.functions import abstract_arrays as aa
+from factloom.operators import cfg, dataflow, pointer
+from factloom.operators.alike import MARK, Alike
 from factloom.operators.fixpoint import fixpoint, lattice_fixpoint, union
-from factloom.session import Scratch
+from factloom.session import Scratch, ship
 from factloom.sources import python_files
 
 #: Builtins that neither call nor change what they are given.
@@ -35,6 +40,8 @@ TAME = (*av.CALLED, "print", "range", "id", "type", "repr", "hash", "round", "su
 BUILTIN_ATTRIBUTES = sorted({a for t in (int, float, bool, str, bytes, type(None), list, tuple, dict, set, range) for a in dir(t) if not a.startswith("__")})
 OPS = ["scope", "tgt", "op", "name", "n", "guarded", "types", "lo", "hi", "what", "idx", "var"]
 FLOW = ["ss", "src", "ts", "tgt", "pos"]
+LARGEST = 20_000  # nodes of a module's graph that one group may hold
+CELLS = 500_000  # values of nodes and modules that one group holds, about
 col, lit = F.col, F.lit
 
 
@@ -116,11 +123,139 @@ def escaping(r: pointer.Result, st: DataFrame) -> DataFrame:
 
 
 def analyse(f: DataFrame, result: pointer.Result | None = None, policy: str = "0-cfa", widen_after: int = 4, log: list | None = None) -> Values:
-    """Abstract values of the modules' facts. ``result``: the points-to result without contexts, solved here if not given."""
-    spark = f.sparkSession
-    scratch, g = Scratch(spark, "values"), _Graph()
-    f = scratch.keep(f)
+    """Abstract values of the modules' facts. ``result``: the points-to result without contexts, solved here if not given. Of modules that are alike
+    one has its graph built; tasks solve it for many modules at once, each with its own literals."""
     r = pointer.analyse(f) if result is None else result
+    scratch, kept = Scratch(f.sparkSession, "values"), Scratch(f.sparkSession, "values-result")
+    out = None
+    if r.alike is not None:
+        ops, flow = _graph(r.alike.facts, r.ones, policy, scratch)
+        out = _solve_alike(f, r.alike, ops, flow, kept, widen_after, log)
+    if out is None:
+        ops, flow = _graph(f, r, policy, scratch)
+        solved, rounds = solve(ops, flow, widen_after, log)
+        out = kept.keep(_rows(_keys(ops), solved)), rounds
+    scratch.only()
+    return Values(*out)
+
+
+def _keys(ops: DataFrame) -> DataFrame:
+    """(node, ctx, scope, what, idx, var) of the nodes that are shown."""
+    names = F.split("var", "\\|")
+    parts = F.when(col("what") == "var", names[0]).when(col("what") == "attr", col("name")).otherwise(col("scope"))
+    return ops.where("what <> ''").select(col("tgt").alias("node"), "ctx", parts.alias("scope"), "what", "idx", F.when(col("what") == "var", names[1]).otherwise(col("var")).alias("var"))
+
+
+def _rows(keys: DataFrame, solved: DataFrame) -> DataFrame:
+    return keys.join(solved, "node").select("ctx", "scope", "what", "idx", "var", "types", "lo", "hi")
+
+
+def _solve_alike(f: DataFrame, same: Alike, ops: DataFrame, flow: DataFrame, kept: Scratch, widen_after: int, log: list | None) -> tuple[DataFrame, int] | None:
+    """All modules' rows from the graphs of one of each class, and the rounds of the modules that aren't alone or large; None if modules of a class are
+    large or tied to others by more than nodes that are what they are."""
+    scratch = Scratch(f.sparkSession, "values-alike")
+    mark = lambda c: F.regexp_extract(c, MARK, 0)
+    flow = scratch.keep(flow.withColumn("mark", mark("tgt")).withColumn("_from", mark("src")))
+    each = scratch.keep(_nodes(ops).withColumn("mark", mark("tgt")))
+    ties = flow.where("_from <> mark").select("src", "mark", "_from").distinct()
+    moved = ties.where("_from <> ''").select("src").union(ties.join(flow.select(col("tgt").alias("src")), "src", "left_semi").select("src"))
+    members = same.members.groupBy("mark").agg(F.count("*").alias("size"))
+    size = scratch.keep(each.where("mark <> ''").groupBy("mark").agg(F.count("*").alias("nodes")).join(members, "mark"))
+    if not moved.isEmpty() or not size.where(f"nodes > {LARGEST} and size > 1").isEmpty():
+        return None
+    size = size.where(f"nodes <= {LARGEST}")
+    plain, by_rounds = (scratch.keep(d.join(size, "mark", "left_anti")) for d in (each, flow))
+    solved, rounds = (None, 0) if plain.where("types <> 0").isEmpty() else solve(plain.drop("mark"), by_rounds.select("src", "tgt", "pos"), widen_after, log)
+
+    outer = ties.select("mark", col("src").alias("tgt")).join(plain.drop("mark"), "tgt").select(*each.columns)
+    each, flow = (d.join(size, "mark", "left_semi") for d in (each, flow))
+    literal = F.regexp_extract("tgt", f"^~\\|{MARK}\\|(.*)$", 1)
+    none, number = lit(None).cast("string"), lit(None).cast("int")
+    graph = each.select(*outer.columns).union(outer).select("mark", "tgt", "op", "name", "n", "guarded", "types", "lo", "hi", literal.alias("literal"), none.alias("src"), number.alias("pos"))
+    steps = flow.select("mark", "tgt", none.alias("op"), none.alias("name"), number.alias("n"), lit(None).cast("boolean").alias("guarded"), lit(None).cast("long").alias("types"), lit(None).cast("double").alias("lo"), lit(None).cast("double").alias("hi"), none.alias("literal"), "src", "pos")
+    graph = scratch.keep(graph.union(steps))
+    chunks = size.select("mark", F.expr(f"1 + size * nodes div {CELLS}").alias("chunks"))
+    members = scratch.keep(same.members.join(chunks, "mark").select("mark", "module", F.expr("pmod(xxhash64(module), chunks)").alias("chunk")))
+    const = python_files.statements(f).where("kind = 'Const'").select("module", "target", *(c.alias(n) for c, n in zip(av.constant(col("name"), col("label")), ("types", "lo", "hi"), strict=True)))
+    own = members.join(const, "module", "left").select(col("mark").alias("mark"), col("chunk").alias("chunk"), "module", "target", "types", "lo", "hi")
+    sent = members.select("mark", "chunk").distinct().join(graph, "mark")
+    ship(f.sparkSession)
+    found = sent.groupBy("mark", "chunk").cogroup(own.groupBy("mark", "chunk")).applyInPandas(_alike_solver(widen_after), "mark string, node string, module string, types long, lo double, hi double")
+    found = kept.keep(found)
+
+    keys = scratch.keep(_keys(ops))
+    marked = kept.keep(keys.withColumn("mark", mark("node")).where("mark <> ''"))
+    put = lambda c: F.replace(c, col("mark"), col("module")).alias(c)
+    rows = marked.join(found, ["mark", "node"]).select(put("ctx"), put("scope"), "what", "idx", put("var"), "types", "lo", "hi")
+    if solved is not None:
+        rows = rows.union(kept.keep(same.expand(_rows(keys, solved))))
+    scratch.only()
+    return rows, rounds
+
+
+def _alike_solver(widen_after: int):
+    """Rounds as ``solve`` has them, for a class's graph and the literals of some of its modules; arrays hold a node's values in all of these modules."""
+
+    def each(graph: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        nodes, flows = graph[graph["src"].isna()], graph[graph["src"].notna()]
+        names, modules = list(nodes["tgt"]), sorted(set(own["module"]))
+        at, n = {x: i for i, x in enumerate(names)}, len(modules)
+        into: list[dict[int, list[int]]] = [{0: [], 1: [], 2: []} for _ in names]
+        out: list[set[int]] = [set() for _ in names]
+        for src, tgt, pos in flows[["src", "tgt", "pos"]].itertuples(index=False):
+            if src in at and tgt in at:
+                into[at[tgt]][int(pos)].append(at[src])
+                out[at[src]].add(at[tgt])
+        where = pd.Series(range(n), index=modules)
+        given = {t: (where[d["module"]].to_numpy(), d[["types", "lo", "hi"]]) for t, d in own[own["target"].notna()].groupby("target")}
+        node, risen, delta = [], np.zeros((len(names), n), np.int64), set()
+        ops = list(nodes[["op", "name", "n", "guarded", "types", "lo", "hi", "literal"]].itertuples(index=False))
+        static = []
+        for i, x in enumerate(ops):
+            v = aa.value(n, int(x.types), x.lo, x.hi)
+            if x.literal in given:
+                place, d = given[x.literal]
+                for k, c in enumerate(("types", "lo", "hi")):
+                    v[k][place] = d[c].to_numpy()
+            static.append(v)
+            first = (v[0] != 0) & (not x.guarded)
+            node.append(aa.where(first, v, aa.value(n, 0)))
+            risen[i] = first
+            if first.any():
+                delta.add(i)
+
+        def joined(sources: list[int]) -> aa.Value:
+            return reduce(aa.join, (node[s] for s in sources)) if sources else aa.value(n, 0)
+
+        while delta:
+            new = {}
+            for i in {t for s in delta for t in out[s]}:
+                x, old = ops[i], node[i]
+                v = aa.join(aa.join(aa.made(x.op, x.name, int(x.n), joined(into[i][0]), joined(into[i][1])), static[i]), old)
+                rose = (v[0] != 0) & ((v[0] != old[0]) | (v[1] < old[1]) | (v[2] > old[2]))
+                if x.guarded:
+                    rose &= joined(into[i][2])[0] != 0
+                if rose.any():
+                    late = risen[i] >= widen_after
+                    wide = v[0], np.where(late & (v[1] < old[1]), -av.INF, v[1]), np.where(late & (v[2] > old[2]), av.INF, v[2])
+                    new[i] = aa.where(rose, wide, old)
+                    risen[i] += rose
+            for i, v in new.items():
+                node[i] = v
+            delta = set(new)
+        parts = []
+        for name, (types, lo, hi) in zip(names, node, strict=True):
+            ok = types != 0
+            parts.append(pd.DataFrame({"node": name, "module": np.array(modules, object)[ok], "types": types[ok], "lo": lo[ok], "hi": hi[ok]}))
+        return pd.concat(parts).assign(mark=graph["mark"].iloc[0])[["mark", "node", "module", "types", "lo", "hi"]]
+
+    return each
+
+
+def _graph(f: DataFrame, r: pointer.Result, policy: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(ctx, scope, tgt, op, ...) and (src, tgt, pos): the value-flow graph of the facts."""
+    spark, g = f.sparkSession, _Graph()
+    f = scratch.keep(f)
     p = r.program
     st = scratch.keep(python_files.statements(f).withColumn("site", _at()))
     scope = scratch.keep(python_files.scopes(f))
@@ -277,14 +412,7 @@ def analyse(f: DataFrame, result: pointer.Result | None = None, policy: str = "0
     rows += [d.select(s.alias("src"), t.alias("tgt"), lit(0).alias("pos")) for d, s, t in between]
     flow = scratch.keep(union(rows).distinct())
     ops = scratch.keep(union(g.ops).join(each, "scope").select("ctx", *[c for c in OPS if c != "tgt"], full(col("ctx"), col("tgt")).alias("tgt")))
-    solved, rounds = solve(ops, flow, widen_after, log)
-    shown = ops.where("what <> ''").join(solved, ops["tgt"] == solved["node"]).drop(ops["types"]).drop(ops["lo"]).drop(ops["hi"])
-    names = F.split("var", "\\|")
-    parts = F.when(col("what") == "var", names[0]).when(col("what") == "attr", col("name")).otherwise(col("scope"))
-    out_rows = shown.select("ctx", parts.alias("scope"), "what", "idx", F.when(col("what") == "var", names[1]).otherwise(col("var")).alias("var"), "types", "lo", "hi")
-    kept = Scratch(spark, "values-result").keep(out_rows)
-    scratch.only()
-    return Values(kept, rounds)
+    return ops, flow
 
 
 def _reaching(st: DataFrame, gens: DataFrame) -> DataFrame:
@@ -296,10 +424,50 @@ def _reaching(st: DataFrame, gens: DataFrame) -> DataFrame:
     return dataflow.solve(dataflow.Dataflow(edges, gens.select("scope", "node", "item", "cls"), gens.where("kills").select("scope", "node", "cls")), "in")
 
 
+def _loops(edges: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of a scope that are on a cycle: of the strong components (Tarjan's, without recursion) those of several nodes or with an edge to itself."""
+    succ: dict[int, list[int]] = {}
+    for src, tgt in edges[["src", "tgt"]].itertuples(index=False):
+        succ.setdefault(src, []).append(tgt)
+    found = {src for src, out in succ.items() if src in out}
+    seen: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack, on = [], set()
+    for root in succ:
+        if root in seen:
+            continue
+        work = [(root, iter(succ[root]))]
+        seen[root] = low[root] = len(seen)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == seen[v]:
+                    part = [stack.pop()]
+                    while part[-1] != v:
+                        part.append(stack.pop())
+                    on.difference_update(part)
+                    found.update(part if len(part) > 1 else ())
+            elif w not in seen:
+                seen[w] = low[w] = len(seen)
+                stack.append(w)
+                on.add(w)
+                work.append((w, iter(succ.get(w, ()))))
+            elif w in on:
+                low[v] = min(low[v], seen[w])
+    return pd.DataFrame({"scope": edges["scope"].iloc[0], "blk": sorted(found)})
+
+
 def once_objects(r: pointer.Result, st: DataFrame, scope: DataFrame, blocked: DataFrame, held: DataFrame, out: DataFrame) -> DataFrame:
     """(obj): instances whose class is called at one place only, in a module's own code and in no loop, and by no unknown code."""
-    edges = cfg.block_edges(blocked).join(scope.where("kind = 'module'").select("scope"), "scope", "left_semi").select(_block(blk="src").alias("src"), _block(blk="tgt").alias("tgt")).distinct()
-    loop = components.strong_components(edges).where("cyclic").select("node")
+    edges = cfg.block_edges(blocked).join(scope.where("kind = 'module'").select("scope"), "scope", "left_semi").select("scope", "src", "tgt").distinct()
+    ship(st.sparkSession)
+    loop = edges.groupBy("scope").applyInPandas(_loops, "scope string, blk long").select(_block().alias("node"))
     made = r.program.call.select("scope", "site", F.concat_ws("|", lit(""), "bo", "b").alias("node")).join(held.where("startswith(obj, 'cls:')"), "node").select("scope", "site", F.expr("substring(obj, 5)").alias("cls"))
     one = made.groupBy("cls").agg(F.count("*").alias("n"), F.first("scope").alias("scope"), F.first("site").alias("site")).where("n = 1")
     place = st.select("site", "scope", "idx").join(blocked.select("scope", "idx", "blk"), ["scope", "idx"]).select("site", _block().alias("node"))
@@ -345,11 +513,16 @@ def _heap_flows(g: _Graph, r: pointer.Result, st: DataFrame, scope: DataFrame, b
     return {"loads": loads, "fed": scratch.keep(fed), "strong": strong}, union([gens, entry, between])
 
 
+def _nodes(ops: DataFrame) -> DataFrame:
+    """A row for each node."""
+    return ops.groupBy("tgt").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("op", "name", "n", "guarded")], F.bit_or("types").alias("types"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def solve(ops: DataFrame, flow: DataFrame, widen_after: int = 4, log: list | None = None) -> tuple[DataFrame, int]:
     """(node, types, lo, hi) of all nodes with a value, and the rounds. ops: a row for each node; flow: (src, tgt, pos): pos 0 and 1 are operands, 2 the guard."""
     spark = ops.sparkSession
     scratch, log = Scratch(spark, "flow"), [] if log is None else log
-    ops = scratch.keep(ops.groupBy("tgt").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("op", "name", "n", "guarded")], F.bit_or("types").alias("types"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    ops = scratch.keep(_nodes(ops))
     into = scratch.keep(flow.union(ops.select(col("tgt"), col("tgt"), lit(8))).distinct())
     moves = into.where("pos < 8").select("src", "tgt")
 

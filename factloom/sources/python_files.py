@@ -6,15 +6,18 @@ from collections.abc import Iterator
 from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.session import ship
 from factloom.sources.lowering import Lowering
 
-RECORDS = 5_000  # of a module, in a batch that goes to Spark
+RECORDS = 5_000  # in a batch that goes to Spark
 COLUMNS = ("rec", "module", "scope", "idx", "kind", "target", "base", "name", "label", "args", "line")
 SCHEMA = "rec string, module string, scope string, idx long, kind string, target string, base string, name string, label string, args array<struct<role:string,name:string,var:string>>, line int"
+ARG = pa.struct([(c, pa.string()) for c in ("role", "name", "var")])
+TYPES = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 5 + [pa.list_(ARG), pa.int32()]
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -74,11 +77,12 @@ def _lowered(name: str, text: str) -> Iterator[tuple]:
     yield from (("unknown", name, name, -1, what, None, None, None, text, [], line) for what, text, line in m.unknown)
 
 
-def _each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for name, text in zip(b["module"], b["text"], strict=True):
-            for part in batched(_lowered(name, text or ""), RECORDS):
-                yield pd.DataFrame(list(part), columns=list(COLUMNS))
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    """Records in batches of RECORDS, of many small modules or of a part of a large one."""
+    modules = ((name, text) for b in batches for name, text in zip(b["module"], b["text"], strict=True))
+    records = (r for name, text in modules for r in _lowered(name, text or ""))
+    for part in batched(records, RECORDS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(zip(*part, strict=True), TYPES, strict=True)], names=list(COLUMNS))
 
 
 def facts(modules: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def facts(modules: DataFrame) -> DataFrame:
     spark = modules.sparkSession
     ship(spark)
     apart = modules.select("module", "text").repartition(4 * spark.sparkContext.defaultParallelism, "module")  # by size Spark would give one task all of the texts
-    return apart.mapInPandas(_each, SCHEMA)
+    return apart.mapInArrow(lambda batches: _each(b.to_pandas() for b in batches), SCHEMA)
 
 
 def statements(f: DataFrame) -> DataFrame:

@@ -1,4 +1,12 @@
-from factloom.operators import alike, assignments, pointer, summaries
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from factloom.functions import abstract as av
+from factloom.functions import abstract_arrays as aa
+from factloom.operators import alike, assignments, pointer, summaries, values
 from factloom.sources import python_files
 
 TEXT = """class A:
@@ -51,3 +59,65 @@ def test_assignments_of_modules_alike(spark):
     f = python_files.facts(python_files.from_text(spark, {k: v for k, v in texts().items() if k in ("m", "g", "a")})).localCheckpoint()
     got, plain = assignments.call_graph(f), assignments._call_graph(f)
     assert got.before.count() and rows(got.before) == rows(plain.before) and rows(got.after) == rows(plain.after) and rows(got.values) == rows(plain.values)
+
+
+VALUES = """class A:
+    def __init__(self, v):
+        self.v = v
+def f(x, least={b}):
+    if x < least:
+        return least
+    return f(x - 1)
+a = A({a})
+h = a.v
+a.w = {a}
+a.w = {b}
+w = a.w
+i = 0
+while i < {a}:
+    i = i + {b}
+p = (i, h)
+n = len(p)
+s = 'n' + '{a}'
+r = f({a})
+m = max({a}, {b})
+"""
+
+
+def test_values_of_modules_alike_are_those_that_they_have_alone(spark, monkeypatch):
+    texts = {f"v{i}": VALUES.format(a=a, b=b) for i, (a, b) in enumerate([(17, 4), (3, 9), (1000, 1), (5, 5), (0, 77)])}
+    f = python_files.facts(python_files.from_text(spark, texts | {"w": "import v4\nx = v4.i\n"})).localCheckpoint()
+    monkeypatch.setattr(values, "CELLS", 100)  # a group a module
+    r = pointer.analyse(f)
+    got, plain = values.analyse(f, r), values.analyse(f, replace(r, alike=None, ones=None))
+    assert {x["module"] for x in r.alike.members.collect()} == {"v0", "v1", "v2", "v3"}
+    assert rows(got.rows) == rows(plain.rows) and got.rows.count() == plain.rows.count()
+
+
+def test_values_in_arrays_are_those_in_columns(spark):
+    rng, inf = np.random.default_rng(5), float("inf")
+    ends, n = [-inf, -(2.0**54), -3.5, -1.0, 0.0, 1.0, 2.0, 7.25, 2.0**60, inf], 150
+    names = [("BinOp", x) for x in ("add", "sub", "mul", "mod", "pow", "truediv", "and")] + [("Compare", x) for x in ("lt", "le", "gt", "ge", "eq", "ne", "is", "isnot", "in")] + [("UnaryOp", x) for x in ("not", "neg", "pos", "invert")]
+    names += [("builtin", x) for x in (*av.CALLED, "open")] + [("edge", "true"), ("edge", "false"), ("join", "x")]
+    types = np.array([0, *av.BIT.values(), 3, 5, 7, 9, 65, 40, 1 << 6 | 8])
+    d = pd.DataFrame({"k": np.arange(n), "at": rng.choice(types, n), "bt": rng.choice(types, n)})
+    for v in "ab":
+        pair = np.sort(rng.choice(ends, (n, 2)), axis=1)
+        bare = np.isin(d[f"{v}t"], [0, av.BIT["NoneType"], av.BIT["function"], av.BIT["class"], av.BIT["instance"], av.BIT["module"]])
+        d[f"{v}lo"], d[f"{v}hi"] = np.where(bare, inf, pair[:, 0]), np.where(bare, -inf, pair[:, 1])
+    of = lambda v: tuple(d[f"{v}{c}"].to_numpy() for c in ("t", "lo", "hi"))
+    grid = spark.createDataFrame(d).crossJoin(spark.createDataFrame([(op, name, m) for op, name in names for m in (0, 1, 2)], "op string, name string, n int")).withColumn("guarded", F.lit(True))
+    key = F.concat_ws(":", "op", "name", "n", "k")
+    none = F.lit(0).cast("long"), F.lit(inf), F.lit(-inf)
+    ops = grid.select(key.alias("tgt"), "op", "name", "n", "guarded", none[0].alias("types"), none[1].alias("lo"), none[2].alias("hi"))
+    fixed = lambda v: grid.select(F.concat(F.lit(v), key).alias("tgt"), F.lit("join").alias("op"), F.lit("").alias("name"), F.lit(0).alias("n"), F.lit(False).alias("guarded"), F.col(f"{v}t").cast("long").alias("types"), F.col(f"{v}lo").alias("lo"), F.col(f"{v}hi").alias("hi"))
+    on = grid.select(F.concat(F.lit("g"), key).alias("tgt"), F.lit("join"), F.lit(""), F.lit(0), F.lit(False), F.lit(1).cast("long"), F.lit(0.0), F.lit(0.0))
+    flow = grid.select(F.explode(F.array(*(F.struct(F.concat(F.lit(v), key).alias("src"), key.alias("tgt"), F.lit(p).alias("pos")) for v, p in (("a", 0), ("b", 1), ("g", 2))))).alias("x")).select("x.*")
+    solved, _ = values.solve(ops.union(fixed("a")).union(fixed("b")).union(on), flow)
+    want = {r["node"]: (r["types"], r["lo"], r["hi"]) for r in solved.where("not rlike(node, '^[abg](BinOp|Compare|UnaryOp|builtin|edge|join):')").collect()}
+    got = {}
+    for op, name in names:
+        for m in (0, 1, 2):
+            t, lo, hi = aa.made(op, name, m, of("a"), of("b"))
+            got |= {f"{op}:{name}:{m}:{k}": (t[k], lo[k], hi[k]) for k in range(n) if t[k]}
+    assert got and got == want
