@@ -121,3 +121,17 @@ def test_values_in_arrays_are_those_in_columns(spark):
             t, lo, hi = aa.made(op, name, m, of("a"), of("b"))
             got |= {f"{op}:{name}:{m}:{k}": (t[k], lo[k], hi[k]) for k in range(n) if t[k]}
     assert got and got == want
+
+
+def test_lines_of_pieces_are_those_of_the_text(monkeypatch):
+    """Every tree of a piece was walked to move its lines, a third of a large module's time."""
+    import ast
+
+    from factloom.sources import lowering
+
+    text = "".join(f"x{i} = f({i})\ndef g{i}(a):\n    return [\n        a, {i}]\n\n" for i in range(40)) + "y = yield_(x1)\n"
+    shown = lambda m: [(s.qualname, s.line, [(i.kind, i.target, i.line) for i in s.body]) for s in m.scopes]
+    want = shown(lowering.Lowering("m", text))
+    monkeypatch.setattr(lowering, "PIECE", 50)
+    monkeypatch.setattr(ast, "increment_lineno", None)
+    assert shown(lowering.Lowering("m", text)) == want
